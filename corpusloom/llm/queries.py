@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, tiff_media, token_codes, url_filter, warc
+from corpusloom.llm import decontaminate, quality, substring_dedup, tiff_media, token_codes, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op3_url_filter": url_filter.query,
     "op4_decontaminate": decontaminate.query,
     "op5_token_codes": token_codes.query,
+    "op6_substring_dedup": substring_dedup.query,
+    "op8_quality": quality.query,
     "op10_tiff_media": tiff_media.query,
 }
 
