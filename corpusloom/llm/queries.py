@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, jaccard_join, quality, substring_dedup, tiff_media, token_codes, url_filter, warc
+from corpusloom.llm import decontaminate, jaccard_join, mixing, quality, substring_dedup, tiff_media, token_codes, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op5_token_codes": token_codes.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op7_mixing": mixing.query,
     "op8_quality": quality.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_tiff_media": tiff_media.query,
