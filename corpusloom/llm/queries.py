@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, jaccard_join, mixing, quality, substring_dedup, tiff_media, token_codes, url_filter, warc
+from corpusloom.llm import decontaminate, jaccard_join, license_scan, mixing, quality, substring_dedup, tiff_media, token_codes, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op2_license_scan": license_scan.query,
     "op3_url_filter": url_filter.query,
     "op4_decontaminate": decontaminate.query,
     "op5_token_codes": token_codes.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_license_scan": license_scan.sql(),
     "op3_url_filter": url_filter.SQL,
     "op4_decontaminate": decontaminate.SQL,
 }
