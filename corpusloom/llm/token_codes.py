@@ -30,8 +30,8 @@ from corpusloom.llm._shared import attempt_name, binary, filesystem, saved, shar
 END_ID = 2
 #: Tokens after which a segment is closed (at the end of a document).
 SEGMENT_TOKENS = 1 << 20
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+#: Words whose ids a worker process remembers (about 150 MB).
+MEMO_WORDS = 1_000_000
 _BLOCK = 512
 _MAGIC = b"DACTOK01"
 _SEGMENT = struct.Struct("<QQQB7x")
@@ -126,51 +126,68 @@ def read_segments(uri: str) -> Iterator[tuple[list[int | None], np.ndarray, Code
             yield [int(i) if k else None for i, k in zip(ids, known, strict=True)], sizes, codes
 
 
-_tokenizers: dict[str, object] = {}
+_encoders: dict[str, Encoder] = {}
 _CUT = bytes(0x20 if b == 0x0A else b for b in range(256))
+_SPACE, _POINT, _ALNUM = (np.isin(np.arange(256), list(x)) for x in (b" \n", b".,", b"abcdefghijklmnopqrstuvwxyz0123456789"))
 
 
 class Encoder:
-    """A tokenizer that drops white space, with a memo of the ids of whole words.
+    """A tokenizer that drops white space, with a memo of the ids of words.
 
-    Such a tokenizer never joins what a space or a line feed separates, so a
-    text's ids are those of its words in a row.
+    Such a tokenizer never joins what a space or a line feed separates, nor a
+    letter or digit and the point or comma after it, so a text's ids are those
+    of these pieces in a row. It lower-cases, too, so pieces are remembered in
+    lower case; unless the texts hold combining marks, which may compose with a
+    small letter alone, or what may be a special token.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        if path not in _tokenizers:
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            _tokenizers[path] = Tokenizer.from_file(path)
-        self.tokenizer, self.memo_words = _tokenizers[path], memo_words
+        self.tokenizer, self.memo_words = Tokenizer.from_file(path), memo_words
         self._clear()
 
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this worker process, with what it remembers from earlier tasks."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.start = array("I"), array("q", [0])
 
     def _learn(self, words: list[bytes]) -> None:
-        for one in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
+        for one in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
             self.flat.extend(one.ids)
             self.start.append(len(self.flat))
         n = len(self.known)
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
+    @staticmethod
+    def _pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Pieces of all texts, and how many each text has (empty ones among them)."""
+        whole = b"\n".join([b"", *texts, b""])
+        data = np.frombuffer(whole, dtype=np.uint8)
+        starts = np.cumsum([1, *[len(t) + 1 for t in texts]])
+        before = np.concatenate([[0], np.cumsum(_SPACE[data])])[starts]
+        if b"<|" not in whole and b"\xcc" not in whole and b"\xcd" not in whole:
+            data = np.frombuffer(whole.lower(), dtype=np.uint8)
+            cut = np.flatnonzero(_ALNUM[data[:-2]] & _POINT[data[1:-1]] & _SPACE[data[2:]]) + 1 if len(data) > 2 else np.empty(0, dtype=np.int64)
+            before = before + np.searchsorted(cut, starts)
+            whole = np.insert(data, cut, 0x20).tobytes()
+        return whole.translate(_CUT).split(b" ")[1:-1], np.diff(before)
+
     def __call__(self, texts: list[bytes], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids in a row), each text with ``end`` after it."""
-        words: list[bytes] = []
-        counts = []
-        for text in texts:
-            own = text.translate(_CUT).split(b" ")
-            words += own
-            counts.append(len(own))
+        words, counts = self._pieces(texts)
         if len(self.known) > self.memo_words:
             self._clear()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             self._learn(new)
-        known = self.known
-        code = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
+        code = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         start, flat = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.flat, dtype=np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
         size = start[code + 1] - start[code]
         text_of = np.repeat(np.arange(len(texts)), counts)
@@ -178,7 +195,7 @@ class Encoder:
         before = np.cumsum(size) - size
         place = np.repeat(start[code] - before, size) + np.arange(size.sum())
         out = np.insert(flat[place], np.cumsum(sizes), end)
-        del start, flat
+        del start, flat  # else the arrays can't grow
         return sizes + 1, out.astype(np.uint32)
 
 
@@ -195,7 +212,7 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id"
     rows = df.select(key, text).repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(key).cast("long"), text)
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = Encoder.of(tokenizer)
         part = TaskContext.get().partitionId()
         uri, totals = f"{folder}/{attempt_name(part)}.dac", [0, 0]
 
