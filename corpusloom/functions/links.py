@@ -30,7 +30,7 @@ def resolve(base: Column, href: Column) -> Column:
         F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), href))
         .when(F.startswith(href, F.lit("/")), F.concat(root, href))
-        .when(href == "", F.regexp_replace(base, "#.*$", ""))
+        .when(href == "", base)
         .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
         .otherwise(F.concat(root, F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")), href))
