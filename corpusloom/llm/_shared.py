@@ -68,7 +68,7 @@ def write_file(uri: str, blocks: Iterator[bytes]) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     size = 0
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:  # no second compression by the name's suffix
         for block in blocks:
             out.write(block)
             size += len(block)

@@ -111,7 +111,7 @@ def segment(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> byt
 def read_segments(uri: str) -> Iterator[tuple[list[int | None], np.ndarray, Codes]]:
     """(document ids, their numbers of tokens, codes) of each segment of a file."""
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as file:
+    with fs.open_input_stream(path, compression=None) as file:
         if file.read(len(_MAGIC)) != _MAGIC:
             raise ValueError(f"{uri} is no token file")
         while head := file.read(_SEGMENT.size):

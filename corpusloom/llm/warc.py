@@ -109,7 +109,7 @@ class WarcError(ValueError):
 def frames(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The decoded records of an archive, one frame at a time."""
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as file:
+    with fs.open_input_stream(path, compression=None) as file:
         head = file.read(8)
         magic, size = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
         if magic != DICTIONARY_MAGIC:
