@@ -38,6 +38,8 @@ from corpusloom.llm._shared import saved
 DOMAINS = ("clean", "low", "toxic")
 #: Target shares of the mixture's tokens.
 TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
+#: The same where what is not clean shouldn't be raised: clean documents stay whole, toxic ones are thinned, the rest is left.
+CLEAN_TARGETS = {"clean": 0.98, "toxic": 0.02}
 #: The word lists are learned from so many labelled documents at most, those of the least hash; and hold so many words each.
 SAMPLE_ROWS, LIST_WORDS = 20_000, 400
 #: Share of the domains' masses added to the metric; steps at most; largest miss of a target, as a share of it, that ends them.
@@ -172,22 +174,26 @@ class Rates:
 def fit(posteriors: DataFrame, targets: dict[str, float], budget: float | None = None, keep: tuple[str, ...] = (), damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
     """Projected gradient over the table of posteriors (n_tokens, p_0, ...).
 
-    ``budget`` is the mixture's size in tokens: by default the input's, or what
-    leaves the domains ``keep`` whole.
+    Domains without a target are left as they come. ``budget`` is the mixture's
+    size in tokens: by default the input's, or, with ``keep``, what leaves these
+    domains whole, and then the others get at most what they have.
     """
     p = [F.col(f"p_{k}") for k in range(len(DOMAINS))]
     tokens = F.col("n_tokens").cast("double")
     sums = posteriors.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * x).alias(f"m{k}") for k, x in enumerate(p)]).first()
     n = sums["n"] or 0.0
     shares = [(sums[f"m{k}"] or 0.0) / n if n else 0.0 for k in range(len(DOMAINS))]
-    live = [s > 1e-9 for s in shares]
+    live = [s > 1e-9 and d in targets for d, s in zip(DOMAINS, shares, strict=True)]
     weight = [targets.get(d, 0.0) if ok else 0.0 for d, ok in zip(DOMAINS, live, strict=True)]
     if not n or sum(weight) <= 0:
         return Rates()
     weight = [w / sum(weight) for w in weight]
     size = budget / n if budget is not None else max([1.0] if not keep else [s / w for d, s, w in zip(DOMAINS, shares, weight, strict=True) if d in keep and w > 0] or [1.0])
     goal = [w * size for w in weight]
+    if keep and budget is None:
+        goal = [min(g, s) for g, s in zip(goal, shares, strict=True)]
     rates, best, least, size = Rates(), Rates(), math.inf, 1.0
+    direction = np.zeros(len(p))
     pairs = [(i, j) for i in range(len(p)) for j in range(i + 1)]
     for _ in range(steps):
         rate = rates.column(p)
@@ -206,7 +212,9 @@ def fit(posteriors: DataFrame, targets: dict[str, float], budget: float | None =
         gram = np.zeros((len(p), len(p)))
         for i, j in pairs:
             gram[i, j] = gram[j, i] = now[f"g{i}_{j}"] / n
-        direction = np.linalg.solve(gram + damping * np.diag(np.maximum(shares, 1e-9)), gap)
+        own = np.flatnonzero(live)
+        direction = np.zeros(len(p))
+        direction[own] = np.linalg.solve((gram + damping * np.diag(np.maximum(shares, 1e-9)))[np.ix_(own, own)], gap[own])
         size = 1.0
         rates.steps.append([float(x) for x in direction])
     return best
@@ -214,6 +222,7 @@ def fit(posteriors: DataFrame, targets: dict[str, float], budget: float | None =
 
 def prepared(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Classifier]:
     """The saved narrow table doc_id, n_tokens, p_0, ... of all documents, and the classifier."""
+    docs = docs.select("doc_id", "text")
     lists = word_lists(docs, labels)
     binned = saved(with_bins(docs, lists, "doc_id"), "bins")
     model = learn(binned, labels, lists)
@@ -225,20 +234,22 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 20)) / (1 << 20)).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: tuple[str, ...] = ("clean",)) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = CLEAN_TARGETS, keep: tuple[str, ...] = ("clean",)) -> DataFrame:
     """``docs``, each row as often as its rate says; documents that belong to ``keep`` before all remain at least once. Same columns, no shuffle."""
     table, model = prepared(docs, labels)
     rates = fit(table, targets, keep=keep)
-    names = docs.columns
-    out = with_bins(docs, model.lists, *names)
-    out = out.select(*names, *[p.alias(f"_p{k}") for k, p in enumerate(model.posteriors())])
+    names = {f"_c{k}": c for k, c in enumerate(docs.columns)}  # the caller's columns may be called as ours
+    rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for n, c in names.items()])
+    out = with_bins(rows, model.lists, "doc_id", *names)
     p = [F.col(f"_p{k}") for k in range(len(DOMAINS))]
+    out = out.select("doc_id", *names, *[x.alias(f"_p{k}") for k, x in enumerate(model.posteriors())])
     times = copies(rates.column(p), F.col("doc_id"))
     kept = [k for k, d in enumerate(DOMAINS) if d in keep]
     if kept:
         mine = F.greatest(F.lit(0.0), *[p[k] for k in kept]) >= F.greatest(F.lit(0.0), *[x for k, x in enumerate(p) if k not in kept])
         times = F.when(mine, F.greatest(times, F.lit(1))).otherwise(times)
-    return out.select(*names, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
+    copied = out.select(*names, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
+    return copied.select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
