@@ -8,6 +8,7 @@ of each query, so what is shuffled is k rows for each query and task.
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,38 @@ def embedder(make: Callable[[], Callable[[list[str | None]], np.ndarray]] = lamb
     return run
 
 
+def careful_embedder(make: Callable[[], Callable[[list[str | None]], np.ndarray]] = lambda: hashed, attempts: int = 3, wait: float = 4.0, most: float = 10.0):
+    """UDF to struct<embedding, error>: a batch that fails is tried again, then text by text, and what still fails is a row with its error.
+
+    Waits double from ``wait`` to ``most`` seconds; a job never ends by one text.
+    """
+    kind = T.StructType([T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+
+        def tried(texts: list[str | None], times: int):
+            for k in range(times):
+                try:
+                    return list(model(texts)), None
+                except Exception as e:  # whatever the model raises
+                    error = f"{type(e).__name__}: {e}"
+                    if k + 1 < times:
+                        time.sleep(min(most, wait * 2**k))
+            return None, error
+
+        for texts in batches:
+            vectors, error = tried(texts.tolist(), attempts)
+            if error is None:
+                rows = [(v, None) for v in vectors]
+            else:
+                rows = [(v[0] if v else None, e) for v, e in (tried([t], 1) for t in texts)]
+            yield pd.DataFrame(rows, columns=["embedding", "error"])
+
+    return run
+
+
 def score(a: Column, b: Column, metric: str = "cosine") -> Column:
     """Nearness of two vectors in double precision; the negative square distance for l2."""
     d = lambda x: x.cast("double")

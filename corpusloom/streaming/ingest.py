@@ -8,10 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.chunk import Strategy, chunk_documents
 from corpusloom.operators.clean import process
-from corpusloom.operators.incremental import EMBEDDED, to_embed, upsert
-from corpusloom.operators.vectors import embedder
+from corpusloom.operators.incremental import EMBEDDED, retryable, to_embed, upsert
+from corpusloom.operators.vectors import careful_embedder
 from corpusloom.sources.files import exists, read_or_empty, write_vectors
 
+DEAD = "chunk_id string, path string, page_content string, section_path string, attempt int, error string, ts timestamp, batch_id bigint"
 VECTOR = "chunk_id string, path string, page_content string, section_path string, embedding array<float>"
 
 
@@ -19,20 +20,36 @@ def embed_batch(files: DataFrame, batch_id: int, root: str, strategy: Strategy |
     """Clean, chunk and embed a batch of files (name, size, content, source, path) into the collection below ``root``.
 
     A version is named by its batch, and chunks by their content, so a batch
-    that is run again writes the same version again.
+    that is run again writes the same version again. Chunks that could not be
+    embedded go to the dead-letter table instead.
     """
-    spark = files.sparkSession
     chunks = chunk_documents(process(files), "path", "updated", strategy)
+    _store(chunks, batch_id, root, mode, embed, attempt=F.lit(1), whole_files=True)
+
+
+def _store(chunks: DataFrame, batch_id: int, root: str, mode: str, embed, attempt, whole_files: bool) -> None:
+    spark = chunks.sparkSession
     embedded = read_or_empty(spark, f"{root}/embedded", EMBEDDED).where(F.col("batch_id") < batch_id)
-    new = to_embed(chunks, embedded, mode).withColumn("embedding", (embed or embedder())("page_content"))
+    todo = to_embed(chunks, embedded, mode).withColumn("_x", (embed or careful_embedder())("page_content")).withColumn("_attempt", attempt)
+    todo.select("chunk_id", "path", "page_content", "section_path", F.col("_x.embedding").alias("embedding"), F.col("_x.error").alias("error"), F.col("_attempt").cast("int").alias("attempt")).write.mode("overwrite").parquet(f"{root}/tried/batch={batch_id}")
+    tried = spark.read.parquet(f"{root}/tried/batch={batch_id}")  # embedded once, used three times
     fields = [f.split()[0] for f in VECTOR.split(", ")]
-    before = f"{root}/vectors/version={batch_id - 1}"
-    old = read_or_empty(spark, before, VECTOR) if mode == "incremental" else spark.createDataFrame([], VECTOR)
-    # Chunks that their file no longer has go.
-    old = old.join(chunks.select("path").distinct(), "path", "left_anti").unionByName(old.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
-    written = spark.read.parquet(write_vectors(upsert(old.select(*fields), new.select(*fields)), f"{root}/vectors", batch_id))
-    manifest = written.join(new.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.col("path").alias("file_path"), F.sha2("page_content", 256).alias("content_hash"), F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("embedded_at"))
-    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{root}/embedded")
+    new, dead = tried.where("error IS NULL").select(*fields), tried.where("error IS NOT NULL")
+    old = read_or_empty(spark, f"{root}/vectors/version={batch_id - 1}", VECTOR) if mode == "incremental" else spark.createDataFrame([], VECTOR)
+    if whole_files:  # chunks that their file no longer has go
+        old = old.join(chunks.select("path").distinct(), "path", "left_anti").unionByName(old.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
+    write_vectors(upsert(old.select(*fields), new), f"{root}/vectors", batch_id)
+    stamp = [F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("at")]
+    writer = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+    writer(new.select("chunk_id", F.col("path").alias("file_path"), F.sha2("page_content", 256).alias("content_hash"), *stamp).withColumnRenamed("at", "embedded_at")).parquet(f"{root}/embedded")
+    writer(dead.select("chunk_id", "path", "page_content", "section_path", "attempt", "error", *stamp).withColumnRenamed("at", "ts")).parquet(f"{root}/dead_letter")
+
+
+def retry_dead_letters(spark: SparkSession, root: str, batch_id: int, embed=None) -> None:
+    """Try again what failed and has attempts left, as batch ``batch_id`` (one after the newest)."""
+    dead = read_or_empty(spark, f"{root}/dead_letter", DEAD)
+    last = dead.dropDuplicates(["chunk_id"]).select("chunk_id", "path", "page_content", "section_path")
+    _store(retryable(dead, last), batch_id, root, "incremental", embed, attempt=F.col("attempt"), whole_files=False)
 
 
 def stream_directory(spark: SparkSession, folder: str, root: str, strategy: Strategy | str = Strategy.SIZE) -> StreamingQuery:
