@@ -7,21 +7,16 @@ turns, so the lineage stays short; cyclic graphs end when nothing new appears.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import scratch
+
 
-def crawl(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, checkpoint_dir: str | None = None) -> DataFrame:
+def crawl(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(url, depth) of every page reached from ``seeds`` (url) over ``links`` (src, dst); depth is the least."""
     spark = links.sparkSession
-    root = checkpoint_dir or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="crawl-")
-    folder = f"{root.rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    folder = scratch(spark, "crawl")
 
     def level(df: DataFrame, k: int) -> DataFrame:
         df.write.parquet(f"{folder}/depth={k}")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import stored
+
 MANIFEST = "cache_file string, file_path string, mtime double, size bigint, content_hash string, jsonl_mtime double, num_chunks bigint, processed_at string, config string"
 EMBEDDED = "chunk_id string, file_path string, content_hash string, batch_id bigint, embedded_at timestamp"
 DEAD_LETTER = "chunk_id string, attempt int, error string, ts timestamp"
@@ -76,10 +78,11 @@ def assign_batches(rows: DataFrame, order: str, size: int = BATCH) -> DataFrame:
     """``rows`` with ``batch_no`` from 1 on: ``size`` consecutive rows a batch by ``order``.
 
     Ranges of the order are numbered apart and shifted by the counts before
-    them, so no task sees all rows.
+    them, so no task sees all rows. The ranges are stored, as drawing them
+    again might give others.
     """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
+    ranged = stored(rows.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).collect()  # a row for each partition
     before, total = {}, 0
     for r in sorted(counts, key=lambda r: r["_part"]):
