@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 #: Every FOLDS-th crc32 of a document id is held out.
 FOLDS = 5
 #: Weight of the pooled diagonal in a class's covariance, and the least variance.
-SHRINKAGE, RIDGE = 0.1, 1e-4
+SHRINKAGE, RIDGE = 0.1, 0.05
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[*range(0x61, 0x7B)]] = 1

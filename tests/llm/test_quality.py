@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from corpusloom.llm.quality import NAMES, fit, keep_good, model_of, query, score, statistics, with_statistics
+from corpusloom.llm.quality import NAMES, RIDGE, SHRINKAGE, fit, keep_good, model_of, query, score, statistics, with_statistics
 
 
 def rows(spark, sf):
@@ -25,7 +25,7 @@ def test_against_densities_by_hand(spark, sf):
     pooled = np.diag(sum(len(v) * np.var(v, axis=0) for v in known.values()) / n)
     density = {}
     for k, v in known.items():
-        cov = 0.9 * np.cov(v.T, bias=True) + 0.1 * pooled + 1e-4 * np.eye(len(NAMES))
+        cov = (1 - SHRINKAGE) * np.cov(v.T, bias=True) + SHRINKAGE * pooled + RIDGE * np.eye(len(NAMES))
         inverse, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
         density[k] = lambda y, m=v.mean(axis=0), a=inverse, d=det, p=len(v) / n: np.log(p) - 0.5 * (d + (y - m) @ a @ (y - m))
     for i, r in got.items():
