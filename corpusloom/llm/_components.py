@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a map-side aggregated minimum and a join, so a vertex with very
-many edges is split by Spark's skew join and never gathered; the number of
+Every round is two map-side aggregated minima and a join with each, so a vertex
+with very many edges is split by Spark's skew join and never gathered; the number of
 rounds grows with the logarithm of the size (Kiveris et al. 2014). Each round's
 edges are saved to shared storage, which ends the lineage.
 """
@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b")
     if large:
         both = both.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Saved, so that both sides of the join are dealt out for it alone, which lets Spark split a frequent vertex.
+    least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     linked = both.join(least, "a")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

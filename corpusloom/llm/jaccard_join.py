@@ -219,7 +219,7 @@ def _verify(table: pa.Table, threshold: Fraction) -> pa.Table:
 
 
 class Join:
-    """The steps of the join over one table; ``rows()`` has uid, id, root and links of each document."""
+    """The steps of the join over one table."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: str = THRESHOLD, part_bytes: int = PART_BYTES, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES):
         self.spark, self.key, self.text = docs.sparkSession, key, text
@@ -247,8 +247,8 @@ class Join:
         self.all = saved(each_part(self.parts, run, schema), "shingled")
         first = F.min_by(F.struct("sign", "bands"), "uid")
         self.reps = saved(
-            self.all.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), first.alias("x"))
-            .select("h1", "h2", "n", "rep", "copies", "x.sign", "x.bands"), "classes")
+            self.all.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.min("id").alias("least"), first.alias("x"))
+            .select("h1", "h2", "n", "rep", "copies", "least", "x.sign", "x.bands"), "classes")
 
     def candidates(self) -> DataFrame:
         """Edges (a, b) between representatives, a forest for each bucket."""
@@ -290,26 +290,41 @@ class Join:
         links = found.groupBy("uid").agg(F.sum("links").alias("links"))
         self.found = saved(links.join(roots.withColumnRenamed("vertex", "uid"), "uid").withColumnRenamed("uid", "rep"), "links")
 
+    def linked_classes(self) -> DataFrame:
+        """h1, h2, n, root, links and copies of each class of equal sets, and the least id in it."""
+        classes = self.reps.select("h1", "h2", "n", "rep", "copies", "least").join(self.found, "rep", "left")
+        return classes.select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies", "least")
+
     def rows(self) -> DataFrame:
-        """uid, id, root (a uid) and links of each document."""
-        classes = self.reps.select("h1", "h2", "n", "rep", "copies").join(self.found, "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        """id, class_id, n_links and class_size of each document."""
+        classes = saved(self.linked_classes(), "linked")
+        # Saved, so that the join with it is one that Spark may split where a root is very frequent.
+        names = saved(classes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "names")
+        named = classes.select("h1", "h2", "n", "root", F.col("links").alias("n_links")).join(names, "root").drop("root")
+        own = self.all.select("id", "h1", "h2", "n")
+        some = own.where("n > 0").join(saved(named, "named"), ["h1", "h2", "n"]).select("id", "class_id", "n_links", "class_size")
+        return some.union(own.where("n = 0").select("id", "id", F.lit(0).cast("long"), F.lit(1).cast("long")))
+
+    def first_of_each(self) -> DataFrame:
+        """The uid of the document with the least id of each class (null ids last, then the least uid)."""
+        roots = saved(self.linked_classes().select("h1", "h2", "n", "root"), "roots")
         own = self.all.select("uid", "id", "h1", "h2", "n")
-        some = own.where("n > 0").join(classes, ["h1", "h2", "n"]).select("uid", "id", "root", "links")
-        return some.union(own.where("n = 0").select("uid", "id", F.col("uid").alias("root"), F.lit(0).cast("long").alias("links")))
+        first = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "uid")).alias("x")
+        # Of each class of equal sets one goes on; that count is map-side.
+        some = own.where("n > 0").groupBy("h1", "h2", "n").agg(first).join(roots, ["h1", "h2", "n"]).groupBy("root").agg(F.min("x").alias("x"))
+        return some.select("x.uid").union(own.where("n = 0").select("uid"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, class_id (the least key of the documents linked directly or through others) and n_links (other documents linked directly, copies among them) of each row."""
-    rows = saved(Join(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", **options).rows(), "rows")
-    names = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(names, "root").select(F.col("id").alias(key), "class_id", F.col("links").alias("n_links"), "class_size")
+    """key, class_id (the least key of the documents linked directly or through others), n_links (other documents linked directly, copies among them) and class_size of each row."""
+    found = Join(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", **options)
+    return found.rows().withColumnRenamed("id", key)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: that of the least key; same columns."""
     found = Join(docs, key, text, **options)
-    first = found.rows().groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "uid")).alias("x")).select("x.uid")
-    kept = first.groupBy((F.col("uid") / PART_ROWS).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.col("uid") % PART_ROWS)).alias("rows"))
+    kept = found.first_of_each().groupBy((F.col("uid") / PART_ROWS).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.col("uid") % PART_ROWS)).alias("rows"))
 
     def run(part, path, got):
         table = read_part(path)
@@ -323,6 +338,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m * 10 >= (x.n + y.n - m) * 8),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT d.doc_id, least(d.doc_id, min(b)) AS class_id FROM d LEFT JOIN r ON a = d.doc_id GROUP BY d.doc_id),
+e AS (SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM c)
+SELECT e.doc_id, class_id, coalesce(k, 0)::BIGINT AS n_links, count(*) OVER (PARTITION BY class_id) AS class_size
+FROM e LEFT JOIN (SELECT a, count(*) AS k FROM l GROUP BY a) ON a = e.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]], threshold: str = THRESHOLD) -> list[tuple[int | None, int | None, int, int]]:
     """The definition, for tests."""
     t = Fraction(threshold)
