@@ -21,4 +21,6 @@ ORACLE_SQL = {
     "op2_license_scan": license_scan.sql(),
     "op3_url_filter": url_filter.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
 }
