@@ -7,7 +7,10 @@ against each other run in an Arrow-batched UDF over hashed word vectors.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,11 @@ STOP_WORDS = (
     "our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was "
     "we were what when where which while who whom why will with you your yours yourself yourselves"
 ).split()
-_DIMENSIONS = 512
+_STOP = frozenset(STOP_WORDS)
+_WORD = re.compile("[a-z0-9]{2,}")
+_DIMENSIONS = 512  # nine bits of an entry of _word
+#: Pairs of words whose vectors are held at a time.
+_BLOCK = 4096
 
 
 def tokens(text: Column) -> Column:
@@ -52,54 +59,124 @@ def top_keywords(docs: DataFrame, key: str, text: str, top: int = TOP) -> DataFr
     return ranked.where(F.col("rank") <= top)
 
 
-def _vector(phrase: str) -> np.ndarray:
-    import zlib
-
-    out = np.zeros(_DIMENSIONS)
-    for word in phrase.split():
-        padded = f"<{word}>"
-        for n in (3, 4):
-            for k in range(len(padded) - n + 1):
-                h = zlib.crc32(padded[k : k + n].encode())
-                out[h % _DIMENSIONS] += 1 if h >> 16 & 1 else -1
-    return out / (np.linalg.norm(out) or 1)
-
-
-def _ranked(text: str, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Candidates nearest to the text first, their vectors, and their nearness."""
-    import re
-
-    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if len(w) > 1 and w not in STOP_WORDS]
-    phrases = sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))})
-    if not phrases:
-        return [], np.zeros((0, _DIMENSIONS)), np.zeros(0)
-    vectors = np.stack([_vector(p) for p in phrases])
-    near = vectors @ _vector(" ".join(words))
-    order = sorted(range(len(phrases)), key=lambda k: (-round(float(near[k]), 9), phrases[k]))[:most]
-    return [phrases[k] for k in order], vectors[order], near[order]
+@lru_cache(maxsize=1 << 18)
+def _word(word: str) -> np.ndarray:
+    """A word's hashed runs of three and four characters: value << 9 | place, each place once."""
+    padded = f"<{word}>".encode()
+    hashes = [crc32(padded[k : k + n]) for n in (3, 4) for k in range(len(padded) - n + 1)]
+    places = [h % _DIMENSIONS for h in hashes]
+    if len(set(places)) == len(places):
+        return np.array([p | 512 if h >> 16 & 1 else p - 512 for h, p in zip(hashes, places, strict=True)], np.int64)
+    out = dict.fromkeys(places, 0)
+    for h, p in zip(hashes, places, strict=True):
+        out[p] += 1 if h >> 16 & 1 else -1
+    return np.array([v << 9 | p for p, v in out.items()], np.int64)
+
+
+def _unpacked(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values."""
+    return entries & _DIMENSIONS - 1, (entries >> 9).astype(np.float64)
+
+
+class _Phrases:
+    """A text's candidates. A phrase's vector is the sum of its words' over its length, so only words have vectors, sparse ones."""
+
+    def __init__(self, text: str):
+        words = [w for w in _WORD.findall(text.lower()) if w not in _STOP]
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        ids = np.array([number[w] for w in words], np.int64)
+        self.words, n = list(number), len(number)
+        vectors = [_word(w) for w in self.words]
+        self.size = np.array([len(v) for v in vectors], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.place, self.value = _unpacked(np.concatenate([np.zeros(0, np.int64), *vectors]))
+        self.row = np.repeat(np.arange(n), self.size)
+        pairs = np.unique(ids[:-1] * n + ids[1:])
+        self.first, self.second = np.concatenate([np.arange(n), pairs // max(n, 1)]), np.concatenate([np.full(n, -1), pairs % max(n, 1)])
+        squares = np.bincount(self.row, self.value**2, n)
+        a, b = self.first[n:], self.second[n:]
+        both = squares[a] + squares[b] + 2 * np.concatenate([np.zeros(0), *[self._products(a[k : k + _BLOCK], b[k : k + _BLOCK]) for k in range(0, len(a), _BLOCK)]])
+        length = np.sqrt(np.concatenate([squares, both]))
+        self.length = np.where(length > 0, length, 1.0)
+        whole = np.bincount(self.place, self.value * np.bincount(ids, minlength=n)[self.row], _DIMENSIONS)
+        self.near = self.alike(whole / (np.linalg.norm(whole) or 1))
+
+    def _entries(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word given: which it is, and where its places and values are."""
+        size = self.size[words]
+        return np.repeat(np.arange(len(words)), size), np.arange(size.sum()) + np.repeat(self.start[words] - (np.cumsum(size) - size), size)
+
+    def _products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        used, at = np.unique(b, return_inverse=True)
+        dense = np.zeros((len(used), _DIMENSIONS))
+        row, entry = self._entries(used)
+        dense[row, self.place[entry]] = self.value[entry]
+        row, entry = self._entries(a)
+        return np.bincount(row, self.value[entry] * dense[at[row], self.place[entry]], len(a))
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def alike(self, vector: np.ndarray) -> np.ndarray:
+        """Cosines of all phrases to a vector of length 1."""
+        of = np.bincount(self.row, self.value * vector[self.place], len(self.words))
+        return (of[self.first] + np.where(self.second >= 0, of[self.second], 0.0)) / self.length if len(self) else np.zeros(0)
+
+    def vector(self, k: int) -> np.ndarray:
+        out = np.zeros(_DIMENSIONS)
+        for w in (self.first[k], self.second[k]):
+            if w >= 0:
+                place, value = _unpacked(_word(self.words[w]))
+                out[place] += value
+        return out / self.length[k]
+
+    def name(self, k: int) -> str:
+        return self.words[self.first[k]] + (f" {self.words[self.second[k]]}" if self.second[k] >= 0 else "")
+
+    def nearest(self, most: int) -> list[int]:
+        """Candidates nearest to the text first, in alphabetical order of equals."""
+        near = np.round(self.near, 9)
+        if len(near) > most:
+            chosen = np.flatnonzero(near >= np.partition(near, -most)[-most])
+        else:
+            chosen = np.arange(len(near))
+        return sorted(chosen.tolist(), key=lambda k: (-near[k], self.name(k)))[:most]
+
+
+@lru_cache(maxsize=64)
+def _choices(n: int, top: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All sets of ``top`` of ``n``, and where the pairs of each are in a flat n by n matrix."""
+    sets = np.array(list(combinations(range(n), top)))
+    return sets, [sets[:, a] * n + sets[:, b] for a in range(top) for b in range(a)]
 
 
 def max_sum(text: str, top: int = TOP, most: int = CANDIDATES) -> list[str]:
     """Of the nearest candidates, those least alike each other."""
-    phrases, vectors, _ = _ranked(text, most)
-    if len(phrases) <= top:
-        return phrases
-    alike = vectors @ vectors.T
-    sets = np.array(list(combinations(range(len(phrases)), top)))
-    total = sum(alike[sets[:, a], sets[:, b]] for a in range(top) for b in range(a))
-    return [phrases[k] for k in sets[int(np.argmin(np.round(total, 9)))]]
+    phrases = _Phrases(text)
+    chosen = phrases.nearest(most)
+    if len(chosen) <= top:
+        return [phrases.name(k) for k in chosen]
+    vectors = np.stack([phrases.vector(k) for k in chosen])
+    alike = (vectors @ vectors.T).ravel()
+    sets, pairs = _choices(len(chosen), top)
+    total = sum(alike.take(p) for p in pairs)
+    return [phrases.name(chosen[k]) for k in sets[int(np.argmin(np.round(total, 9)))]]
 
 
 def marginal(text: str, top: int = TOP, diversity: float = DIVERSITY) -> list[str]:
     """One candidate after another, near to the text and far from those taken (Carbonell and Goldstein 1998)."""
-    phrases, vectors, near = _ranked(text, 1 << 30)
+    phrases = _Phrases(text)
     taken: list[int] = []
+    close = np.zeros(len(phrases))
+    near = np.round(phrases.near, 9)
     while len(taken) < min(top, len(phrases)):
-        rest = [k for k in range(len(phrases)) if k not in taken]
-        close = vectors[rest] @ vectors[taken].T if taken else np.zeros((len(rest), 1))
-        worth = (1 - diversity) * near[rest] - diversity * close.max(axis=1)
-        taken.append(rest[int(np.argmax(np.round(worth, 9)))])
-    return [phrases[k] for k in taken]
+        worth = np.round((1 - diversity) * phrases.near - diversity * close, 9)
+        worth[taken] = -np.inf
+        best = min(np.flatnonzero(worth == worth.max()).tolist(), key=lambda k: (-near[k], phrases.name(k)))
+        alike = phrases.alike(phrases.vector(best))
+        close = np.maximum(close, alike) if taken else alike
+        taken.append(best)
+    return [phrases.name(k) for k in taken]
 
 
 def _udf(pick):

@@ -150,12 +150,12 @@ def keywords_top(spark, sf):
 
 @query("keywords_maxsum")
 def keywords_maxsum(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", kw.max_sum_keywords()("text").alias("keywords"))
+    return table(spark, sf, "documents").select("doc_id", kw.max_sum_keywords()("text").alias("keywords"))
 
 
 @query("keywords_mmr")
 def keywords_mmr(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", kw.marginal_keywords()("text").alias("keywords"))
+    return table(spark, sf, "documents").select("doc_id", kw.marginal_keywords()("text").alias("keywords"))
 
 
 # ---------------------------------------------------------------- change tracking
