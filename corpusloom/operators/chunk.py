@@ -122,6 +122,26 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda x: x != "")
 
 
+def merge_short_lists(chunks: Column, size: int = SIZE) -> Column:
+    """Chunks that start as list items and are shorter than half of ``size`` take in the next chunk if it is a list too; by position, one each."""
+    item = lambda u: F.regexp_like(u, F.lit(LIST_ITEM))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(False).alias("open"))
+
+    def step(a: Column, u: Column) -> Column:
+        joined = a["open"] & item(u)
+        return F.struct(
+            F.when(joined | a["now"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["now"])).alias("done"),
+            F.when(joined, F.concat(a["now"], F.lit("\n"), u)).otherwise(u).alias("now"),
+            (~joined & item(u) & (F.length(u) < size / 2)).alias("open"),
+        )
+
+    return F.aggregate(chunks, start, step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+
+
+def sentence_chunks(text: Column, size: int = SIZE) -> Column:
+    return merge_short_lists(pack(sentences(text), size), size)
+
+
 def merge_lists(chunks: DataFrame, doc: str, index: str, text: str) -> DataFrame:
     """Runs of chunks that start as list items become one, joined by line feeds; (doc, index of the first, text).
 
@@ -150,7 +170,7 @@ def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", str
         sections = parts.select("path", "block", F.posexplode(chunk_headers("body")).alias("section", "s"))
         rows = sections.select("path", "block", "section", *[F.col(f"s.h{k}").alias(f"h{k}") for k in range(1, LEVELS + 1)], F.posexplode(chunk_size(size, overlap)("s.content")).alias("piece", "page_content"))
     else:
-        cut = pack(sentences(F.col("body")), size) if strategy is Strategy.SENTENCES else chunk_size(size, overlap)("body")
+        cut = sentence_chunks(F.col("body"), size) if strategy is Strategy.SENTENCES else chunk_size(size, overlap)("body")
         rows = parts.select("path", "block", F.lit(0).alias("section"), *none, F.posexplode(cut).alias("piece", "page_content"))
     numbered = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("section", "piece")) - 1)
     if strategy is Strategy.SIZE:

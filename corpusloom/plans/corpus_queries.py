@@ -57,7 +57,7 @@ def chunk_recursive(spark, sf):
 
 @query("chunk_sentences")
 def chunk_sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(ch.pack(ch.sentences(F.col("text")))).alias("chunk_index", "content"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(ch.sentence_chunks(F.col("text"))).alias("chunk_index", "content"))
 
 
 

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 
+from corpusloom.operators import chunk as ch
 from corpusloom.operators import keywords as kw
 from corpusloom.plans import corpus_queries  # noqa: F401  registers the queries
 from corpusloom.plans.registry import QUERIES
@@ -54,3 +55,32 @@ def test_keyword_queries_read_every_document(spark, sf):
         got = {r.doc_id: r.keywords for r in QUERIES[name](spark, sf).collect()}
         assert got.keys() == docs.keys()
         assert all(got[i] == (brute(docs[i]) if len(docs[i].strip()) >= kw.LEAST_CHARS else []) for i in some)
+
+
+def brute_sentence_chunks(text, size):
+    out, now = [], []
+    for s in [x for x in (x.strip() for x in re.split(r"(?<=[.!?])\s+", text)) if x]:
+        if now and sum(map(len, now)) + len(s) > size:
+            out.append(" ".join(now))
+            now = []
+        now.append(s)
+    out += [" ".join(now)] if now else []
+    k, merged = 0, []
+    while k < len(out):
+        item = lambda j: j < len(out) and re.match(ch.LIST_ITEM, out[j])
+        two = item(k) and len(out[k]) < size * 0.5 and item(k + 1)
+        merged.append(out[k] + "\n" + out[k + 1] if two else out[k])
+        k += 2 if two else 1
+    return merged
+
+
+def test_short_list_chunks_are_merged(spark, sf):
+    long = "- " + "x" * 30
+    texts = ["", "Plain.", f"- a.\n{long}.\n- b.\n{long}!\n- c.", f"- a.\n{long}. Plain {'y' * 30}.\n- b.", f"{long}.\n{long}.\n* d.", f"- a.\n{long}.\n{long}.\n{long}."]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    got = ch.chunk_documents(df, strategy="sentences", size=32).orderBy("path", "chunk_index").collect()
+    want = [(str(k), c) for k, t in enumerate(texts) for c in brute_sentence_chunks(t, 32)]
+    assert [(r.path, r.page_content) for r in got] == want and any("\n" in c for _, c in want)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sorted((r.doc_id, r.chunk_index, r.content) for r in QUERIES["chunk_sentences"](spark, sf).collect())
+    assert rows == [(i, k, c) for i in sorted(docs) for k, c in enumerate(brute_sentence_chunks(docs[i], ch.SIZE))]
