@@ -34,6 +34,15 @@ def entries(block: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), _value(p["key"], p["value"]).alias("value")))
 
 
+def fields(block: Column) -> Column:
+    """array<struct<key, value>> of all of a block, values as written but for quotes around them; lines that begin no key go on with the value before."""
+    lines = F.regexp_replace(F.regexp_replace(F.coalesce(block, F.lit("")), r"\r\n?", "\n"), r"(?m)^\s*#.*$", "")
+    pieces = F.filter(F.split(lines, r"\n(?=[^\s#:-][^\n:]*:(?:\s|\z))"), lambda x: F.regexp_like(x, F.lit(r"\A\s*[^\s:][^\n:]*:(?:\s|\z)")))
+    pairs = F.transform(pieces, lambda x: F.struct(strip(F.split(x, ":", 2)[0]).alias("key"), strip(F.split(x, ":", 2)[1]).alias("value")))
+    quoted = lambda v: F.regexp_like(v, F.lit(r"""(?s)\A(?:"[^"]*"|'[^']*')\z"""))
+    return F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), F.when(quoted(p["value"]), F.substring(p["value"], F.lit(2), F.length(p["value"]) - 2)).otherwise(p["value"]).alias("value")))
+
+
 def last_wins(pairs: Column) -> Column:
     """Entries with a key's last value, at its first place."""
     keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))

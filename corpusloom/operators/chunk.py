@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.cite import section_path
-from corpusloom.functions.frontmatter import extract
+from corpusloom.functions.frontmatter import extract, fields, get, last_wins
 from corpusloom.functions.text import strip
+from corpusloom.operators.keywords import extract_keywords
 
 SIZE, OVERLAP = 1000, 200
 SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -161,21 +162,35 @@ def chunk_id(path: Column, index: Column, content: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", path, index.cast("string"), content).cast("binary"), 256)
 
 
-def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", strategy: Strategy | str = Strategy.HEADERS, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """path, chunk_index, page_content, headers h1 to h4, section_path, frontmatter (as text) and chunk_id of each chunk."""
+def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", strategy: Strategy | str = Strategy.HEADERS, size: int = SIZE, overlap: int = OVERLAP, keywords: bool = True) -> DataFrame:
+    """path, chunk_index, page_content, headers h1 to h4, section_path, frontmatter (as text), metadata, keywords and chunk_id of each chunk.
+
+    ``metadata`` (array of key and value) has the headers as header_1 to
+    header_4 and the frontmatter's entries, which go before headers of the same
+    name; ``section_path`` is made of what it has. Without ``keywords`` there is
+    no such column, else keywords of the frontmatter give way to it.
+    """
     strategy = Strategy(strategy)
     parts = docs.select(F.col(path).alias("path"), extract(F.coalesce(F.col(text), F.lit(""))).alias("x")).select("path", "x.block", "x.body")
+    parts = parts.withColumn("entries", fields(F.col("block"))).withColumn("front", last_wins(F.col("entries"))).drop("entries")  # once for each document
     none = [F.lit(None).cast("string").alias(f"h{k}") for k in range(1, LEVELS + 1)]
     if strategy is Strategy.HEADERS:
-        sections = parts.select("path", "block", F.posexplode(chunk_headers("body")).alias("section", "s"))
-        rows = sections.select("path", "block", "section", *[F.col(f"s.h{k}").alias(f"h{k}") for k in range(1, LEVELS + 1)], F.posexplode(chunk_size(size, overlap)("s.content")).alias("piece", "page_content"))
+        sections = parts.select("path", "block", "front", F.posexplode(chunk_headers("body")).alias("section", "s"))
+        rows = sections.select("path", "block", "front", "section", *[F.col(f"s.h{k}").alias(f"h{k}") for k in range(1, LEVELS + 1)], F.posexplode(chunk_size(size, overlap)("s.content")).alias("piece", "page_content"))
     else:
         cut = sentence_chunks(F.col("body"), size) if strategy is Strategy.SENTENCES else chunk_size(size, overlap)("body")
-        rows = parts.select("path", "block", F.lit(0).alias("section"), *none, F.posexplode(cut).alias("piece", "page_content"))
+        rows = parts.select("path", "block", "front", F.lit(0).alias("section"), *none, F.posexplode(cut).alias("piece", "page_content"))
     numbered = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("section", "piece")) - 1)
     if strategy is Strategy.SIZE:
         merged = merge_lists(numbered, "path", "chunk_index", "page_content")
-        numbered = merged.join(parts.select("path", "block"), "path").select("*", *none)
+        numbered = merged.join(parts.select("path", "block", "front"), "path").select("*", *none)
         numbered = numbered.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("chunk_index")) - 1)
-    out = numbered.select("path", "chunk_index", "page_content", *[f"h{k}" for k in range(1, LEVELS + 1)], section_path(*[F.col(f"h{k}") for k in range(1, LEVELS + 1)]).alias("section_path"), F.col("block").alias("frontmatter"))
+    heads = [f"h{k}" for k in range(1, LEVELS + 1)]
+    found = F.array(*[F.struct(F.lit(f"header_{k}").alias("key"), F.col(h).alias("value")) for k, h in enumerate(heads, 1)])
+    own = F.filter(found, lambda p: p["value"].isNotNull() & ~F.exists("front", lambda q: q["key"] == p["key"]))
+    front = F.filter("front", lambda p: p["key"] != "keywords") if keywords else F.col("front")
+    path_of = section_path(*[F.coalesce(get(F.col("front"), f"header_{k}"), F.col(h)) for k, h in enumerate(heads, 1)])
+    out = numbered.select("path", "chunk_index", "page_content", *heads, path_of.alias("section_path"), F.col("block").alias("frontmatter"), F.concat(own, front).alias("metadata"))
+    if keywords:
+        out = out.withColumn("keywords", extract_keywords(F.col("page_content")))
     return out.withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index"), F.col("page_content")))

@@ -59,22 +59,23 @@ def top_keywords(docs: DataFrame, key: str, text: str, top: int = TOP) -> DataFr
     return ranked.where(F.col("rank") <= top)
 
 
-@lru_cache(maxsize=1 << 18)
-def _word(word: str) -> np.ndarray:
-    """A word's hashed runs of three and four characters: value << 9 | place, each place once."""
+@lru_cache(maxsize=1 << 17)
+def _word(word: str) -> bytes:
+    """A word's hashed runs of three and four characters: value << 9 | place in 8 bytes, each place once."""
     padded = f"<{word}>".encode()
     hashes = [crc32(padded[k : k + n]) for n in (3, 4) for k in range(len(padded) - n + 1)]
     places = [h % _DIMENSIONS for h in hashes]
     if len(set(places)) == len(places):
-        return np.array([p | 512 if h >> 16 & 1 else p - 512 for h, p in zip(hashes, places, strict=True)], np.int64)
+        return np.array([p | 512 if h >> 16 & 1 else p - 512 for h, p in zip(hashes, places, strict=True)], np.int64).tobytes()
     out = dict.fromkeys(places, 0)
     for h, p in zip(hashes, places, strict=True):
         out[p] += 1 if h >> 16 & 1 else -1
-    return np.array([v << 9 | p for p, v in out.items()], np.int64)
+    return np.array([v << 9 | p for p, v in out.items()], np.int64).tobytes()
 
 
-def _unpacked(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Places and values."""
+    entries = np.frombuffer(packed, np.int64)
     return entries & _DIMENSIONS - 1, (entries >> 9).astype(np.float64)
 
 
@@ -87,9 +88,9 @@ class _Phrases:
         ids = np.array([number[w] for w in words], np.int64)
         self.words, n = list(number), len(number)
         vectors = [_word(w) for w in self.words]
-        self.size = np.array([len(v) for v in vectors], np.int64)
+        self.size = np.array([len(v) // 8 for v in vectors], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.place, self.value = _unpacked(np.concatenate([np.zeros(0, np.int64), *vectors]))
+        self.place, self.value = _unpacked(b"".join(vectors))
         self.row = np.repeat(np.arange(n), self.size)
         pairs = np.unique(ids[:-1] * n + ids[1:])
         self.first, self.second = np.concatenate([np.arange(n), pairs // max(n, 1)]), np.concatenate([np.full(n, -1), pairs % max(n, 1)])

@@ -12,8 +12,9 @@ from corpusloom.operators.incremental import EMBEDDED, retryable, to_embed, upse
 from corpusloom.operators.vectors import careful_embedder
 from corpusloom.sources.files import exists, read_or_empty, write_vectors
 
-DEAD = "chunk_id string, path string, page_content string, section_path string, attempt int, error string, ts timestamp, batch_id bigint"
-VECTOR = "chunk_id string, path string, page_content string, section_path string, embedding array<float>"
+META = "keywords array<string>, metadata array<struct<key:string,value:string>>"
+DEAD = f"chunk_id string, path string, page_content string, section_path string, {META}, attempt int, error string, ts timestamp, batch_id bigint"
+VECTOR = f"chunk_id string, path string, page_content string, section_path string, {META}, embedding array<float>"
 
 
 def embed_batch(files: DataFrame, batch_id: int, root: str, strategy: Strategy | str = Strategy.SIZE, mode: str = "incremental", embed=None) -> None:
@@ -31,24 +32,25 @@ def _store(chunks: DataFrame, batch_id: int, root: str, mode: str, embed, attemp
     spark = chunks.sparkSession
     embedded = read_or_empty(spark, f"{root}/embedded", EMBEDDED).where(F.col("batch_id") < batch_id)
     todo = to_embed(chunks, embedded, mode).withColumn("_x", (embed or careful_embedder())("page_content")).withColumn("_attempt", attempt)
-    todo.select("chunk_id", "path", "page_content", "section_path", F.col("_x.embedding").alias("embedding"), F.col("_x.error").alias("error"), F.col("_attempt").cast("int").alias("attempt")).write.mode("overwrite").parquet(f"{root}/tried/batch={batch_id}")
+    todo.select("chunk_id", "path", "page_content", "section_path", "keywords", "metadata", F.col("_x.embedding").alias("embedding"), F.col("_x.error").alias("error"), F.col("_attempt").cast("int").alias("attempt")).write.mode("overwrite").parquet(f"{root}/tried/batch={batch_id}")
     tried = spark.read.parquet(f"{root}/tried/batch={batch_id}")  # embedded once, used three times
-    fields = [f.split()[0] for f in VECTOR.split(", ")]
+    fields = spark.createDataFrame([], VECTOR).columns
     new, dead = tried.where("error IS NULL").select(*fields), tried.where("error IS NOT NULL")
     old = read_or_empty(spark, f"{root}/vectors/version={batch_id - 1}", VECTOR) if mode == "incremental" else spark.createDataFrame([], VECTOR)
-    if whole_files:  # chunks that their file no longer has go
-        old = old.join(chunks.select("path").distinct(), "path", "left_anti").unionByName(old.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
+    if whole_files:  # chunks that their file no longer has go, the others have the file's frontmatter of now
+        now = chunks.select("chunk_id", "section_path", "metadata").dropDuplicates(["chunk_id"])
+        old = old.join(chunks.select("path").distinct(), "path", "left_anti").unionByName(old.drop("section_path", "metadata").join(now, "chunk_id"))
     write_vectors(upsert(old.select(*fields), new), f"{root}/vectors", batch_id)
     stamp = [F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("at")]
     writer = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
     writer(new.select("chunk_id", F.col("path").alias("file_path"), F.sha2("page_content", 256).alias("content_hash"), *stamp).withColumnRenamed("at", "embedded_at")).parquet(f"{root}/embedded")
-    writer(dead.select("chunk_id", "path", "page_content", "section_path", "attempt", "error", *stamp).withColumnRenamed("at", "ts")).parquet(f"{root}/dead_letter")
+    writer(dead.select("chunk_id", "path", "page_content", "section_path", "keywords", "metadata", "attempt", "error", *stamp).withColumnRenamed("at", "ts")).parquet(f"{root}/dead_letter")
 
 
 def retry_dead_letters(spark: SparkSession, root: str, batch_id: int, embed=None) -> None:
     """Try again what failed and has attempts left, as batch ``batch_id`` (one after the newest)."""
     dead = read_or_empty(spark, f"{root}/dead_letter", DEAD)
-    last = dead.dropDuplicates(["chunk_id"]).select("chunk_id", "path", "page_content", "section_path")
+    last = dead.dropDuplicates(["chunk_id"]).select("chunk_id", "path", "page_content", "section_path", "keywords", "metadata")
     _store(retryable(dead, last), batch_id, root, "incremental", embed, attempt=F.col("attempt"), whole_files=False)
 
 

@@ -10,6 +10,7 @@ from corpusloom.operators import chunk as ch
 from corpusloom.operators import keywords as kw
 from corpusloom.plans import corpus_queries  # noqa: F401  registers the queries
 from corpusloom.plans.registry import QUERIES
+from corpusloom.streaming import ingest
 
 
 def dense_vector(phrase):
@@ -84,3 +85,31 @@ def test_short_list_chunks_are_merged(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = sorted((r.doc_id, r.chunk_index, r.content) for r in QUERIES["chunk_sentences"](spark, sf).collect())
     assert rows == [(i, k, c) for i in sorted(docs) for k, c in enumerate(brute_sentence_chunks(docs[i], ch.SIZE))]
+
+
+def test_chunks_have_keywords_and_frontmatter(spark, sf, tmp_path):
+    block = 'title: "T: x"\n## note: no\nkeywords: old\nheader_2: Over\ntags:\n  - a\n  - b\ntitle: \'U: y\'\nurl: http://a/b'
+    text = f"---\n{block}\n---\n# A\nsolar panel output and wind turbine cost\n## B\nshort"
+    df = spark.createDataFrame([("p.md", text), ("q.md", "no frontmatter, solar panels alone")], "path string, text string")
+    front = {"title": "U: y", "tags": "- a\n  - b", "url": "http://a/b", "header_2": "Over"}
+    for strategy in ch.Strategy:
+        rows = ch.chunk_documents(df, strategy=strategy).orderBy("path", "chunk_index").collect()
+        assert all(r.keywords == (kw.max_sum(r.page_content) if len(r.page_content) >= kw.LEAST_CHARS else []) for r in rows) and rows[0].keywords
+        heads = {"header_1": "A"} if strategy is ch.Strategy.HEADERS else {}
+        assert [dict(r.metadata) for r in rows] == [{**heads, **front}] * (len(rows) - 1) + [{}]
+        assert rows[0].section_path == ("A > Over" if heads else "Over") and rows[0].frontmatter == block
+    plain = ch.chunk_documents(df, keywords=False)
+    assert "keywords" not in plain.columns and dict(plain.where("path = 'p.md'").first().metadata)["keywords"] == "old"
+    for name in ("chunk_pipeline", "chunk_pipeline_size"):
+        rows = QUERIES[name](spark, sf).limit(20).collect()
+        assert rows and all(r.keywords == (kw.max_sum(r.page_content) if len(r.page_content) >= kw.LEAST_CHARS else []) and dict(r.metadata)["license"] == "CC BY 4.0" for r in rows)
+
+
+def test_collections_have_keywords_and_frontmatter(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for batch, title in enumerate(("one", "two")):  # the second batch changes the frontmatter alone
+        text = f"---\ntitle: {title}\n---\n# A\nsolar panel output and wind turbine cost"
+        files = spark.createDataFrame([("a.md", len(text), text, "site", "site/a.md")], "name string, size long, content string, source string, path string")
+        ingest.embed_batch(files, batch, root, "headers")
+        (row,) = ingest.collection(spark, root).collect()
+        assert row.keywords == kw.max_sum(row.page_content) and dict(row.metadata)["title"] == title
