@@ -1,6 +1,7 @@
 """Licence scan: a paragraph classifier over word n-grams, confirmed by templates.
 
-Paragraphs are a text's lines. A sparse softmax regression over runs of one to
+Paragraphs are a text's lines; notices wrapped over lines are found around line
+breaks (``wrapped``). A sparse softmax regression over runs of one to
 three words gives each paragraph a licence family or "unknown"; a family counts
 when its calibrated probability is ``CERTAINTY`` or more and the paragraph holds
 ``COVERAGE`` of the n-grams of one of the family's templates.
@@ -216,40 +217,79 @@ def _grams() -> Column:
     return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)]))
 
 
+#: Words of the longest template: so many on both sides of a line break hold any notice that is wrapped there.
+LONGEST = max(len(words(t)) for texts in TEMPLATES.values() for t in texts)
+
+
+def wrapped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, line, at and span around each line break between lines with words.
+
+    ``line`` is the last LONGEST words before the break and, up to a line without
+    words, lines after it until they have LONGEST words, LONGEST of each at most:
+    a shorter line is never cut, as a part of a notice may look like another's. ``at`` is the number of the break and
+    ``span`` the hashes of the lines.
+    """
+    split = docs.select(F.col(key).alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).where(F.size("lines") > 1)
+    split = split.withColumn("words", F.transform("lines", lambda x: F.filter(_tokens(x), lambda w: w != "")))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("words"), F.lit(True).alias("open"), F.lit(0).alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        goes_on = a["open"] & (F.size(x) > 0) & (F.size(a["words"]) < LONGEST)
+        return F.struct(F.when(goes_on, F.concat(a["words"], F.slice(x, 1, LONGEST))).otherwise(a["words"]).alias("words"), goes_on.alias("open"), (a["n"] + goes_on.cast("int")).alias("n"))
+
+    def around(k: Column) -> Column:
+        before = F.get("words", k - 1)
+        tail = F.slice(before, F.greatest(F.size(before) - LONGEST + 1, F.lit(1)), LONGEST)
+        after = F.aggregate(F.slice("words", k + 1, LONGEST), start, step)
+        return F.struct(k.alias("at"), tail.alias("tail"), after.alias("after"))
+
+    found = split.select("key", "lines", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - 1), around)).alias("x")).where((F.size("x.tail") > 0) & (F.col("x.after.n") > 0))
+    span = F.transform(F.slice("lines", F.col("x.at"), F.col("x.after.n") + 1), lambda x: F.xxhash64(x))
+    return found.select("key", F.array_join(F.concat("x.tail", "x.after.words"), " ").alias("line"), F.col("x.at").alias("at"), span.alias("span"))
+
+
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line, family, probability and coverage of each distinct paragraph that has a cue word."""
+    """key, line, family, probability and coverage of each distinct paragraph that has a cue word; of line breaks as well, with ``at`` and ``span``."""
     model = train()
-    lines = docs.select(F.col(key).alias("key"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    cued = lines.where(F.exists(_tokens(F.col("line")), lambda w: w.isin(list(model.cues)))).dropDuplicates(["key", "line"])
+    lines = docs.select(F.col(key).alias("key"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"), F.lit(0).alias("at"), F.expr("cast(array() as array<bigint>)").alias("span"))
+    units = lines.unionByName(wrapped(docs, key, text))
+    cued = units.where(F.exists(_tokens(F.col("line")), lambda w: w.isin(list(model.cues)))).dropDuplicates(["key", "line", "at"])
     tokens = cued.withColumn("tokens", F.filter(_tokens(F.col("line")), lambda w: w != ""))
-    runs = tokens.select("key", "line", F.explode(_grams()).alias("gram"))
+    runs = tokens.select("key", "line", "at", "span", F.explode(_grams()).alias("gram"))
     matched = runs.join(F.broadcast(_table(docs.sparkSession, model)), "gram")  # as large as the templates make it
-    sums = matched.groupBy("key", "line").agg(F.collect_set("gram_id").alias("ids"), *[F.sum(F.col("weights")[f]).alias(f"z{f}") for f in range(len(model.families))])
-    scored = sums.select("key", "line", "ids", F.array(*[F.col(f"z{f}") + F.lit(b) for f, b in enumerate(model.bias)]).alias("z"))
+    sums = matched.groupBy("key", "line", "at", "span").agg(F.collect_set("gram_id").alias("ids"), *[F.sum(F.col("weights")[f]).alias(f"z{f}") for f in range(len(model.families))])
+    scored = sums.select("key", "line", "at", "span", "ids", F.array(*[F.col(f"z{f}") + F.lit(b) for f, b in enumerate(model.bias)]).alias("z"))
     known = F.slice("z", 1, len(model.families) - 1)
     scored = scored.withColumn("top", F.array_max(known)).withColumn("best", F.array_position(known, F.array_max(known)).cast("int") - 1)
     probability = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda total, x: total + F.exp(F.least(F.lit(700.0), x - F.col("top"))))
     cover = F.greatest(*[F.when(F.col("best") == f, F.size(F.array_intersect("ids", F.lit(list(ids)))) / len(ids)).otherwise(0.0) for f, ids in model.templates])
     family = F.element_at(F.lit(list(model.families)), F.col("best") + 1)
     judged = scored.select("*", probability.alias("probability"), cover.alias("coverage"))
-    return judged.select(F.col("key").alias(key), "line", F.when((F.col("probability") >= CERTAINTY) & (F.col("coverage") >= COVERAGE), family).otherwise(UNKNOWN).alias("family"), "probability", "coverage")
+    return judged.select(F.col("key").alias(key), "line", F.when((F.col("probability") >= CERTAINTY) & (F.col("coverage") >= COVERAGE), family).otherwise(UNKNOWN).alias("family"), "probability", "coverage", "at", "span")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_paragraphs, n_notices (distinct paragraphs of a licence), families (in order, comma-joined) and the least probability of a notice."""
+    """key, n_paragraphs, n_notices (distinct paragraphs of a licence, and notices wrapped over lines), families (in order, comma-joined) and the least probability of a notice.
+
+    Around line breaks a family counts where none of the lines is a notice of
+    it, and no line of more than LONGEST words (of which a part is seen) is any; breaks that follow one another with the same family are one notice.
+    """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda w: F.trim(w) != "")
-    none = [F.lit(0).cast("long").alias("n_notices"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("probability")]
-    every = docs.select(F.col(key).alias("key"), F.size(lines).cast("long").alias("n_paragraphs"), *none)
+    kind = "struct<line:string,family:string,probability:double,at:int,span:array<bigint>>"
+    every = docs.select(F.col(key).alias("key"), F.size(lines).cast("long").alias("n_paragraphs"), F.lit(None).cast(kind).alias("x"))
     sure = F.when(F.col("family") != UNKNOWN, F.lit(True))  # no filter: it would be pushed down with all that "family" is made of
-    notices = paragraphs(docs, key, text).select(
-        F.col(key).alias("key"), F.lit(0).cast("long").alias("n_paragraphs"), F.coalesce(sure.cast("long"), F.lit(0)).alias("n_notices"),
-        F.when(sure, F.col("family")).alias("family"), F.when(sure, F.col("probability")).alias("probability"),
-    )
-    out = every.unionByName(notices).groupBy("key").agg(
-        F.sum("n_paragraphs").alias("n_paragraphs"), F.sum("n_notices").alias("n_notices"),
-        F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.round(F.min("probability"), 6).alias("certainty"),
+    notices = paragraphs(docs, key, text).select(F.col(key).alias("key"), F.lit(0).cast("long").alias("n_paragraphs"), F.when(sure, F.struct("line", "family", "probability", "at", "span")).cast(kind).alias("x"))
+    found = every.unionByName(notices).groupBy("key").agg(F.sum("n_paragraphs").alias("n_paragraphs"), F.collect_list("x").alias("x"))
+    found = found.withColumn("whole", F.filter("x", lambda n: n["at"] == 0))
+    known = F.transform("whole", lambda n: F.struct(F.xxhash64(n["line"]).alias("hash"), n["family"].alias("family"), (F.size(F.filter(_tokens(n["line"]), lambda w: w != "")) > LONGEST).alias("cut")))
+    found = found.withColumn("known", known).withColumn("breaks", F.filter("x", lambda n: (n["at"] > 0) & ~F.exists("known", lambda k: F.array_contains(n["span"], k["hash"]) & ((k["family"] == n["family"]) | k["cut"]))))
+    first = F.filter("breaks", lambda n: ~F.exists("breaks", lambda m: (m["at"] == n["at"] - 1) & (m["family"] == n["family"])))
+    distinct = F.array_distinct(F.transform(first, lambda n: F.struct(n["line"].alias("line"), n["family"].alias("family"))))
+    all_of = F.concat("whole", "breaks")
+    return found.select(
+        F.col("key").alias(key), "n_paragraphs", (F.size("whole") + F.size(distinct)).cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(all_of, lambda n: n["family"]))), ",").alias("families"), F.round(F.array_min(F.transform(all_of, lambda n: n["probability"])), 6).alias("certainty"),
     )
-    return out.withColumnRenamed("key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
