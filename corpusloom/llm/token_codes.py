@@ -5,18 +5,22 @@ of every id, level k+1 the next chunk of those ids that continue after level k.
 Each level has a bitmap telling which ids continue and a directory of the set
 bits before every 512th, so any token is found by one rank per level, without
 decoding a block. A file is a run of segments in ascending document order, each
-with an index of its documents.
+with an index of its documents, and a directory of the segments at its end, so
+a token is read from a file (``TokenFile``) by a few reads of some bytes.
 
 Defined results: a null or empty text is its end id alone; a null document id
-comes first and is kept; rows with equal ids are ordered by a hash of the text;
-an empty table gives no file and no row. Extra columns are not read.
+comes first and is kept; rows with equal ids are ordered by a hash of the text,
+and equal rows are written each; an empty table gives no file and no row; a very
+long text is one segment's at least, held whole by one task. Extra columns, of
+whatever names, are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +29,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import attempt_name, binary, filesystem, saved, shared_dir, small_batches, steps, write_file
+from corpusloom.llm._shared import attempt_name, binary, blocks, filesystem, saved, shared_dir, small_batches, steps, write_file
 
 END_ID = 2
 #: Tokens after which a segment is closed (at the end of a document).
 SEGMENT_TOKENS = 1 << 20
-#: Words whose ids a worker process remembers (about 150 MB).
-MEMO_WORDS = 1_000_000
+#: Slots of a worker process's memo of words, and ids kept in a slot: 2^20 slots are 36 MB.
+MEMO_SLOTS, MEMO_IDS = 1 << 20, 8
+#: Text bytes of one range of keys, where the session's shuffle partitions would have more; and the least.
+RANGE_BYTES, LEAST_RANGE_BYTES = 128 << 20, 4 << 20
 _BLOCK = 512
-_MAGIC = b"DACTOK01"
+_MAGIC, _TAIL = b"DACTOK02", b"DACDIR02"
 _SEGMENT = struct.Struct("<QQQB7x")
 _LEVEL = struct.Struct("<Q")
+#: Of each segment: where it begins in the file, and the first of its tokens; at the very end, how many there are.
+_ENTRY, _END = struct.Struct("<QQ"), struct.Struct("<Q8s")
 
 
 class Codes:
@@ -111,11 +119,11 @@ def segment(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> byt
 def read_segments(uri: str) -> Iterator[tuple[list[int | None], np.ndarray, Codes]]:
     """(document ids, their numbers of tokens, codes) of each segment of a file."""
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path, compression=None) as file:
-        if file.read(len(_MAGIC)) != _MAGIC:
-            raise ValueError(f"{uri} is no token file")
-        while head := file.read(_SEGMENT.size):
-            n, tokens, size, levels = _SEGMENT.unpack(head)
+    with fs.open_input_file(path) as file:
+        where, _ = _segments(file, uri)
+        for at in where:
+            file.seek(at)
+            n, tokens, size, levels = _SEGMENT.unpack(file.read(_SEGMENT.size))
             raw = file.read(16 * n + -(-n // 8))
             ids, sizes = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n, 8 * n).astype(np.int64)
             known = np.unpackbits(np.frombuffer(raw, np.uint8, offset=16 * n), count=n, bitorder="little")
@@ -126,26 +134,134 @@ def read_segments(uri: str) -> Iterator[tuple[list[int | None], np.ndarray, Code
             yield [int(i) if k else None for i, k in zip(ids, known, strict=True)], sizes, codes
 
 
+def _segments(file, uri: str) -> tuple[list[int], list[int]]:
+    """Where a file's segments begin, and the number of the first token of each, from the directory at its end."""
+    size = file.size()
+    if size < len(_MAGIC) + _END.size or file.read_at(len(_MAGIC), 0) != _MAGIC:
+        raise ValueError(f"{uri} is no token file")
+    n, tail = _END.unpack(file.read_at(_END.size, size - _END.size))
+    begin = size - _END.size - n * _ENTRY.size
+    if tail != _TAIL or begin < len(_MAGIC):
+        raise ValueError(f"{uri}: the directory of segments is broken")
+    entries = list(_ENTRY.iter_unpack(file.read_at(n * _ENTRY.size, begin)))
+    return [e[0] for e in entries], [e[1] for e in entries]
+
+
+def directory(entries: list[tuple[int, int]]) -> bytes:
+    """The end of a file: where its segments begin and their first tokens."""
+    return b"".join(_ENTRY.pack(*e) for e in entries) + _END.pack(len(entries), _TAIL)
+
+
+class TokenFile:
+    """Any token of a file by its number: for each level its length, a chunk, a part of the bitmap and a rank are read, nothing else."""
+
+    def __init__(self, uri: str):
+        fs, path = filesystem(uri)
+        self.file = fs.open_input_file(path)
+        self.where, self.first = _segments(self.file, uri)
+
+    def __getitem__(self, at: int) -> int:
+        k = bisect_right(self.first, at) - 1
+        if at < 0 or k < 0:
+            raise IndexError(at)
+        n, tokens, _, levels = _SEGMENT.unpack(self.file.read_at(_SEGMENT.size, self.where[k]))
+        at, value = at - self.first[k], 0
+        if at >= tokens:
+            raise IndexError(at)
+        spot = self.where[k] + _SEGMENT.size + 16 * n + -(-n // 8)
+        for level in range(levels):
+            (size,) = _LEVEL.unpack(self.file.read_at(_LEVEL.size, spot))
+            chunks = spot + _LEVEL.size
+            bits, block = chunks + size, at // _BLOCK
+            ranks = bits + -(-size // 8)
+            value |= self.file.read_at(1, chunks + at)[0] << 8 * level
+            here = int.from_bytes(self.file.read_at(at // 8 - block * _BLOCK // 8 + 1, bits + block * _BLOCK // 8), "little")
+            if not here >> at - block * _BLOCK & 1:
+                return value
+            rank = int.from_bytes(self.file.read_at(4, ranks + 4 * block), "little")
+            at, spot = rank + (here & (1 << at - block * _BLOCK) - 1).bit_count(), ranks + 4 * -(-size // _BLOCK)
+        raise ValueError("an id continues after the last level")
+
+    def close(self) -> None:
+        self.file.close()
+
+
 _encoders: dict[str, Encoder] = {}
 _CUT = bytes(0x20 if b == 0x0A else b for b in range(256))
 _SPACE, _POINT, _ALNUM = (np.isin(np.arange(256), list(x)) for x in (b" \n", b".,", b"abcdefghijklmnopqrstuvwxyz0123456789"))
+#: The rules of a tokenizer that drops white space and lower-cases (fixed values): its ids are those of its words in a row.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Of a word's bytes packed in an integer, those that belong to it.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer's rules are those of :class:`Encoder`'s shortcut."""
+    rules = json.loads(tokenizer.to_str())
+    normal, before = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}
+    splits = before.get("pretokenizers", [])
+    return (
+        normal.get("normalizers") == _NORMAL
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": _SPLIT}, "Removed", True)
+        and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        and rules["post_processor"] is None and not rules["model"]["dropout"]
+    )
+
+
+class Memo:
+    """Ids of short words in a direct-mapped table of fixed size: a word's own bytes are the key, so a hit is exact."""
+
+    def __init__(self, slots: int, kind: type):
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.size, self.count = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)
+        self.ids = np.zeros((slots, MEMO_IDS), kind)
+
+    def keys(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' bytes as two integers, and their slots; ``data`` has 16 bytes more than its words."""
+        packed = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        low = packed[starts] & _MASK[np.minimum(size, 8)]
+        high = packed[starts + 8] & _MASK[np.clip(size - 8, 0, 8)]
+        mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
+        return low, high, ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) >> self.shift).astype(np.int64)
+
+    def has(self, low, high, slot, size) -> np.ndarray:
+        return (self.low[slot] == low) & (self.high[slot] == high) & (self.size[slot] == size)
+
+    def put(self, low, high, slot, size, first: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+        """Keep these words; of words of one slot, and of a slot's old word and a new one, the last stays."""
+        place = np.unique(slot[::-1], return_index=True)[1]  # one word for each slot, so that its fields agree
+        place = len(slot) - 1 - place
+        low, high, slot, size, first, count = (x[place] for x in (low, high, slot, size, first, count))
+        self.low[slot], self.high[slot], self.size[slot], self.count[slot] = low, high, size, count
+        for k in range(MEMO_IDS):
+            more = count > k
+            self.ids[slot[more], k] = flat[first[more] + k]
 
 
 class Encoder:
-    """A tokenizer that drops white space, with a memo of the ids of words.
-
-    Such a tokenizer never joins what a space or a line feed separates, nor a
-    letter or digit and the point or comma after it, so a text's ids are those
-    of these pieces in a row. It lower-cases, too, so pieces are remembered in
-    lower case; unless the texts hold combining marks, which may compose with a
-    small letter alone, or what may be a special token.
+    """A tokenizer, with a memo of the ids of words where its rules allow that.
+
+    A tokenizer that drops white space never joins what a space or a line feed
+    separates, nor a letter or digit and the point or comma after it, so a
+    text's ids are those of these pieces in a row. It lower-cases, too, so
+    pieces are remembered in lower case; unless the texts hold combining marks,
+    which may compose with a small letter alone, or what may be a special
+    token. Any other tokenizer is given whole texts.
     """
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, slots: int = MEMO_SLOTS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo_words = Tokenizer.from_file(path), memo_words
-        self._clear()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = by_words(self.tokenizer)
+        vocabulary = self.tokenizer.get_vocab()
+        self.memo = Memo(slots, np.uint16 if max(vocabulary.values(), default=0) < 1 << 16 else np.uint32)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        (self.mark,) = self._ids([b"|"])
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -154,49 +270,95 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.start = array("I"), array("q", [0])
-
-    def _learn(self, words: list[bytes]) -> None:
-        for one in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
-            self.flat.extend(one.ids)
-            self.start.append(len(self.flat))
-        n = len(self.known)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(one.ids, dtype=np.uint32) for one in found]
+
+    def _joined(self, words: list[bytes], gap: bytes, last: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(number of ids of each word, all of them in a row) of words encoded in one go; ``last`` marks the ids that end one, or is the mark's between two."""
+        (ids,) = self._ids([gap.join(words)])
+        if gap == b" ":
+            ends = np.flatnonzero(last[ids]) + 1
+            counts = np.diff(ends, prepend=0)
+            fits = len(ends) == len(words) and ends[-1] == len(ids)
+        else:
+            marks = np.flatnonzero(ids == last[0])
+            counts = np.diff(marks, prepend=-1, append=len(ids)) - 1
+            fits = len(counts) == len(words)
+            ids = np.delete(ids, marks)
+        return (counts, ids) if fits else None
+
+    def _learned(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids in a row) of distinct words.
+
+        ASCII letters alone are one unit each, whose last id ends a word. Of the
+        other words, those without the mark are told apart by it.
+        """
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, w in enumerate(words):
+            kinds[0 if w.isalpha() else 1 if b"|" not in w else 2].append(k)
+        plain, marked, rest = kinds
+        found = [(plain, self._joined([words[k] for k in plain], b" ", self.ends)) if plain else None, (marked, self._joined([words[k] for k in marked], b" | ", self.mark)) if marked and len(self.mark) == 1 else (marked, None)]
+        done = []
+        for one in found:
+            if one and one[1] is not None:
+                done.append((one[0], *one[1]))
+            elif one:
+                rest = rest + one[0]
+        own = self._ids([words[k] for k in rest])
+        done.append((rest, np.array([len(x) for x in own], dtype=np.int64), np.concatenate([np.empty(0, np.uint32), *own])))
+        counts = np.zeros(len(words), dtype=np.int64)
+        for at, n, _ in done:
+            counts[at] = n
+        flat, first = np.empty(counts.sum(), dtype=np.uint32), np.cumsum(counts) - counts
+        for at, n, ids in done:
+            flat[_runs(first[at], n)] = ids
+        return counts, flat
 
-    @staticmethod
-    def _pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """Pieces of all texts, and how many each text has (empty ones among them)."""
+    def __call__(self, texts: list[bytes], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids in a row), each text with ``end`` after it."""
+        if not self.by_words:
+            own = self._ids(texts)
+            sizes = np.array([len(x) for x in own], dtype=np.int64)
+            return sizes + 1, np.insert(np.concatenate([np.empty(0, np.uint32), *own]), np.cumsum(sizes), end).astype(np.uint32)
         whole = b"\n".join([b"", *texts, b""])
+        text_at = np.cumsum([1, *[len(t) + 1 for t in texts]])
         data = np.frombuffer(whole, dtype=np.uint8)
-        starts = np.cumsum([1, *[len(t) + 1 for t in texts]])
-        before = np.concatenate([[0], np.cumsum(_SPACE[data])])[starts]
         if b"<|" not in whole and b"\xcc" not in whole and b"\xcd" not in whole:
             data = np.frombuffer(whole.lower(), dtype=np.uint8)
             cut = np.flatnonzero(_ALNUM[data[:-2]] & _POINT[data[1:-1]] & _SPACE[data[2:]]) + 1 if len(data) > 2 else np.empty(0, dtype=np.int64)
-            before = before + np.searchsorted(cut, starts)
-            whole = np.insert(data, cut, 0x20).tobytes()
-        return whole.translate(_CUT).split(b" ")[1:-1], np.diff(before)
-
-    def __call__(self, texts: list[bytes], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids in a row), each text with ``end`` after it."""
-        words, counts = self._pieces(texts)
-        if len(self.known) > self.memo_words:
-            self._clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            self._learn(new)
-        code = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        start, flat = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.flat, dtype=np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        size = start[code + 1] - start[code]
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        sizes = np.bincount(text_of, weights=size, minlength=len(texts)).astype(np.int64)
-        before = np.cumsum(size) - size
-        place = np.repeat(start[code] - before, size) + np.arange(size.sum())
-        out = np.insert(flat[place], np.cumsum(sizes), end)
-        del start, flat  # else the arrays can't grow
-        return sizes + 1, out.astype(np.uint32)
+            data = np.insert(data, cut, 0x20)
+            text_at = text_at + np.searchsorted(cut, text_at)
+        edges = np.flatnonzero(np.diff(_SPACE[data])) + 1
+        starts, ends = edges[::2], edges[1::2]
+        size = ends - starts
+        data = np.concatenate([data, np.zeros(16, np.uint8)])
+        low, high, slot = self.memo.keys(data, starts, size)
+        short = size <= 16
+        hit = short & self.memo.has(low, high, slot, size)
+        counts, first = np.where(hit, self.memo.count[slot], 0).astype(np.int64), slot * MEMO_IDS
+        lost = np.flatnonzero(~hit)
+        raw = data.tobytes()
+        places: dict[bytes, int] = {}
+        code = np.fromiter((places.setdefault(raw[a:b], len(places)) for a, b in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)), dtype=np.int64, count=len(lost))
+        learned, flat = self._learned(list(places))
+        begin = np.cumsum(learned) - learned
+        counts[lost], first[lost] = learned[code], begin[code]
+        before = np.cumsum(counts) - counts
+        out = np.empty(counts.sum(), dtype=np.uint32)
+        out[_runs(before[hit], counts[hit])] = self.memo.ids.ravel()[_runs(first[hit], counts[hit])]
+        out[_runs(before[lost], counts[lost])] = flat[_runs(first[lost], counts[lost])]
+        new = lost[short[lost] & (counts[lost] <= MEMO_IDS)]
+        if len(new):
+            self.memo.put(low[new], high[new], slot[new], size[new], first[new], counts[new], flat)
+        total = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, text_at)]
+        sizes = np.diff(total)
+        return sizes + 1, np.insert(out, np.cumsum(sizes), end).astype(np.uint32)
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., ``count[0]`` of them, then the same of first[1], ..."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def write_tokens(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
@@ -209,7 +371,9 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id"
     spark = df.sparkSession
     small_batches(spark)
     order = [F.col(key).asc_nulls_first(), F.xxhash64(text).asc()]
-    rows = df.select(key, text).repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(key).cast("long"), text)
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    ranges = max(blocks(size, RANGE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks(size, LEAST_RANGE_BYTES)))
+    rows = df.select(key, text).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.col(key).cast("long"), text)
 
     def run(batches):
         encode = Encoder.of(tokenizer)
@@ -218,7 +382,15 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id"
 
         def content():
             yield _MAGIC
-            docs, sizes, ids, held = [], [], [], 0
+            docs, sizes, ids, held, entries, at = [], [], [], 0, [], len(_MAGIC)
+
+            def closed():
+                nonlocal at
+                entries.append((at, totals[1] - held))
+                raw = segment(docs, sizes, np.concatenate(ids))
+                at += len(raw)
+                return raw
+
             for batch in batches:
                 keys, texts = batch.column(0).to_pylist(), [t or b"" for t in binary(batch.column(1))]
                 for a, b in steps(texts):
@@ -230,10 +402,11 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id"
                     totals[0] += b - a
                     totals[1] += len(out)
                     if held >= segment_tokens:
-                        yield segment(docs, sizes, np.concatenate(ids))
+                        yield closed()
                         docs, sizes, ids, held = [], [], [], 0
             if docs:
-                yield segment(docs, sizes, np.concatenate(ids))
+                yield closed()
+            yield directory(entries)
 
         size = write_file(uri, content())
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([uri]), *[pa.array([x], pa.int64()) for x in (*totals, size)]], names=["file_no", "path", "n_docs", "n_tokens", "n_bytes"])
