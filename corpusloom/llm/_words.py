@@ -9,23 +9,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: 3 modulo 8: then powers of it differ in their low bits soon.
-_BASE = 0x9E3779B97F4A7C15 // 8 * 8 + 3
-_SPAN = 1 << 20
+#: Of a word's bytes packed in an integer, those that belong to it.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Longer words are hashed one by one.
-_LONG = 1 << 12
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWER = _powers(_BASE, _SPAN + _LONG + 1)
-_INVERSE = _powers(pow(_BASE, -1, 1 << 64), _SPAN + _LONG + 1)
+SHORT = 16
 
 #: True for the bytes that separate words of ``[^\x20\x09-\x0D]+``.
 SPACES = np.zeros(256, dtype=bool)
@@ -56,40 +44,82 @@ def spans(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.nd
     return data, starts, ends, np.searchsorted(starts, at)
 
 
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and second eight bytes of each word data[start:end] as integers, and the words' lengths; words of up to SHORT bytes are equal when these are."""
+    own = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+    size = ends - starts
+    eight = np.ndarray((len(own) - 7,), "<u8", own, strides=(1,))
+    return eight[starts] & _MASK[np.minimum(size, 8)], eight[starts + 8] & _MASK[np.clip(size - 8, 0, 8)], size
+
+
+def word_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word that do not depend on each other.
+
+    Each step is a permutation of 64 bits between two additions, so no family of
+    words is known to collide; longer words take both halves of their xxh3-128.
+    """
+    low, high, size = packed(data, starts, ends)
+    length = size.astype(np.uint64) * _ODD
+    one = mix(mix(low ^ np.uint64(0x2545F4914F6CDD1D)) + high) ^ length
+    two = mix(mix(high + np.uint64(0x8CB92BA72F3D8DD7)) ^ low) + length
+    one, two = mix(one), mix(two)
+    for k in np.flatnonzero(size > SHORT):
+        whole = xxhash.xxh3_128_intdigest(data[starts[k] : ends[k]].tobytes(), seed=1)
+        one[k], two[k] = whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
+    return one, two
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word data[start:end]."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + _SPAN, side="right")))
-        high = min(int(ends[j - 1]), low + _SPAN + _LONG)
-        total = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data[low:high]] * _POWER[: high - low], out=total[1:])
-        a, b = starts[i:j] - low, np.minimum(ends[i:j] - low, high - low)
-        out[i:j] = (total[b] - total[a]) * _INVERSE[np.minimum(a, len(_INVERSE) - 1)]
-        i = j
-    size = ends - starts
-    out = mix(out ^ size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    for k in np.flatnonzero(size > _LONG):
-        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed=1)
-    return out
+    return word_lanes(data, starts, ends)[0]
 
 
-def window_hashes(words: np.ndarray, length: int, base: int) -> np.ndarray:
-    """A hash of each run of ``length`` consecutive word hashes (by doubling)."""
+def window_hashes(words: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A hash of each run of ``length`` consecutive word hashes (by doubling, mixed at each step)."""
     n = len(words) - length + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    total, done, power, size, mult = np.zeros(n, dtype=np.uint64), 0, words * np.uint64(1), 1, base
-    left = length
+    total, done, run, size, left = np.full(n, seed, dtype=np.uint64), 0, words, 1, length
+    while left:
+        if left & 1:
+            total = mix(total * _ODD + run[done : done + n])
+            done += size
+        left >>= 1
+        if left:
+            run = mix(run[:-size] * _ODD + run[size:])
+            size *= 2
+    return total
+
+
+def exact_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words alone: words are compared by their bytes."""
+    low, high, size = packed(data, starts, ends)
+    long: dict[bytes, int] = {}
+    for k in np.flatnonzero(size > SHORT):
+        low[k], high[k], size[k] = long.setdefault(data[starts[k] : ends[k]].tobytes(), len(long)), 0, SHORT + 1
+    _, low = np.unique(low, return_inverse=True)
+    _, high = np.unique(high, return_inverse=True)
+    # Both are below the number of words, so that the three fit in 64 bits.
+    whole = (low.astype(np.uint64) << np.uint64(29) | high.astype(np.uint64)) * np.uint64(SHORT + 2) + size.astype(np.uint64)
+    return np.unique(whole, return_inverse=True)[1]
+
+
+def exact_runs(codes: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of ``length`` consecutive codes, equal for equal runs alone."""
+    n = len(codes) - length + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64)
+    total, done, run, size, left = np.zeros(n, dtype=np.int64), 0, codes, 1, length
+
+    def pairs(a, b):
+        return np.unique(a.astype(np.int64) << 31 | b, return_inverse=True)[1]
+
     while left:
         if left & 1:
-            total = total * np.uint64(mult) + power[done : done + n]
+            total = pairs(total, run[done : done + n]) if done else run[:n]
             done += size
         left >>= 1
         if left:
-            power = power[:-size] * np.uint64(mult) + power[size:]
-            mult = mult * mult & 0xFFFFFFFFFFFFFFFF
+            run = pairs(run[:-size], run[size:])
             size *= 2
-    return mix(total)
+    return total

@@ -1,25 +1,31 @@
 """N-gram Jaccard join: LSH candidates, Bayesian pruning, exact verification.
 
 Words are those of ``_words.MARKS`` in lower case; a shingle is ``SHINGLE``
-consecutive words (or all words of a shorter text), hashed to 64 bits. Two
-documents are linked when the Jaccard similarity of their sets of shingles is
-``THRESHOLD`` or more.
+consecutive words (or all words of a shorter text). Two documents are linked
+when the Jaccard similarity of their sets of shingles is ``THRESHOLD`` or more.
 
-1. Documents with equal sets are one class; a representative goes on.
+1. Documents with equal sets (by their number and two independent 64-bit sums
+   of hashes) are one class; a representative goes on.
 2. Representatives that agree in all minima of some band are candidates. With
    68 bands of 6 minima a pair at the threshold is missed once in 1e9.
 3. Within a band's bucket the minima's low bytes are compared 16 at a time, and
    a pair is dropped once the posterior probability that its similarity reaches
    the threshold (uniform prior) is below ``TOLERANCE``. What is left of a
    bucket is given by a spanning forest, never by its pairs.
-4. Forests of all buckets make components; every link lies within one. All
-   pairs of a component are verified by their exact intersections, in blocks of
-   bounded size; only counts of links and again a forest leave a task.
+4. Forests of all buckets make components; every link lies within one. In
+   blocks of bounded size, the pairs of a component are compared by their
+   minima in the same way, and those that survive are verified exactly: by the
+   intersection of their shingles, told apart by their words, not by hashes.
+   A component of more blocks than there are bands is cut by its buckets, and a
+   pair counts in the first band it shares, so a chain costs no more than its
+   buckets do. Only counts of links and again a forest leave a task.
 
 Defined results: a text without words has no link and is a class of its own; of
 rows with equal ids each is a document; null ids are allowed; a class is named
-by its least id (null if all its ids are null). Extra columns are not read, or
-pass through :func:`keep_one`.
+by its least id (null if all its ids are null), and of ties by their least place
+in the input. An empty table gives an empty result; a very long text is one
+row's set of shingles, held whole by one task at a time. Extra columns are not
+read, whatever their names, or pass through :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -29,13 +35,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._components import components
 from corpusloom.llm._parts import PART_BYTES, PART_ROWS, each_part, read_part, write_parts
 from corpusloom.llm._shared import binary, saved
-from corpusloom.llm._words import MARKS, NORMAL, mix, spans, window_hashes, word_hashes
+from corpusloom.llm._words import MARKS, NORMAL, exact_codes, exact_runs, mix, spans, window_hashes, word_lanes
 
 SHINGLE, THRESHOLD = 5, "0.8"
 BANDS, ROWS = 68, 6
@@ -43,24 +49,41 @@ BANDS, ROWS = 68, 6
 COMPARED, STEP = 128, 16
 TOLERANCE = 1e-7
 #: Representatives, and bytes of shingles, that one task compares with each other.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
-_BASE = 0x9E3779B97F4A7C15
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
+_SEED = 0x9E3779B97F4A7C15
 _RNG = np.random.Generator(np.random.PCG64(8))
 _MULTIPLY = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, and of each of them a second hash."""
     data, starts, ends, first = spans([t.translate(NORMAL) for t in texts], MARKS)
-    words = word_hashes(data, starts, ends)
-    whole = window_hashes(words, shingle, _BASE)
+    lanes = word_lanes(data, starts, ends)
+    whole = [window_hashes(lane, shingle, _SEED) for lane in lanes]
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= shingle:
+            one, at = np.unique(whole[0][a : b - shingle + 1], return_index=True)
+            out.append((one, whole[1][a + at]))
+        elif b > a:
+            out.append(tuple(window_hashes(lane[a:b], int(b - a), _SEED + int(b - a)) for lane in lanes))
+        else:
+            out.append((np.empty(0, np.uint64), np.empty(0, np.uint64)))
+    return out
+
+
+def exact_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingles of each text (of normal words) as numbers that are equal for equal words alone."""
+    data, starts, ends, first = spans(texts, MARKS)
+    words = exact_codes(data, starts, ends)
+    whole, short = exact_runs(words, shingle), {}
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= shingle:
             out.append(np.unique(whole[a : b - shingle + 1]))
         else:
-            out.append(window_hashes(words[a:b], int(b - a), _BASE) + np.uint64(b - a) if b > a else np.empty(0, np.uint64))
+            out.append(np.array([len(whole) + short.setdefault(tuple(words[a:b].tolist()), len(short))]))
     return out
 
 
@@ -181,16 +204,20 @@ def _in_blocks(rows: DataFrame, count: str, uid: str) -> DataFrame:
 
 def _verify(table: pa.Table, threshold: Fraction) -> pa.Table:
     """Exact links of a block, or between two: (uid, links, root) of each linked document."""
-    mine = table.column("mine").to_numpy()
     order = np.argsort(table.column("uid").to_numpy(), kind="stable")
-    sets = [np.frombuffer(b, "<u8") for b in table.column("shingles").to_pylist()]
-    sets, uids, weights, mine = [sets[k] for k in order], table.column("uid").to_numpy()[order], table.column("copies").to_numpy()[order], mine[order]
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    uids, weights, mine = (table.column(c).to_numpy()[order] for c in ("uid", "copies", "mine"))
+    words, signs, bands = (table.column(c).take(order).to_pylist() for c in ("words", "sign", "bands"))
+    i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    sets = exact_sets(words)
+    del words
+    signs = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, COMPARED)
+    bands = np.array(bands, dtype=np.int64) if bands[0] is not None else None
     sizes = np.array([len(s) for s in sets])
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.concatenate(sets)
     mark = np.zeros(codes.max() + 1, dtype=bool)
-    links, root = np.zeros(len(sets), dtype=np.int64), np.arange(len(sets))
+    links, root = np.zeros(len(sizes), dtype=np.int64), np.arange(len(sizes))
+    least = least_matches(float(threshold))
 
     def top(k):
         while root[k] != k:
@@ -198,17 +225,30 @@ def _verify(table: pa.Table, threshold: Fraction) -> pa.Table:
             k = root[k]
         return k
 
-    for k in range(len(sets) - 1):
-        if i != j and mine[k] != i and not (mine[k + 1 :] == i).any():
+    for k in range(len(sizes) - 1):
+        others = np.arange(k + 1, len(sizes))
+        if i != j:  # pairs within a block are counted in that block's own task
+            others = others[mine[others] != mine[k]]
+        small, large = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
+        others = others[small * threshold.denominator >= large * threshold.numerator]
+        if bands is not None and len(others):  # a pair counts in the first band it shares
+            same = bands[others] == bands[k]
+            others = others[same.any(axis=1) & (bands[k][same.argmax(axis=1)] == band)]
+        others = others[survivors(signs[k], signs[others], least)] if len(others) else others
+        if not len(others):
             continue
         own = codes[bounds[k] : bounds[k + 1]]
         mark[own] = True
-        shared = np.add.reduceat(mark[codes[bounds[k + 1] :]].astype(np.int32), bounds[k + 1 : -1] - bounds[k + 1])
+        if others[-1] - others[0] + 1 == len(others):
+            a, b = others[0], others[-1] + 1
+            shared = np.add.reduceat(mark[codes[bounds[a] : bounds[b]]].astype(np.int32), bounds[a:b] - bounds[a])
+        else:
+            counts = sizes[others]
+            ends = np.cumsum(counts)
+            at = np.repeat(bounds[others] - (ends - counts), counts) + np.arange(ends[-1])
+            shared = np.add.reduceat(mark[codes[at]].astype(np.int32), ends - counts)
         mark[own] = False
-        linked = shared * threshold.denominator >= (sizes[k] + sizes[k + 1 :] - shared) * threshold.numerator
-        if i != j:  # pairs within a block are counted in that block's own task
-            linked &= mine[k + 1 :] != mine[k]
-        others = np.flatnonzero(linked) + k + 1
+        others = others[shared * threshold.denominator >= (sizes[k] + sizes[others] - shared) * threshold.numerator]
         links[k] += weights[others].sum()
         links[others] += weights[k]
         for other in others[root[others] != root[k]]:
@@ -237,9 +277,10 @@ class Join:
             ids, texts = table.column(key).cast(pa.int64()), [t or b"" for t in binary(table.column(text))]
             for a in range(0, len(texts), 256):
                 rows = []
-                for k, own in enumerate(shingle_sets(texts[a : a + 256]), a):
+                for k, (own, second) in enumerate(shingle_sets(texts[a : a + 256]), a):
                     least = minima(own) if len(own) else None
-                    rows.append((part * PART_ROWS + k, ids[k].as_py(), *(int(x) for x in (mix(own).sum(dtype=np.uint64).astype(np.int64), mix(own ^ np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64))), len(own), None if least is None else least[:COMPARED].astype(np.uint8).tobytes(), None if least is None else band_keys(least)))
+                    sums = [int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (own, second)]
+                    rows.append((part * PART_ROWS + k, ids[k].as_py(), *sums, len(own), None if least is None else least[:COMPARED].astype(np.uint8).tobytes(), None if least is None else band_keys(least)))
                 kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -260,14 +301,17 @@ class Join:
         sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "uid")
         return sorted_rows.mapInArrow(lambda batches: _bucket_edges(batches, least), "a long, b long").distinct()
 
+    def _blocks(self) -> Column:
+        """Blocks of a group of m rows with ``total`` shingles."""
+        return F.greatest(F.ceil(F.col("m") / self.block_rows), F.ceil(F.col("total") * 8 / self.block_bytes))
+
     def verified(self) -> None:
         """(rep, links, root) of each representative with a link; links counts documents."""
         member = components(self.candidates()).withColumnRenamed("vertex", "rep").withColumnRenamed("root", "component")
-        member = member.join(self.reps.select("rep", "n", "copies"), "rep")
+        member = member.join(self.reps.select("rep", "n", "copies", "sign", "bands"), "rep")
         size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-        blocks = F.greatest(F.ceil(F.col("m") / self.block_rows), F.ceil(F.col("total") * 8 / self.block_bytes))
-        member = member.join(size.select("component", blocks.alias("blocks")), "component")
-        place = F.struct((F.col("rep") % PART_ROWS).alias("place"), "component", "blocks", "copies")
+        member = saved(member.join(size.select("component", self._blocks().alias("blocks")), "component"), "members")
+        place = F.struct((F.col("rep") % PART_ROWS).alias("place"), "component", "blocks", "copies", "sign")
         asked = member.groupBy((F.col("rep") / PART_ROWS).cast("long").alias("part")).agg(F.collect_list(place).alias("rows"))  # rows of one part
         text = self.text
 
@@ -276,16 +320,23 @@ class Join:
             rows = got["rows"]
             for a in range(0, len(rows), 256):
                 own = rows[a : a + 256]
-                sets = shingle_sets([texts[r["place"]] or b"" for r in own])
+                words = [b" ".join(texts[r["place"]].translate(NORMAL).split()) for r in own]
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([r[c] for r in own], pa.int64()) for c in ("component", "blocks", "copies")], pa.array([part * PART_ROWS + r["place"] for r in own], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["component", "blocks", "copies", "uid", "shingles"],
+                    [*[pa.array([r[c] for r in own], pa.int64()) for c in ("component", "blocks", "copies")], pa.array([part * PART_ROWS + r["place"] for r in own], pa.int64()), pa.array([r["sign"] for r in own], pa.binary()), pa.array(words, pa.binary())],
+                    names=["component", "blocks", "copies", "uid", "sign", "words"],
                 )
 
-        sets = each_part(self.parts, run, "component long, blocks long, copies long, uid long, shingles binary", saved(asked, "members"), only=True)
-        dealt = _in_blocks(sets, "blocks", "uid")
+        texts = each_part(self.parts, run, "component long, blocks long, copies long, uid long, sign binary, words binary", saved(asked, "asked"), only=True)
+        whole = F.col("blocks") <= BANDS
+        dealt = _in_blocks(texts.where(whole).withColumn("band", F.lit(0).cast("long")).withColumn("bands", F.lit(None).cast("array<long>")), "blocks", "uid")
+        long = member.where(~whole)
+        if not long.isEmpty():
+            keys = long.select("component", F.col("rep").alias("uid"), "n", "bands", F.explode("bands").alias("band"))
+            several = keys.groupBy("component", "band").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
+            keys = keys.drop("n").join(several.select("component", "band", self._blocks().alias("blocks")), ["component", "band"])
+            dealt = dealt.unionByName(_in_blocks(texts.drop("blocks").join(keys, ["component", "uid"]), "blocks", "uid"))
         threshold = self.threshold
-        found = saved(dealt.groupBy("component", "i", "j").applyInArrow(lambda t: _verify(t, threshold), "uid long, links long, root long").where("uid IS NOT NULL"), "verified")
+        found = saved(dealt.groupBy("component", "band", "i", "j").applyInArrow(lambda t: _verify(t, threshold), "uid long, links long, root long").where("uid IS NOT NULL"), "verified")
         roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
         links = found.groupBy("uid").agg(F.sum("links").alias("links"))
         self.found = saved(links.join(roots.withColumnRenamed("vertex", "uid"), "uid").withColumnRenamed("uid", "rep"), "links")

@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._parts import PART_BYTES, each_part, read_part, write_parts
 from corpusloom.llm._shared import binary, blocks, saved
-from corpusloom.llm._words import SPACES, spans, window_hashes, word_hashes
+from corpusloom.llm._words import SPACES, spans, window_hashes, word_lanes
 
 WINDOW = 20
 #: Perfect difference sets: every difference modulo the period is one of two members (fixed values).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Words of the corpus for each range of hashes: what a task of the exchange holds grows with this, not with the corpus.
 BUCKET_WORDS = 4 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _NULL = -(1 << 63)
 
 
@@ -52,7 +52,7 @@ class Part:
     def __init__(self, ids: list[int | None], texts: list[bytes], window: int):
         self.keys, self.texts, self.window = ids, texts, window
         data, starts, ends, self.first = spans(texts, SPACES)
-        self.words = word_hashes(data, starts, ends)
+        self.words, self.second = word_lanes(data, starts, ends)
         n = len(self.words)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.start = np.arange(n) - self.first[self.doc]
@@ -64,7 +64,7 @@ class Part:
         cover[list(COVERS.get(self.period, (0,)))] = True
         long = (self.first[self.doc + 1] - self.first[self.doc]) >= window
         self.at = np.flatnonzero(cover[self.start % self.period] & (self.left >= size) & long)
-        hashes = window_hashes(self.words, size, _BASES[0])
+        hashes = window_hashes(self.words, size, _SEEDS[0])
         self.anchors, self.inverse, counts = np.unique(hashes[self.at] if len(hashes) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
         self.often = counts > 1
 
@@ -78,7 +78,7 @@ class Part:
 
     def windows(self, at: np.ndarray) -> dict[str, np.ndarray]:
         """The distinct windows that start at ``at``, sorted by hash, with their first (id, start), and the starts that come after it."""
-        high, low = (window_hashes(self.words, self.window, b)[at] if len(at) else np.empty(0, np.uint64) for b in _BASES[1:])
+        high, low = (window_hashes(lane, self.window, seed)[at] if len(at) else np.empty(0, np.uint64) for lane, seed in ((self.words, _SEEDS[1]), (self.second, _SEEDS[2])))
         ids, start = self.ids[self.doc[at]], self.start[at]
         order = np.lexsort((start, ids, low, high))
         at, high, low, ids, start = (x[order] for x in (at, high, low, ids, start))

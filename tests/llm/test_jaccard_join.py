@@ -44,3 +44,52 @@ def test_groups_and_odd_rows(spark):
 def test_pruning_bounds():
     need = least_matches(0.8)
     assert need == sorted(need) and 0 < need[-1] < 128 * 0.8
+
+
+def _doubled(n, first="a", second="b"):
+    """Two long words that a polynomial of their bytes cannot tell apart modulo a power of two."""
+    one, two = first, second
+    while len(one) < n:
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_words_alike_are_told_apart(spark):
+    words = [f"w{k}" for k in range(31)]
+    a, b = _doubled(1024)
+    texts = [(1, " ".join([*words[:10], a, *words[11:]])), (2, " ".join([*words[:10], b, *words[11:]]))]
+    got = rows(join(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == sorted(brute_force(texts), key=str) and all(r[2] == 0 for r in got)
+
+
+def test_chains_cut_by_buckets_lose_no_link(spark):
+    """Components of more blocks than bands, a chain and a group of near copies among them."""
+    rng = random.Random(4)
+    words = [f"v{k}" for k in range(5000)]
+    chain = [rng.choice(words) for _ in range(600)]
+    texts = [(k, " ".join(chain[k * 3 : k * 3 + 100])) for k in range(160)]
+    base = [rng.choice(words) for _ in range(80)]
+    for k in range(200, 360):
+        own = list(base)
+        own[rng.randrange(80)] = rng.choice(words)
+        texts.append((k, " ".join(own)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(join(df, block_rows=2)) == rows(join(df)) == sorted(brute_force(texts), key=str)
+
+
+def test_recall_by_band_of_similarity(spark):
+    """Pairs from 0.8 on, each in a group of its own, by similarity."""
+    rng = random.Random(6)
+    words = [f"u{k}" for k in range(20000)]
+    texts, k = [], 0
+    for changed in (1, 2, 3, 4, 5):
+        for _ in range(40):
+            own = [rng.choice(words) for _ in range(220)]
+            other = list(own)
+            for p in range(changed):
+                other[20 + 40 * p] = rng.choice(words)
+            texts += [(k, " ".join(own)), (k + 1, " ".join(other))]
+            k += 2
+    want = sorted(brute_force(texts), key=str)
+    assert {r[2] for r in want[:80]} <= {0, 1} and sum(r[2] for r in want) >= 300
+    assert rows(join(spark.createDataFrame(texts, "doc_id long, text string"))) == want

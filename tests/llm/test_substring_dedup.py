@@ -35,3 +35,13 @@ def test_small_parts_and_odd_rows(spark):
     assert dedup(df.limit(0)).collect() == []
     kept = {(r.doc_id, r.n_words): r.kept for r in dedup(df, kept_text=True).collect()}
     assert kept[(9, 0)] == ""
+
+
+def test_words_alike_are_told_apart(spark):
+    words = [f"w{k}" for k in range(31)]
+    one, two = "a", "b"
+    while len(one) < 1024:
+        one, two = one + two, two + one
+    texts = [(1, " ".join([*words[:10], one, *words[11:]])), (2, " ".join([*words[:10], two, *words[11:]]))]
+    got = rows(dedup(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == sorted(brute_force(texts), key=str) and got[1][2] == 20
