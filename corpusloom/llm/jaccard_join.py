@@ -49,7 +49,7 @@ BANDS, ROWS = 68, 6
 COMPARED, STEP = 128, 16
 TOLERANCE = 1e-7
 #: Representatives, and bytes of shingles, that one task compares with each other.
-BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 _SEED = 0x9E3779B97F4A7C15
 _RNG = np.random.Generator(np.random.PCG64(8))
 _MULTIPLY = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

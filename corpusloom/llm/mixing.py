@@ -1,12 +1,15 @@
-"""Soft-membership mixing: document rates whose expected domain totals match targets.
+"""Soft-membership mixing: document rates whose expected domain token totals match targets.
 
-A domain is a class of the labelled table (clean, low, toxic). A naive Bayes
-classifier over binned native statistics and learned word lists gives each
-document a posterior over the domains. Rates are a non-negative least-squares
-fit of the expected domain token totals to their targets, by projected gradient
-steps from rate 1 on:
+A domain is a class of the labelled table (clean, low, toxic). A softmax
+regression over binned native statistics, shares of learned words among them,
+gives each document a posterior over the domains. The word lists are learned
+from one half of the labelled sample and the weights from the other, so the
+posteriors are not those of words already seen; with a weight for each bin and
+no penalty on the intercepts, the expected number of documents of each domain
+equals the labelled one. Rates are a least-squares fit of the expected domain
+token totals to their targets, by projected gradient steps from rate 1 on:
 
-    miss_k = sum_d w_d r_d p_dk - t_k,    r_d <- max(0, r_d - p_d . H miss)
+    miss_k = sum_d w_d r_d p_dk - t_k,    r_d <- min(cap, max(0, r_d - p_d . H miss))
 
 with w the documents' token shares. H, the inverse Gram matrix of the posteriors
 of documents whose rate isn't 0, is the metric of the step; with it a few steps
@@ -15,18 +18,26 @@ misses and that matrix, so each is one aggregation of a narrow table, and a
 document's rate is an expression in its own posterior: no state is kept for each
 document, and nothing but a few sums reaches the driver.
 
+No rate is above 1 unless the caller asks for it, so a mixture holds no document
+more often than the input. Targets that are not met are said so: by
+``Rates.miss``, by a column of the query, and by a warning of :func:`mix`.
+
 Everything is DataFrame expressions; no text is shuffled.
 
 Defined results: a null or empty text has no tokens and rate like any other of
-its posterior; documents with null or unknown ids are rated, but not learned
-from; repeated rows are rated each; null labels are not learned from; a domain
-that no document belongs to has its target given to the others; without labels
-all belong to the first domain. Extra columns pass through :func:`mix`.
+its posterior, a very long one is one array of words at a time; documents with
+null or unknown ids are rated, but not learned from; repeated rows are rated
+each, and get the same rate; null labels are not learned from; a domain that no
+document belongs to has its target given to the others; without labels all
+belong to the first domain; an empty table gives an empty one; words of equal
+gain are taken in their order. Extra columns pass through :func:`mix`, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,22 +47,30 @@ from pyspark.sql import functions as F
 from corpusloom.llm._shared import saved
 
 DOMAINS = ("clean", "low", "toxic")
-#: Target shares of the mixture's tokens.
-TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
-#: The same where what is not clean shouldn't be raised: clean documents stay whole, toxic ones are thinned, the rest is left.
+#: Target shares of the mixture's tokens. Some 3 % of documents without any mark are labelled toxic, so without copies no mixture goes far below that.
+TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
+#: The same where clean documents stay whole: toxic ones are thinned, the rest is left.
 CLEAN_TARGETS = {"clean": 0.98, "toxic": 0.02}
-#: The word lists are learned from so many labelled documents at most, those of the least hash; and hold so many words each.
+#: The classifier is learned from so many labelled documents at most, those of the least hash; a word list holds so many words.
 SAMPLE_ROWS, LIST_WORDS = 20_000, 400
+#: How many times as frequent in its domain a list's words are at least (a word not seen elsewhere counts as seen three times).
+LEVELS = {"strong": 50.0, "weak": 5.0}
+#: Penalty on the classifier's weights, in documents.
+PENALTY = 0.5
+#: Of the domain that limits a mixture without copies, the share that is kept, so that all targets can be met.
+SLACK = 0.95
 #: Share of the domains' masses added to the metric; steps at most; largest miss of a target, as a share of it, that ends them.
 DAMPING, STEPS, TOLERANCE = 1e-5, 30, 1e-3
 #: Bin edges of the statistics (fixed values).
 EDGES = {
-    "tokens": [10, 30, 100, 400, 1500],
+    "tokens": [10, 30, 100, 300, 1000, 3000],
     "symbols": [0.01, 0.05, 0.2, 0.6, 1.5],
     "capitals": [0.05, 0.15, 0.3, 0.6],
     "distinct": [0.1, 0.25, 0.4, 0.55, 0.7, 0.85],
-    "low_words": [0.002, 0.01, 0.03, 0.1, 0.3],
-    "toxic_words": [0.0005, 0.002, 0.006, 0.02],
+    "low_strong": [0.0005, 0.005, 0.05],
+    "low_weak": [0.002, 0.01, 0.03, 0.1, 0.3],
+    "toxic_strong": [0.00005, 0.002, 0.02],
+    "toxic_weak": [0.0005, 0.002, 0.006, 0.02],
 }
 
 
@@ -67,49 +86,54 @@ def domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 0) & (F.col("toxic") == 0), "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
-def labelled(labels: DataFrame) -> DataFrame:
-    return labels.select(F.col("doc_id").alias("_id"), domain().alias("_domain")).where("_id IS NOT NULL AND _domain IS NOT NULL")
+def labelled(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """_id, _domain and _half of the labelled sample."""
+    known = labels.select(F.col("doc_id").alias("_id"), domain().alias("_domain")).where("_id IS NOT NULL AND _domain IS NOT NULL")
+    order = F.xxhash64("_id")
+    return known.orderBy(order, "_id", "_domain").limit(sample_rows).withColumn("_half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)))
 
 
-def word_lists(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, list_words: int = LIST_WORDS) -> dict[str, list[str]]:
-    """For low and toxic, the words whose documents are of that domain by far more often than not.
+def word_lists(docs: DataFrame, known: DataFrame, list_words: int = LIST_WORDS) -> dict[str, list[str]]:
+    """For low and toxic, words whose documents are of that domain by far more often than not, by how often.
 
-    Learned from a bounded sample of the labelled rows, which is what lets it
-    be sent to the documents instead of shuffling their texts.
+    Learned from a bounded sample of labelled rows, which is what lets it be
+    sent to the documents instead of shuffling their texts.
     """
-    known = labelled(labels).orderBy(F.xxhash64("_id"), "_id", "_domain").limit(sample_rows)
-    counts = known.groupBy("_domain").count().collect()
-    total = {d: 0 for d in DOMAINS} | {r["_domain"]: r["count"] for r in counts}
+    total = {d: 0 for d in DOMAINS} | {r["_domain"]: r["count"] for r in known.groupBy("_domain").count().collect()}
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("_domain", F.explode(F.array_distinct(_words("text"))).alias("word"))
-    in_domain = {d: F.count_if(F.col("_domain") == d) for d in DOMAINS}
-    table = rows.groupBy("word").agg(*[in_domain[d].alias(d) for d in DOMAINS])
+    table = rows.groupBy("word").agg(*[F.count_if(F.col("_domain") == d).alias(d) for d in DOMAINS])
     lists = {}
     for d in DOMAINS[1:]:
-        others = [F.col(o) / max(total[o], 1) for o in DOMAINS if o != d]
-        rate, rest = F.col(d) / max(total[d], 1), F.greatest(*others)
-        gain = rate * F.log((rate + 1e-4) / (rest + 1e-4))
-        best = table.where(F.col(d) >= 4).where(rate > 5 * rest).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(list_words)
-        lists[d] = sorted(r.word for r in best.collect())
+        rate = F.col(d) / max(total[d], 1)
+        others = [o for o in DOMAINS if o != d]
+        rest = (sum((F.col(o) for o in others), F.lit(0)) + 3) / max(sum(total[o] for o in others), 3)
+        times = table.where(F.col(d) >= 4).select("word", (rate / rest).alias("times"), (rate * F.log(rate / rest)).alias("gain"))
+        above = math.inf
+        for level, least in LEVELS.items():
+            best = times.where((F.col("times") >= least) & (F.col("times") < above)).orderBy(F.desc("gain"), "word").limit(list_words)
+            lists[f"{d}_{level}"] = sorted(r.word for r in best.collect())
+            above = least
     return lists
 
 
+def _among(column: str, words: list[str]) -> Column:
+    return F.filter(column, lambda w: w.isin(words)) if words else F.expr("cast(array() as array<string>)")
+
+
 def statistics(lists: dict[str, list[str]], text: str = "text") -> dict[str, Column]:
-    """n_tokens and a bin of each statistic, as expressions over a column ``_words``."""
+    """n_tokens and a bin of each statistic, as expressions over the columns ``_words`` and ``_marked`` (those on a list)."""
     n = F.size("_words").cast("long")
     per = F.greatest(n, F.lit(1)).cast("double")
     plain = F.coalesce(F.col(text), F.lit(""))
-
-    def among(words: list[str]) -> Column:
-        return F.size(F.filter("_words", lambda w: w.isin(words))) if words else F.lit(0)
-
     values = {
         "tokens": n.cast("double"),
         "symbols": F.regexp_count(plain, F.lit(r"[#$%&*|!]")) / per,
         "capitals": F.regexp_count(plain, F.lit(r"[A-Z]")) / F.greatest(F.length(plain), F.lit(1)),
         "distinct": F.size(F.array_distinct("_words")) / per,
-        "low_words": among(lists.get("low", [])) / per,
-        "toxic_words": among(lists.get("toxic", [])) / per,
     }
+    for name in EDGES:
+        if name not in values:
+            values[name] = F.size(_among("_marked", lists.get(name, []))) / per
     out = {"n_tokens": n}
     for name, value in values.items():
         bin_of = F.lit(0)
@@ -121,7 +145,7 @@ def statistics(lists: dict[str, list[str]], text: str = "text") -> dict[str, Col
 
 @dataclass
 class Classifier:
-    """Log-probabilities: ``prior[k]`` and ``table[statistic][bin][k]``."""
+    """Logits: ``prior[k]`` and ``table[statistic][bin][k]``."""
 
     lists: dict[str, list[str]]
     prior: list[float]
@@ -138,23 +162,72 @@ class Classifier:
         return [1.0 / sum((F.exp(F.least(F.lit(700.0), other - own)) for other in sums), F.lit(0.0)) for own in sums]
 
 
-def learn(binned: DataFrame, labels: DataFrame, lists: dict[str, list[str]]) -> Classifier:
-    """Counts of bins in each domain, of all labelled documents (smoothed by 1)."""
-    known = labelled(labels)
-    rows = binned.join(known, binned["doc_id"] == known["_id"])
-    bins = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"b_{n}").alias("bin")) for n in EDGES])).alias("x")
-    counted = rows.select("_domain", bins).groupBy("_domain", "x.name", "x.bin").count().collect()  # a row for each domain and bin
-    found = {(r["_domain"], r["name"], r["bin"]): r["count"] for r in counted}
-    first = next(iter(EDGES))
-    totals = [sum(v for (d, n, _), v in found.items() if d == k and n == first) for k in DOMAINS]
-    every = sum(totals)
-    prior = [math.log(t / every) if t else -1e3 for t in totals] if every else [0.0] + [-1e3] * (len(DOMAINS) - 1)
-    table = {n: [[math.log((found.get((d, n, b), 0) + 1) / (t + len(e) + 1)) for d, t in zip(DOMAINS, totals, strict=True)] for b in range(len(e) + 1)] for n, e in EDGES.items()}
-    return Classifier(lists, prior, table)
+def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = 60) -> np.ndarray:
+    """Weights (features, classes) of a softmax regression by Newton steps; column 0 of ``x`` is 1 and goes without a penalty.
+
+    The first class with rows has weights 0; classes without rows are left out by an intercept of -1000.
+    """
+    n, d, k = len(x), x.shape[1], y.shape[1]
+    out = np.zeros((d, k))
+    have = [c for c in range(k) if (weight * y[:, c]).sum() > 0]
+    out[0, [c for c in range(k) if c not in have]] = -1e3
+    own = have[1:]
+    if not own:
+        return out
+    ridge = np.full(d, penalty)
+    ridge[0] = 1e-9
+
+    def loss(w):
+        z = x @ w
+        top = z.max(axis=1, keepdims=True)
+        return float((weight * ((np.log(np.exp(z - top).sum(axis=1, keepdims=True)) + top)[:, 0] - (z * y).sum(axis=1))).sum() + 0.5 * (ridge[:, None] * w[:, own] ** 2).sum())
+
+    now = loss(out)
+    for _ in range(rounds):
+        z = x @ out
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        slope = np.concatenate([x.T @ (weight * (p[:, c] - y[:, c])) + ridge * out[:, c] for c in own])
+        curve = np.block([[(x * (weight * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x + (a == b) * np.diag(ridge + 1e-9) for b in own] for a in own])
+        step, size = np.linalg.solve(curve, slope).reshape(len(own), d).T, 1.0
+        while size > 1e-6:
+            new = out.copy()
+            new[:, own] -= size * step
+            if (value := loss(new)) <= now:
+                break
+            size /= 2
+        else:
+            break
+        done, out, now = now - value < 1e-9 * (1 + n), new, value
+        if done:
+            break
+    return out
+
+
+def learn(binned: DataFrame, known: DataFrame, lists: dict[str, list[str]]) -> Classifier:
+    """The regression over the bins of the labelled sample's documents, which are counted before they are collected."""
+    rows = binned.join(F.broadcast(known), binned["doc_id"] == known["_id"])
+    counted = rows.groupBy("_domain", *[f"b_{n}" for n in EDGES]).count().collect()  # SAMPLE_ROWS rows at most
+    first, at = {}, 1
+    for name, edges in EDGES.items():
+        first[name], at = at, at + len(edges) + 1
+    x, y = np.zeros((len(counted), at)), np.zeros((len(counted), len(DOMAINS)))
+    x[:, 0] = 1
+    for k, r in enumerate(counted):
+        y[k, DOMAINS.index(r["_domain"])] = 1
+        for name in EDGES:
+            x[k, first[name] + r[f"b_{name}"]] = 1
+    w = regression(x, y, np.array([float(r["count"]) for r in counted]))
+    if not counted:
+        w[0] = [0.0] + [-1e3] * (len(DOMAINS) - 1)
+    return Classifier(lists, w[0].tolist(), {n: w[first[n] : first[n] + len(e) + 1].tolist() for n, e in EDGES.items()})
 
 
 def with_bins(docs: DataFrame, lists: dict[str, list[str]], *keep: str) -> DataFrame:
-    return docs.withColumn("_words", _words("text")).select(*keep, *[c.alias(n) for n, c in statistics(lists).items()])
+    every = sorted({w for words in lists.values() for w in words})
+    words = docs.withColumn("_words", _words("text"))
+    words = words.withColumn("_marked", _among("_words", every))
+    return words.select(*keep, *[c.alias(n) for n, c in statistics(lists).items()])
 
 
 @dataclass
@@ -162,70 +235,92 @@ class Rates:
     """A document's rate as an expression in its posteriors."""
 
     steps: list[list[float]] = field(default_factory=list)
+    cap: float = 1.0
+    kept: list[int] = field(default_factory=list)  #: domains whose documents have rate 1
+    miss: float = 0.0  #: the largest miss of a target, as a share of it
 
     def column(self, p: list[Column]) -> Column:
         """The steps one after another; they are one constant, so code compiled for one step serves all."""
         if not self.steps:
             return F.lit(1.0)
         steps = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.steps])
-        return F.aggregate(steps, F.lit(1.0), lambda rate, c: F.greatest(F.lit(0.0), rate - sum((x * c[k] for k, x in enumerate(p)), F.lit(0.0))))
+        rate = F.aggregate(steps, F.lit(1.0), lambda r, c: F.least(F.lit(float(self.cap)), F.greatest(F.lit(0.0), r - sum((x * c[k] for k, x in enumerate(p)), F.lit(0.0)))))
+        return F.when(self.mostly(p), F.lit(1.0)).otherwise(rate) if self.kept else rate
+
+    def mostly(self, p: list[Column]) -> Column:
+        """Whether a document belongs to a domain that is kept before all others."""
+        return F.greatest(F.lit(0.0), *[p[k] for k in self.kept]) >= F.greatest(F.lit(0.0), *[x for k, x in enumerate(p) if k not in self.kept])
 
 
-def fit(posteriors: DataFrame, targets: dict[str, float], budget: float | None = None, keep: tuple[str, ...] = (), damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
-    """Projected gradient over the table of posteriors (n_tokens, p_0, ...).
+def fit(posteriors: DataFrame, targets: dict[str, float], budget: float | None = None, keep: tuple[str, ...] = (), cap: float = 1.0, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
+    """Projected gradient over the table of posteriors (n_tokens, p_0, ...), with rates from 0 to ``cap``.
 
-    Domains without a target are left as they come. ``budget`` is the mixture's
-    size in tokens: by default the input's, or, with ``keep``, what leaves these
-    domains whole, and then the others get at most what they have.
+    Domains without a target are left as they come. Documents of ``keep`` have
+    rate 1, and the other domains' targets are relative to these. ``budget`` is
+    the mixture's size in tokens: by default the input's, or, where no rate may
+    be above 1, the largest that its domains have tokens for (less ``SLACK``).
     """
     p = [F.col(f"p_{k}") for k in range(len(DOMAINS))]
     tokens = F.col("n_tokens").cast("double")
+    kept = [k for k, d in enumerate(DOMAINS) if d in keep]
     sums = posteriors.agg(F.sum(tokens).alias("n"), *[F.sum(tokens * x).alias(f"m{k}") for k, x in enumerate(p)]).first()
     n = sums["n"] or 0.0
     shares = [(sums[f"m{k}"] or 0.0) / n if n else 0.0 for k in range(len(DOMAINS))]
     live = [s > 1e-9 and d in targets for d, s in zip(DOMAINS, shares, strict=True)]
     weight = [targets.get(d, 0.0) if ok else 0.0 for d, ok in zip(DOMAINS, live, strict=True)]
     if not n or sum(weight) <= 0:
-        return Rates()
+        return Rates(cap=cap, kept=kept)
     weight = [w / sum(weight) for w in weight]
-    size = budget / n if budget is not None else max([1.0] if not keep else [s / w for d, s, w in zip(DOMAINS, shares, weight, strict=True) if d in keep and w > 0] or [1.0])
+    most = min([s / w for s, w in zip(shares, weight, strict=True) if w > 0])
+    size = budget / n if budget is not None else 1.0 if cap > 1 else 1.0 if most > 1 - 1e-9 else SLACK * most
+    if kept and budget is None:
+        size = max([shares[k] / weight[k] for k in kept if weight[k] > 0] or [1.0])
     goal = [w * size for w in weight]
-    if keep and budget is None:
+    if kept:  # what is kept has no target of its own, and of the others no more is asked for than there is
         goal = [min(g, s) for g, s in zip(goal, shares, strict=True)]
-    rates, best, least, size = Rates(), Rates(), math.inf, 1.0
+        live = [ok and k not in kept for k, ok in enumerate(live)]
+        if not any(live):
+            return Rates(cap=cap, kept=kept)
+    best, least, before, slow, size = Rates(cap=cap, kept=kept), math.inf, math.inf, 0, 1.0
+    rates = Rates(cap=cap, kept=kept)
     direction = np.zeros(len(p))
     pairs = [(i, j) for i in range(len(p)) for j in range(i + 1)]
     for _ in range(steps):
-        rate = rates.column(p)
-        free = F.when(F.col("_r") > 0, tokens).otherwise(0.0)
-        now = posteriors.withColumn("_r", rate).agg(*[F.sum(tokens * F.col("_r") * x).alias(f"s{k}") for k, x in enumerate(p)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        # Free is what isn't at a bound, or was just moved away from it.
+        moved = F.aggregate(F.array(F.array(*[F.lit(float(d)) for d in direction])), F.lit(0.0), lambda a, c: a + sum((x * c[k] for k, x in enumerate(p)), F.lit(0.0)))  # a constant, as in Rates.column
+        free = (F.col("_r") > 0) & ((F.col("_r") < cap) | (moved > 0)) if rates.steps else F.lit(True)
+        free = F.when(free & ~rates.mostly(p) if kept else free, tokens).otherwise(0.0)
+        now = posteriors.withColumn("_r", rates.column(p)).agg(*[F.sum(tokens * F.col("_r") * x).alias(f"s{k}") for k, x in enumerate(p)], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
         gap = np.array([now[f"s{k}"] / n - g if ok else 0.0 for k, (g, ok) in enumerate(zip(goal, live, strict=True))])
-        miss = max(abs(x) / g for x, g in zip(gap, goal, strict=True) if g)
-        if miss < least:
-            best, least = Rates(list(rates.steps)), miss
-            if miss < tolerance:
+        squares = sum(x * x / g for x, g, ok in zip(gap, goal, live, strict=True) if ok)
+        if squares < least * (1 - 1e-6):
+            miss = max(abs(x) / g for x, g, ok in zip(gap, goal, live, strict=True) if ok)
+            best, least, size = Rates(list(rates.steps), cap, kept, miss), squares, 1.0
+            slow = slow + 1 if squares > 0.95 * before else 0
+            before = squares
+            if miss < tolerance or slow == 3:  # met, or as near as rates within their bounds come
                 break
-        elif size > 0.1:
-            rates, size = Rates(list(best.steps)), size / 2  # a step that made it worse is taken again, half as long
-            rates.steps.append([float(size * x) for x in direction])
-            continue
-        gram = np.zeros((len(p), len(p)))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = now[f"g{i}_{j}"] / n
-        own = np.flatnonzero(live)
-        direction = np.zeros(len(p))
-        direction[own] = np.linalg.solve((gram + damping * np.diag(np.maximum(shares, 1e-9)))[np.ix_(own, own)], gap[own])
-        size = 1.0
-        rates.steps.append([float(x) for x in direction])
+            gram = np.zeros((len(p), len(p)))
+            for i, j in pairs:
+                gram[i, j] = gram[j, i] = now[f"g{i}_{j}"] / n
+            own = np.flatnonzero(live)
+            direction = np.zeros(len(p))
+            direction[own] = np.linalg.solve((gram + damping * np.diag(np.maximum(shares, 1e-9)))[np.ix_(own, own)], gap[own])
+        elif size > 0.02:
+            size /= 2  # a step that made it worse is taken again, half as long
+        else:
+            break
+        rates = Rates([*best.steps, [float(size * x) for x in direction]], cap, kept)
     return best
 
 
 def prepared(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Classifier]:
     """The saved narrow table doc_id, n_tokens, p_0, ... of all documents, and the classifier."""
     docs = docs.select("doc_id", "text")
-    lists = word_lists(docs, labels)
+    known = saved(labelled(labels), "labelled")
+    lists = word_lists(docs, known.where("_half = 0"))
     binned = saved(with_bins(docs, lists, "doc_id"), "bins")
-    model = learn(binned, labels, lists)
+    model = learn(binned, known.where("_half = 1"), lists)
     return saved(binned.select("doc_id", "n_tokens", *[p.alias(f"p_{k}") for k, p in enumerate(model.posteriors())]), "posteriors"), model
 
 
@@ -234,27 +329,29 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 20)) / (1 << 20)).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = CLEAN_TARGETS, keep: tuple[str, ...] = ("clean",)) -> DataFrame:
-    """``docs``, each row as often as its rate says; documents that belong to ``keep`` before all remain at least once. Same columns, no shuffle."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = CLEAN_TARGETS, keep: tuple[str, ...] = ("clean",), cap: float = 1.0) -> DataFrame:
+    """``docs``, each row as often as its rate says: never more than once with a ``cap`` of 1.
+
+    Documents that belong to ``keep`` before all remain, once each. Same columns, no shuffle.
+    """
     table, model = prepared(docs, labels)
-    rates = fit(table, targets, keep=keep)
+    rates = fit(table, targets, keep=keep, cap=cap)
+    if rates.miss > TOLERANCE:
+        warnings.warn(f"a domain's expected tokens miss their target by {rates.miss:.1%} of it", stacklevel=2)
     names = {f"_c{k}": c for k, c in enumerate(docs.columns)}  # the caller's columns may be called as ours
     rows = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for n, c in names.items()])
     out = with_bins(rows, model.lists, "doc_id", *names)
     p = [F.col(f"_p{k}") for k in range(len(DOMAINS))]
     out = out.select("doc_id", *names, *[x.alias(f"_p{k}") for k, x in enumerate(model.posteriors())])
     times = copies(rates.column(p), F.col("doc_id"))
-    kept = [k for k, d in enumerate(DOMAINS) if d in keep]
-    if kept:
-        mine = F.greatest(F.lit(0.0), *[p[k] for k in kept]) >= F.greatest(F.lit(0.0), *[x for k, x in enumerate(p) if k not in kept])
-        times = F.when(mine, F.greatest(times, F.lit(1))).otherwise(times)
-    copied = out.select(*names, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
-    return copied.select(*[F.col(n).alias(c) for n, c in names.items()])
+    out = out.where(times > 0) if cap <= 1 else out.select(*names, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
+    return out.select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     table, _ = prepared(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = [F.col(f"p_{k}") for k in range(len(DOMAINS))]
-    rate = fit(table, TARGETS).column(p)
-    return table.select("doc_id", "n_tokens", *[x.alias(f"p_{d}") for d, x in zip(DOMAINS, p, strict=True)], rate.alias("rate")).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    rates = fit(table, TARGETS)
+    out = table.select("doc_id", "n_tokens", *[x.alias(f"p_{d}") for d, x in zip(DOMAINS, p, strict=True)], rates.column(p).alias("rate"))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("largest_miss", F.lit(float(rates.miss)))
