@@ -26,11 +26,13 @@ STEP_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is configured (tests)."""
+    """The folder all executors see; a temporary one only where none is configured and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)

@@ -9,19 +9,24 @@ the words themselves confirms one. Windows of different length have tables of
 their own, so short items do not shorten the shifts of the others.
 
 Defined results: a null or empty text has no words and no hits; an empty
-benchmark hits nothing; a null item has no window; item ids that repeat count
-once; repeated documents are judged each. Extra columns are not read.
+benchmark hits nothing, and an empty table of documents gives no row; a null
+item, or one with a null id, has no window; item ids that repeat count once;
+repeated documents are judged each; a very long text is searched whole. Extra
+columns, of whatever names, are not read by the query and pass through
+:func:`clean`.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._shared import binary, small_batches
+from corpusloom.llm._shared import binary, saved, small_batches
 from corpusloom.llm._words import NORMAL
 
 WINDOW = 10
@@ -97,30 +102,44 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple[str, bytes | None]]]:
-    """The items in parts of at most ``limit`` bytes of text each, read one part at a time.
-
-    A benchmark is a given set of test items, which does not grow with the corpus.
-    """
+def _parts(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[tuple[list[tuple[str, bytes | None]], bool]]:
+    """The items in parts of about ``limit`` bytes of text, and whether more follow; the driver holds one part at a time."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // limit + 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r.item, r.text.encode()) for r in (rows.where(part == k) if n > 1 else rows).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.item, r.text.encode()) for r in (rows.where(part == k) if n > 1 else rows).collect()], k + 1 < n
+
+
+_tables: dict[str, Benchmark] = {}
+
+
+def _built(name: str, part, window: int) -> Benchmark:
+    """The tables of a part, built once in a worker process; those of an earlier part go."""
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = Benchmark(part(), window)
+    return _tables[name]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """``docs`` with n_words, ``hits`` (ranges of words, from and to) and ``items`` (ids found); no shuffle."""
+    """``docs`` with n_words, ``hits`` (ranges of words, from and to) and ``items`` (ids found); no shuffle.
+
+    A benchmark beyond ``table_bytes`` takes a pass for each part of it, and
+    what each pass found is saved before the next. Columns of the caller's with
+    these three names give way.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     out = docs.select(*[F.col(f"`{c}`") for c in keep]).select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<long>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     schema, names = out.schema, out.columns
-    for part in _parts(benchmark, item, item_text, table_bytes):
-        shared = spark.sparkContext.broadcast((part, window))
+    for part, more in _parts(benchmark, item, item_text, table_bytes):
+        shared, named = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
-        def run(batches, shared=shared):
-            tables = Benchmark(*shared.value)
+        def run(batches, shared=shared, named=named):
+            tables = _built(named, lambda: shared.value, window)
             for batch in batches:
                 counts, hits, items = [], batch.column("hits").to_pylist(), batch.column("items").to_pylist()
                 for k, one in enumerate(binary(batch.column(text))):
@@ -133,6 +152,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
         out = out.mapInArrow(run, schema)
+        if more:
+            out = saved(out, "scanned")
+            shared.destroy()
     return out
 
 

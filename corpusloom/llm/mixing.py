@@ -344,7 +344,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = CLEAN_TA
     p = [F.col(f"_p{k}") for k in range(len(DOMAINS))]
     out = out.select("doc_id", *names, *[x.alias(f"_p{k}") for k, x in enumerate(model.posteriors())])
     times = copies(rates.column(p), F.col("doc_id"))
-    out = out.where(times > 0) if cap <= 1 else out.select(*names, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
+    # A generator even where no row is copied: a filter would be pushed below the statistics and have them counted again for each use.
+    out = out.select(*names, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
     return out.select(*[F.col(n).alias(c) for n, c in names.items()])
 
 

@@ -9,8 +9,10 @@ classes' Mahalanobis log-densities and log-priors.
 Defined results: a null text is an empty one and has a score like any other; a
 null document id is never held out and never labelled; repeated rows are scored
 each, repeated labels count each; null labels are not learned from; without
-labels of both classes the score is the (smoothed) share of label 1. Extra
-columns are not read.
+labels of both classes the score is the (smoothed) share of label 1; an empty
+table gives no row; very long texts are worked on one at a time, whole; scores
+at the threshold count as 1, and ties need no order. Extra columns, of whatever
+names, are not read.
 """
 
 from __future__ import annotations
@@ -93,15 +95,15 @@ def _statistics(texts: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Gaussian:
-    """A class's share, mean and the Cholesky factor of its covariance."""
+    """A class's share, mean and the inverse of its covariance's Cholesky factor."""
 
     log_prior: float
     mean: np.ndarray
-    factor: np.ndarray
+    inverse: np.ndarray
     log_det: float
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
+        z = self.inverse @ (x - self.mean).T
         return self.log_prior - 0.5 * (self.log_det + (z * z).sum(axis=0))
 
 
@@ -131,7 +133,7 @@ def model_of(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage
     classes = []
     for k in (0, 1):
         factor = np.linalg.cholesky((1 - shrinkage) * covariances[k] + shrinkage * pooled + ridge * np.eye(len(NAMES)))
-        classes.append(Gaussian(float(np.log(n[k] / sum(n))), means[k], factor, float(2 * np.log(np.diag(factor)).sum())))
+        classes.append(Gaussian(float(np.log(n[k] / sum(n))), means[k], np.linalg.inv(factor), float(2 * np.log(np.diag(factor)).sum())))
     return Model(tuple(classes), prior)
 
 

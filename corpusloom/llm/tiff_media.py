@@ -5,7 +5,8 @@ decodes strips or tiles packed with PackBits, LZW or deflate, undoes horizontal
 differencing, and gives one row per directory. The writer makes such files.
 
 Defined results: a null media value gives no page; a null or empty text is
-stored as one unit of padding. Equal texts give equal files. A page is at most
+stored as one unit of padding. Equal texts give equal files, and repeated or tied
+rows need no order; an empty table gives no row. A page is at most
 ``PAGE_ROWS`` rows high, so a long text becomes several pages and no strip is
 longer than ``STRIP_ROWS`` rows, which bounds what one decode step holds.
 Extra columns are not read; repeated rows give repeated results.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm._shared import binary, small_batches
 
 UNIT, PAD = 576, 255
-STRIP_ROWS, PAGE_ROWS = 64, 4096
+STRIP_ROWS, PAGE_ROWS, TILE = 64, 4096, 64
 
 # Values of the TIFF 6.0 specification.
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
@@ -35,6 +36,10 @@ _WIDTH, _LENGTH, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS = 256, 257, 258, 25
 _SAMPLES, _ROWS, _COUNTS, _PLANAR, _PREDICTOR = 277, 278, 279, 284, 317
 _TILE_WIDTH, _TILE_LENGTH, _TILE_OFFSETS, _TILE_COUNTS = 322, 323, 324, 325
 _SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4)}
+#: Bytes that a byte of packed data can become at most, by the formats: what a directory promises beyond that is broken.
+_RATIO = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, DEFLATE_OLD: 1032}
+#: What a broken file may raise.
+_BROKEN = (ValueError, struct.error, zlib.error, LookupError, ArithmeticError, MemoryError, TypeError)
 #: Directories of one file; a longer chain is a loop.
 _MAX_PAGES = 1 << 20
 
@@ -239,6 +244,8 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
         if kind not in _SIZES:
             continue
         code, size = _SIZES[kind]
+        if size * count > len(data):
+            raise ValueError(f"tag {tag} points beyond the file")
         spot = at + 2 + 12 * k + 8
         if size * count > 4:
             (spot,) = struct.unpack_from(f"{order}I", data, spot)
@@ -255,8 +262,12 @@ def _one(tags: dict[int, tuple], tag: int, default: int | None = None) -> int:
     return tags[tag][0] if tags.get(tag) else default
 
 
-def decode(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file, in the order of its directories."""
+def decode(data: bytes, errors: bool = False) -> Iterator[Page | tuple[int, str]]:
+    """The pages of a TIFF file, in the order of its directories.
+
+    With ``errors``, a page that can't be decoded is (its number, what is wrong)
+    and the next one follows; else it raises.
+    """
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(bytes(data[:4]))
     if order is None:
         raise ValueError("no TIFF header")
@@ -267,35 +278,61 @@ def decode(data: bytes) -> Iterator[Page]:
             raise ValueError("the directories form a loop")
         seen.add(at)
         tags, following = _directory(data, at, order)
-        yield _page(data, tags, order, len(seen) - 1)
+        try:
+            yield _page(data, tags, order, len(seen) - 1)
+        except _BROKEN as e:
+            if not errors:
+                raise
+            yield len(seen) - 1, f"{type(e).__name__}: {e}"
         at = following
 
 
+def _samples(raw: bytes, kind: np.dtype, bits: int, rows: int, wide: int, samples: int) -> np.ndarray:
+    """Rows of samples; those of less than 8 bits are unpacked, each row from a byte of its own on."""
+    if bits >= 8:
+        return np.frombuffer(raw, dtype=kind).reshape(rows, wide, samples)
+    one = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : wide * samples * bits]
+    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+    return (one.reshape(rows, wide, samples, bits) * weights).sum(axis=3, dtype=np.uint8)
+
+
 def _page(data: bytes, tags: dict[int, tuple], order: str, index: int) -> Page:
     width, height = _one(tags, _WIDTH), _one(tags, _LENGTH)
-    samples, compression, predictor = _one(tags, _SAMPLES, 1), _one(tags, _COMPRESSION, NONE), _one(tags, _PREDICTOR, 1)
-    bits = set(tags.get(_BITS, (1,)))
-    if bits not in ({8}, {16}) or _one(tags, _PLANAR, 1) != 1 or predictor not in (1, 2):
-        raise ValueError(f"bits {bits}, planes or predictor {predictor} are not supported")
-    kind = np.dtype(f"{order}u{bits.copy().pop() // 8}")
+    samples, compression, predictor, planes = _one(tags, _SAMPLES, 1), _one(tags, _COMPRESSION, NONE), _one(tags, _PREDICTOR, 1), _one(tags, _PLANAR, 1)
+    found = set(tags.get(_BITS, (1,)))
+    bits = found.pop()
+    if found or bits not in (1, 2, 4, 8, 16, 32) or planes not in (1, 2) or predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise ValueError(f"bits {bits}, planes {planes} or predictor {predictor} are not supported")
+    if compression not in _RATIO:
+        raise ValueError(f"compression {compression} is not supported")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = _TILE_OFFSETS in tags
-    high, wide = (_one(tags, _TILE_LENGTH), _one(tags, _TILE_WIDTH)) if tiled else (min(_one(tags, _ROWS, height), height) or 1, width)
+    high, wide = (_one(tags, _TILE_LENGTH), _one(tags, _TILE_WIDTH)) if tiled else (min(_one(tags, _ROWS, height), height), width)
+    if min(width, height, samples, high, wide) < 1:
+        raise ValueError("a width, height or number of samples is 0")
     offsets, counts = (tags[_TILE_OFFSETS], tags[_TILE_COUNTS]) if tiled else (tags[_OFFSETS], tags[_COUNTS])
-    across, down = -(-width // wide) if width else 0, -(-height // high)
-    if len(offsets) != across * down or len(counts) != len(offsets):
+    across, down, layers = -(-width // wide), -(-height // high), samples if planes == 2 else 1
+    if len(offsets) != across * down * layers or len(counts) != len(offsets):
         raise ValueError("the number of strips or tiles does not fit the size")
+    each = samples // layers
+    line = -(-wide * each * bits // 8)
+    if (down if tiled else height / high) * high * line * across * layers > _RATIO[compression] * (sum(counts) + 16 * len(counts)):
+        raise ValueError("the directory promises more than its bytes can hold")
+    if any(at + n > len(data) for at, n in zip(offsets, counts, strict=True)):
+        raise ValueError("a strip or tile lies beyond the file")
     pixels = np.empty((height, width, samples), dtype=kind.newbyteorder("="))
     for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
-        y, x = k // across * high, k % across * wide
+        layer, cell_no = divmod(k, across * down)
+        y, x = cell_no // across * high, cell_no % across * wide
         rows = high if tiled else min(high, height - y)
-        if at + n > len(data):
-            raise ValueError("a strip or tile lies beyond the file")
-        raw = _unpack(data[at : at + n], compression, rows * wide * samples * kind.itemsize)
-        cell = np.frombuffer(raw, dtype=kind).astype(pixels.dtype).reshape(rows, wide, samples)
+        if rows * line > _RATIO[compression] * (n + 16):
+            raise ValueError("a strip or tile promises more than its bytes can hold")
+        cell = _samples(_unpack(data[at : at + n], compression, rows * line), kind, bits, rows, wide, each).astype(pixels.dtype)
         if predictor == 2:
             cell = np.cumsum(cell, axis=1, dtype=pixels.dtype)
-        pixels[y : y + rows, x : x + wide] = cell[: height - y, : width - x]
-    return Page(index, width, height, kind.itemsize * 8, samples, compression, predictor, pixels)
+        part = pixels[y : y + rows, x : x + wide]
+        part[:, :, layer * each : (layer + 1) * each] = cell[: height - y, : width - x]
+    return Page(index, width, height, bits, samples, compression, predictor, pixels)
 
 
 def payload(text: bytes | None, unit: int = UNIT) -> bytes:
@@ -305,8 +342,17 @@ def payload(text: bytes | None, unit: int = UNIT) -> bytes:
 
 
 def store(data: bytes, unit: int = UNIT) -> bytes:
+    """``data`` as a TIFF file. Its form goes by its checksum: of 16, one each has LZW strips, PackBits strips, big-endian deflate tiles; the rest has deflate strips with differencing."""
     rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, unit)
-    return encode([rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)], DEFLATE, predictor=2, level=3)
+    images = [rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)]
+    form = zlib.crc32(data) % 16
+    if form == 0:
+        return encode(images, LZW)
+    if form == 1:
+        return encode(images, PACKBITS)
+    if form == 2:
+        return encode(images, DEFLATE, tile=TILE, order=">", level=3)
+    return encode(images, DEFLATE, predictor=2, level=3)
 
 
 def to_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -323,7 +369,7 @@ def to_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 def pages(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """One row per page of each file in the column ``media``; a broken file gives one row with ``error`` set."""
+    """One row per page of each file in the column ``media``; a page that is broken or not supported, or where the chain of directories breaks, gives a row with ``error`` set."""
     small_batches(df.sparkSession)
     schema = f"{key} {dict(df.dtypes)[key]}, page int, width int, height int, bits int, samples int, compression int, predictor int, pixels binary, error string"
 
@@ -332,10 +378,10 @@ def pages(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame
             for k, data in zip(batch.column(0), binary(batch.column(1)), strict=True):
                 rows = []
                 try:
-                    for p in decode(data) if data is not None else []:
-                        rows.append((p.index, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
-                except (ValueError, struct.error, zlib.error, IndexError, KeyError) as e:
-                    rows.append((len(rows), *[None] * 7, str(e)))
+                    for p in decode(data, errors=True) if data is not None else []:
+                        rows.append((p[0], *[None] * 7, p[1]) if isinstance(p, tuple) else (p.index, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.pixels.tobytes(), None))
+                except _BROKEN as e:
+                    rows.append((len(rows), *[None] * 7, f"{type(e).__name__}: {e}"))
                 kinds = [*[pa.int32()] * 7, pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), batch.column(0).type), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)]], names=[key, "page", "width", "height", "bits", "samples", "compression", "predictor", "pixels", "error"])
 

@@ -8,8 +8,10 @@ array of the rules' digests by a vectorised binary search; the stored string
 must then equal the probe, so a collision of digests decides nothing.
 
 Defined results: a null url, an empty one or one without ``://`` has empty host
-and path, no rule, and the default verdict. Extra columns pass through; a clash
-with one of the output names is the caller's column dropped. Repeated rows stay.
+and path, no rule, and the default verdict; very long urls are judged whole, an
+empty table gives no row, and without rules all have the default verdict. Extra
+columns pass through; a clash with one of the output names (or with
+``rule_host_bytes``) is the caller's column dropped. Repeated rows stay.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 #: The index is broadcast; a rule set beyond this many bytes is refused by :func:`apply_rules` in one piece and split by it.
 MAX_INDEX_BYTES = 256 << 20
-_HEAD = struct.Struct("<8sQQ")
-_MAGIC = b"URLDIG01"
+_HEAD = struct.Struct("<8sQQQQ")
+_MAGIC = b"URLDIG02"
+#: Indexes that a worker process keeps mapped.
+_MAPPED = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,14 +55,17 @@ def _key(host: str, path: str) -> bytes:
 
 
 def build_index(rules: Iterable[Rule]) -> bytes:
-    """Head, sorted digests, offsets of the strings, verdicts, strings. The last of equal rules counts."""
+    """Head, sorted digests, offsets of the strings, path lengths, strings, verdicts. The last of equal rules counts."""
     last = {_key(r.host, r.path): r.allow for r in rules}
     order = sorted((xxhash.xxh64_intdigest(k), k) for k in last)
     strings = b"".join(k for _, k in order)
     offsets = np.cumsum([0, *[len(k) for _, k in order]], dtype=np.uint64)
     digests = np.array([d for d, _ in order], dtype=np.uint64)
     verdicts = np.array([last[k] for _, k in order], dtype=np.uint8)
-    return b"".join([_HEAD.pack(_MAGIC, len(order), len(strings)), digests.tobytes(), offsets.tobytes(), strings, verdicts.tobytes()])
+    # Only lengths that rules have need be tried.
+    lengths = np.unique(np.array([len(k) - k.index(b"\0") - 1 for k in last], dtype=np.uint64))
+    labels = max((k[: k.index(b"\0")].count(b".") + 1 for k in last), default=0)
+    return b"".join([_HEAD.pack(_MAGIC, len(order), len(strings), len(lengths), labels), digests.tobytes(), offsets.tobytes(), lengths.tobytes(), strings, verdicts.tobytes()])
 
 
 class DigestIndex:
@@ -66,18 +73,16 @@ class DigestIndex:
 
     def __init__(self, path: str):
         raw = np.memmap(path, dtype=np.uint8, mode="r")
-        magic, n, size = _HEAD.unpack(raw[: _HEAD.size].tobytes())
-        if magic != _MAGIC or len(raw) != _HEAD.size + 8 * n + 8 * (n + 1) + size + n:
+        magic, n, size, lengths, self.most_labels = _HEAD.unpack(raw[: _HEAD.size].tobytes())
+        if magic != _MAGIC or len(raw) != _HEAD.size + 8 * n + 8 * (n + 1) + 8 * lengths + size + n:
             raise ValueError(f"{path} is no rule index")
         at = _HEAD.size
         self.digests = raw[at : at + 8 * n].view(np.uint64)
         self.offsets = raw[at + 8 * n : at + 16 * n + 8].view(np.uint64)
-        self.strings = raw[at + 16 * n + 8 : at + 16 * n + 8 + size]
-        self.verdicts = raw[at + 16 * n + 8 + size :]
-        # Only lengths that rules have need be tried.
-        keys = [self.string(i).split(b"\0", 1) for i in range(n)]
-        self.path_sizes = sorted({len(p) for _, p in keys})
-        self.most_labels = max((h.count(b".") + 1 for h, _ in keys), default=0)
+        at += 16 * n + 8
+        self.path_sizes = raw[at : at + 8 * lengths].view(np.uint64).tolist()
+        at += 8 * lengths
+        self.strings, self.verdicts = raw[at : at + size], raw[at + size :]  # stay in the map
 
     def string(self, i: int) -> bytes:
         return self.strings[int(self.offsets[i]) : int(self.offsets[i + 1])].tobytes()
@@ -110,12 +115,15 @@ def _mapped(index: bytes) -> DigestIndex:
         fd, path = tempfile.mkstemp(suffix=".urldig")
         with os.fdopen(fd, "wb") as out:
             out.write(index)
+        while len(_open) >= _MAPPED:
+            del _open[next(iter(_open))]
         _open[name] = DigestIndex(path)
         os.unlink(path)  # stays mapped
     return _open[name]
 
 
-def _judge(index: DigestIndex, hosts: list[str], paths: list[str], default: str) -> tuple[list[str | None], list[str]]:
+def _judge(index: DigestIndex, hosts: list[str], paths: list[str], default: str) -> tuple[list[str | None], list[str], list[int]]:
+    """The longest rule of each url, its verdict, and the bytes of its host."""
     probes: dict[bytes, int] = {}
     rows: list[list[tuple[int, int, int]]] = []
     for host, path in zip(hosts, paths, strict=True):
@@ -126,16 +134,18 @@ def _judge(index: DigestIndex, hosts: list[str], paths: list[str], default: str)
             stem = _key(suffix, "")
             for size in index.path_sizes:
                 if size <= len(raw):
-                    own.append((len(suffix) + size, len(suffix), probes.setdefault(stem + raw[:size], len(probes))))
+                    own.append((len(stem) + size, len(stem) - 1, probes.setdefault(stem + raw[:size], len(probes))))
         rows.append(own)
     found = index.find(list(probes))
     rules: list[str | None] = []
     verdicts: list[str] = []
+    sizes: list[int] = []
     for own in rows:
         best = max(((a, b, found[c]) for a, b, c in own if found[c] >= 0), default=None)
         rules.append(None if best is None else index.string(best[2]).replace(b"\0", b"", 1).decode("utf-8", "surrogatepass"))
         verdicts.append(default if best is None else "allow" if index.verdicts[best[2]] else "block")
-    return rules, verdicts
+        sizes.append(0 if best is None else best[1])
+    return rules, verdicts, sizes
 
 
 def host_and_path(url: str) -> tuple[F.Column, F.Column]:
@@ -148,16 +158,21 @@ def apply_rules(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     """``df`` without its url, with host, path, rule and verdict; no shuffle.
 
     The rules are given by the caller, not read from the corpus; an index of
-    more than ``max_index_bytes`` is split, and the url table passes each part.
+    more than ``max_index_bytes`` is split, and the url table passes each part;
+    what wins does not depend on the split.
     """
     size = sum(len(r.host.encode()) + len(r.path.encode()) + 18 for r in rules)
     host, path = host_and_path(url)
-    keep = [c for c in df.columns if c not in (url, "host", "path", "rule", "verdict")]
-    out = df.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keep = [c for c in df.columns if c not in (url, "host", "path", "rule", "verdict", "rule_host_bytes")]
+    out = df.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).cast("long").alias("rule_host_bytes"))
     parts = max(1, -(-size // max_index_bytes))
-    for k in range(parts):
-        out = _probe(out, build_index(rules[k::parts]), default)
-    return out
+    # Equal rules fall into one part, so that the last of them counts.
+    dealt: list[list[Rule]] = [[] for _ in range(parts)]
+    for r in rules:
+        dealt[xxhash.xxh64_intdigest(_key(r.host, r.path)) % parts].append(r)
+    for part in dealt:
+        out = _probe(out, build_index(part), default)
+    return out.drop("rule_host_bytes")
 
 
 def _probe(df: DataFrame, index: bytes, default: str) -> DataFrame:
@@ -167,12 +182,12 @@ def _probe(df: DataFrame, index: bytes, default: str) -> DataFrame:
     def run(batches):
         own = _mapped(shared.value)
         for batch in batches:
-            rules, verdicts = _judge(own, batch.column("host").to_pylist(), batch.column("path").to_pylist(), default)
-            before = zip(batch.column("rule").to_pylist(), batch.column("verdict").to_pylist(), strict=True)
-            for k, (rule, verdict) in enumerate(before):  # of an earlier part of the rules
-                if rule is not None and (rules[k] is None or len(rule.encode()) > len(rules[k].encode())):
-                    rules[k], verdicts[k] = rule, verdict
-            columns = {c: batch.column(c) for c in names} | {"rule": pa.array(rules, pa.string()), "verdict": pa.array(verdicts, pa.string())}
+            rules, verdicts, sizes = _judge(own, batch.column("host").to_pylist(), batch.column("path").to_pylist(), default)
+            before = zip(*(batch.column(c).to_pylist() for c in ("rule", "verdict", "rule_host_bytes")), strict=True)
+            for k, (rule, verdict, size) in enumerate(before):  # of an earlier part of the rules
+                if rule is not None and (rules[k] is None or (len(rule.encode()), size) > (len(rules[k].encode()), sizes[k])):
+                    rules[k], verdicts[k], sizes[k] = rule, verdict, size
+            columns = {c: batch.column(c) for c in names} | {"rule": pa.array(rules, pa.string()), "verdict": pa.array(verdicts, pa.string()), "rule_host_bytes": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     return df.mapInArrow(run, df.schema)

@@ -7,8 +7,10 @@ required fields, the lengths and the payload digest.
 
 Defined results: a null payload is an empty one; rows with a null id are
 written and read with a null id and count as lower than all others; of rows
-that share the largest id of a payload each is a response; an empty table gives
-no archive and no row. Extra columns are not read.
+that share the largest id of a payload each is a response, and repeated rows are
+records each; an empty table gives no archive and no row; a very long payload is
+one record, held whole by one task, up to MAX_RECORD bytes. Skippable frames
+after the first are passed over. Extra columns, of whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -133,7 +135,8 @@ def frames(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
                     break
                 if not (held := file.read(chunk)):
                     raise WarcError(f"{uri}: the last frame ends early")
-            yield b"".join(parts)
+            if size:  # a skippable frame between records has no content
+                yield b"".join(parts)
 
 
 def _fields(raw: bytes, what: bytes) -> tuple[dict[str, str], bytes]:

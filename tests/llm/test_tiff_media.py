@@ -62,3 +62,41 @@ def test_odd_rows_and_pages(spark):
     broken = pages(spark.createDataFrame([(1, b"no"), (2, None)], "doc_id long, media binary")).collect()
     assert [(r.doc_id, r.error is not None) for r in broken] == [(1, True)]
     assert features(to_media(df.limit(0))).collect() == []
+
+
+def _with(file, tag, value):
+    """``file`` with another value of a tag of its (only) directory."""
+    out, at = bytearray(file), int.from_bytes(file[4:8], "little")
+    for k in range(int.from_bytes(file[at : at + 2], "little")):
+        spot = at + 2 + 12 * k
+        if int.from_bytes(file[spot : spot + 2], "little") == tag:
+            out[spot + 8 : spot + 12] = value.to_bytes(4, "little")
+    return bytes(out)
+
+
+def test_broken_tags_are_rows_with_errors(spark):
+    tiles, strips = encode([np.zeros((40, 40), np.uint8)], DEFLATE, tile=16), encode([np.zeros((4, 4), np.uint8)])
+    bad = [_with(tiles, 322, 0), _with(tiles, 323, 0), _with(strips, 277, 0xFFFFFFF0), _with(strips, 256, 0xFFFFFFFF), _with(strips, 257, 0xFFFFFFFF), _with(strips, 258, 7), _with(strips, 256, 0), _with(strips, 259, 99)]
+    rows = pages(spark.createDataFrame(list(enumerate([*bad, strips])), "doc_id long, media binary")).collect()
+    assert [(r.doc_id, r.error is None) for r in sorted(rows, key=lambda r: r.doc_id)] == [*[(k, False) for k in range(len(bad))], (len(bad), True)]
+
+
+def test_a_broken_page_does_not_end_the_file():
+    good = encode([np.full((2, 8), 7, np.uint8), np.full((2, 8), 9, np.uint8)], NONE)
+    first = list(decode(_with(good, 259, 99), errors=True))
+    assert first[0][0] == 0 and "99" in first[0][1] and (first[1].pixels == 9).all()
+
+
+def test_rows_of_few_bits():
+    one = encode([np.array([[0b10110000], [0b01000000]], np.uint8)], NONE)
+    page = next(decode(_with(_with(one, 258, 1), 256, 4)))
+    assert page.bits == 1 and page.pixels[:, :, 0].tolist() == [[1, 0, 1, 1], [0, 1, 0, 0]]
+    page = next(decode(_with(_with(one, 258, 4), 256, 2)))
+    assert page.pixels[:, :, 0].tolist() == [[11, 0], [4, 0]]
+
+
+def test_the_query_uses_every_form(spark):
+    from corpusloom.llm.tiff_media import store
+
+    found = {(p.compression, file[:2], p.predictor) for k in range(200) for file in [store(payload(f"text {k}".encode()))] for p in decode(file)}
+    assert found == {(LZW, b"II", 1), (PACKBITS, b"II", 1), (DEFLATE, b"MM", 1), (DEFLATE, b"II", 2)}

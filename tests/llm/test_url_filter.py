@@ -49,3 +49,14 @@ def test_collisions_are_confirmed(tmp_path, monkeypatch):
     index = uf.DigestIndex(str(path))
     found = index.find([uf._key(k, "/") for k in keys] + [b"none\0/"])
     assert [index.string(int(i)) for i in found[:-1]] == [uf._key(k, "/") for k in keys] and found[-1] == -1
+
+
+def test_ties_do_not_depend_on_the_split(spark):
+    from corpusloom.llm.url_filter import Rule, apply_rules
+
+    rules = [Rule("a.b.com", "/", False), Rule("b.com", "/xy", True), Rule("b.com", "/xy", False), Rule("b.com", "/xy", True), Rule("com", "/", False)]
+    df = spark.createDataFrame([(1, "http://a.b.com/xyz"), (2, "http://c.b.com/xyz"), (3, "http://d.com/"), (4, None)], "page_id long, url string")
+    whole = sorted(map(tuple, apply_rules(df, rules).collect()))
+    assert [r[3:] for r in whole] == [("a.b.com/", "block"), ("b.com/xy", "allow"), ("com/", "block"), (None, "allow")]
+    for size in (1, 20, 60):
+        assert sorted(map(tuple, apply_rules(df, rules, max_index_bytes=size).collect())) == whole
