@@ -25,8 +25,12 @@ def session(master: str | None = None, **more: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one that ``spark.checkpoint.dir`` names; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="corpusloom-")
+    """A fresh folder in the shared one that ``spark.checkpoint.dir`` names; a temporary one only where none is set and the master is local (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="corpusloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -87,9 +87,17 @@ def write_new_pages(pages: DataFrame, path: str, key: str = "path") -> DataFrame
     return pages
 
 
-def write_vectors(vectors: DataFrame, path: str, version: int) -> str:
-    """A version of a collection in a folder of its own, so no path is overwritten while it is read."""
-    target = f"{path.rstrip('/')}/version={version}"
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, batch) of the versions below ``path`` that were written to their end, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/batch=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    names = [f.getPath().getParent() for f in found]
+    return sorted((int(n.getParent().getName().split("=")[1]), n.getName().split("=", 1)[1]) for n in names)
+
+
+def write_vectors(vectors: DataFrame, path: str, version: int, batch: str) -> str:
+    """What a batch adds to a collection, in a folder of its own, so no path is overwritten while it is read."""
+    target = f"{path.rstrip('/')}/version={version}/batch={batch}"
     vectors.write.mode("overwrite").parquet(target)
     return target
 

@@ -1,4 +1,10 @@
-"""Directories as streams: files are cleaned, chunked, embedded and upserted as they appear."""
+"""Directories as streams: files are cleaned, chunked, embedded and upserted as they appear.
+
+A collection is a log of versions, each what one batch added: rows of vectors,
+and marks (rows without a chunk id) that say which file's earlier rows go, or,
+without a path, that all go. A batch writes what it changes, never the whole
+collection; :func:`compact` writes it anew when the log has grown long.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.chunk import Strategy, chunk_documents
 from corpusloom.operators.clean import process
-from corpusloom.operators.incremental import EMBEDDED, retryable, to_embed, upsert
+from corpusloom.operators.incremental import retryable, to_embed, upsert
 from corpusloom.operators.vectors import careful_embedder
-from corpusloom.sources.files import exists, read_or_empty, write_vectors
+from corpusloom.sources.files import exists, read_or_empty, versions, write_vectors
 
 META = "keywords array<string>, metadata array<struct<key:string,value:string>>"
 DEAD = f"chunk_id string, path string, page_content string, section_path string, {META}, attempt int, error string, ts timestamp, batch_id bigint"
@@ -20,38 +26,47 @@ VECTOR = f"chunk_id string, path string, page_content string, section_path strin
 def embed_batch(files: DataFrame, batch_id: int, root: str, strategy: Strategy | str = Strategy.SIZE, mode: str = "incremental", embed=None) -> None:
     """Clean, chunk and embed a batch of files (name, size, content, source, path) into the collection below ``root``.
 
-    A version is named by its batch, and chunks by their content, so a batch
-    that is run again writes the same version again. Chunks that could not be
-    embedded go to the dead-letter table instead.
+    A version is named by its batch, so a batch that is run again writes the
+    same version again. Chunks that could not be embedded go to the dead-letter
+    table instead.
     """
     chunks = chunk_documents(process(files), "path", "updated", strategy)
-    _store(chunks, batch_id, root, mode, embed, attempt=F.lit(1), whole_files=True)
+    _store(chunks, f"files-{batch_id}", root, mode, embed, attempt=F.lit(1), whole_files=True)
 
 
-def _store(chunks: DataFrame, batch_id: int, root: str, mode: str, embed, attempt, whole_files: bool) -> None:
+def _store(chunks: DataFrame, batch: str, root: str, mode: str, embed, attempt, whole_files: bool) -> None:
     spark = chunks.sparkSession
-    embedded = read_or_empty(spark, f"{root}/embedded", EMBEDDED).where(F.col("batch_id") < batch_id)
-    todo = to_embed(chunks, embedded, mode).withColumn("_x", (embed or careful_embedder())("page_content")).withColumn("_attempt", attempt)
-    todo.select("chunk_id", "path", "page_content", "section_path", "keywords", "metadata", F.col("_x.embedding").alias("embedding"), F.col("_x.error").alias("error"), F.col("_attempt").cast("int").alias("attempt")).write.mode("overwrite").parquet(f"{root}/tried/batch={batch_id}")
-    tried = spark.read.parquet(f"{root}/tried/batch={batch_id}")  # embedded once, used three times
+    known = versions(spark, f"{root}/vectors")
+    # Retries and batches of the stream have names of their own and share one row of versions; a batch that runs again takes its own version's place.
+    again = bool(known) and known[-1][1] == batch
+    version = known[-1][0] if again else known[-1][0] + 1 if known else 0
+    old = _rows(spark, root, version)
+    todo = to_embed(chunks, old, mode).withColumn("_x", (embed or careful_embedder())("page_content")).withColumn("_attempt", attempt)
+    todo.select("chunk_id", "path", "page_content", "section_path", "keywords", "metadata", F.col("_x.embedding").alias("embedding"), F.col("_x.error").alias("error"), F.col("_attempt").cast("int").alias("attempt")).write.mode("overwrite").parquet(f"{root}/tried/batch={version}")
+    tried = spark.read.parquet(f"{root}/tried/batch={version}")  # embedded once, used three times
     fields = spark.createDataFrame([], VECTOR).columns
     new, dead = tried.where("error IS NULL").select(*fields), tried.where("error IS NOT NULL")
-    old = read_or_empty(spark, f"{root}/vectors/version={batch_id - 1}", VECTOR) if mode == "incremental" else spark.createDataFrame([], VECTOR)
+    rows = new
     if whole_files:  # chunks that their file no longer has go, the others have the file's frontmatter of now
         now = chunks.select("chunk_id", "section_path", "metadata").dropDuplicates(["chunk_id"])
-        old = old.join(chunks.select("path").distinct(), "path", "left_anti").unionByName(old.drop("section_path", "metadata").join(now, "chunk_id"))
-    write_vectors(upsert(old.select(*fields), new), f"{root}/vectors", batch_id)
-    stamp = [F.lit(batch_id).cast("long").alias("batch_id"), F.current_timestamp().alias("at")]
+        held = old.drop("section_path", "metadata").join(now, "chunk_id").select(*fields)
+        rows = upsert(held if mode == "incremental" else held.limit(0), new)
+        gone = chunks.select("path").distinct() if mode == "incremental" else spark.createDataFrame([(None,)], "path string")
+        rows = rows.unionByName(gone, allowMissingColumns=True)
+    write_vectors(rows, f"{root}/vectors", version, batch)
+    stamp = [F.lit(version).cast("long").alias("batch_id"), F.current_timestamp().alias("at")]
     writer = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
     writer(new.select("chunk_id", F.col("path").alias("file_path"), F.sha2("page_content", 256).alias("content_hash"), *stamp).withColumnRenamed("at", "embedded_at")).parquet(f"{root}/embedded")
     writer(dead.select("chunk_id", "path", "page_content", "section_path", "keywords", "metadata", "attempt", "error", *stamp).withColumnRenamed("at", "ts")).parquet(f"{root}/dead_letter")
 
 
-def retry_dead_letters(spark: SparkSession, root: str, batch_id: int, embed=None) -> None:
-    """Try again what failed and has attempts left, as batch ``batch_id`` (one after the newest)."""
+def retry_dead_letters(spark: SparkSession, root: str, retry_id: int, embed=None) -> None:
+    """Try again what failed, has attempts left, is not in the collection and whose file was not read anew since; retries are numbered apart from the stream's batches."""
     dead = read_or_empty(spark, f"{root}/dead_letter", DEAD)
+    marks = _marks(_log(spark, root)).withColumnRenamed("path", "_path")
+    dead = dead.join(marks, F.col("path") == F.col("_path"), "left").where("_since IS NULL OR batch_id >= _since").drop("_path", "_since")
     last = dead.dropDuplicates(["chunk_id"]).select("chunk_id", "path", "page_content", "section_path", "keywords", "metadata")
-    _store(retryable(dead, last), batch_id, root, "incremental", embed, attempt=F.col("attempt"), whole_files=False)
+    _store(retryable(dead, last), f"retry-{retry_id}", root, "incremental", embed, attempt=F.col("attempt"), whole_files=False)
 
 
 def stream_directory(spark: SparkSession, folder: str, root: str, strategy: Strategy | str = Strategy.SIZE) -> StreamingQuery:
@@ -62,13 +77,40 @@ def stream_directory(spark: SparkSession, folder: str, root: str, strategy: Stra
     return files.writeStream.foreachBatch(lambda df, k: embed_batch(df, k, root, strategy)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
 
+def _log(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """All rows and marks of the versions (below ``before``), with ``version``."""
+    kept = [v for v in versions(spark, f"{root}/vectors") if before is None or v[0] < before]
+    if not kept:
+        return spark.createDataFrame([], f"{VECTOR}, version long")
+    paths = [f"{root}/vectors/version={v}/batch={b}" for v, b in kept]
+    return spark.read.schema(f"{VECTOR}, version long, batch string").option("basePath", f"{root}/vectors").parquet(*paths).drop("batch")
+
+
+def _marks(log: DataFrame) -> DataFrame:
+    """path and the last version that read it whole (a null path: the last one that began anew)."""
+    return log.where("chunk_id IS NULL").groupBy("path").agg(F.max("version").alias("_since"))
+
+
+def _rows(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The collection as it was before a version, by default as it is now."""
+    log = _log(spark, root, before)
+    marks = _marks(log)
+    anew = marks.where("path IS NULL").agg(F.max("_since")).first()[0]
+    rows = log.where("chunk_id IS NOT NULL") if anew is None else log.where("chunk_id IS NOT NULL").where(F.col("version") >= anew)
+    return rows.join(marks.where("path IS NOT NULL"), "path", "left").where("_since IS NULL OR version >= _since").drop("_since", "version")
+
+
 def collection(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version of the collection."""
-    if not exists(spark, f"{root}/vectors"):
-        return spark.createDataFrame([], VECTOR)
-    rows = spark.read.parquet(f"{root}/vectors")
-    newest = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == newest).drop("version")
+    """The collection as it is now."""
+    return _rows(spark, root)
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Write the collection as one version that the older ones are not needed for."""
+    known = versions(spark, f"{root}/vectors")
+    if known:
+        anew = spark.createDataFrame([(None,)], "path string")
+        write_vectors(_rows(spark, root).unionByName(anew, allowMissingColumns=True), f"{root}/vectors", known[-1][0] + 1, "compact")
 
 
 def conversation_memory(turns: DataFrame, conv: str = "conv_id", text: str = "text", most: int = 20) -> DataFrame:
