@@ -1,7 +1,8 @@
 """Licence scan: a paragraph classifier over word n-grams, confirmed by templates.
 
-Paragraphs are a text's lines; notices wrapped over lines are found around line
-breaks (``wrapped``). A sparse softmax regression over runs of one to
+A paragraph is a line together with the lines after it for as long as the one
+before does not end a sentence (by ``.``, ``!`` or ``?``) and none is
+blank, so a notice wrapped over lines is judged whole. A sparse softmax regression over runs of one to
 three words gives each paragraph a licence family or "unknown"; a family counts
 when its calibrated probability is ``CERTAINTY`` or more and the paragraph holds
 ``COVERAGE`` of the n-grams of one of the family's templates.
@@ -14,7 +15,9 @@ broadcast table of fixed size, in DataFrame expressions only.
 
 Defined results: one row for each distinct document id (a null id among them);
 rows with equal ids are taken together; equal paragraphs of a document count
-once; a null or empty text has no paragraphs. Extra columns are not read.
+once; a null or empty text has no paragraphs; a very long one is cut into its
+paragraphs; of families with the same probability the first of the table counts;
+an empty table gives no row. Extra columns, of whatever names, are not read.
 """
 
 from __future__ import annotations
@@ -47,12 +50,16 @@ TEMPLATES = {
         "This software is licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
+        "MIT licensed.",
+        "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GNU GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is covered by the GPLv3.",
     ],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -66,6 +73,8 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Licensed under the 3-Clause BSD License.",
         "Use of this source code is governed by a BSD-style license.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -108,6 +117,29 @@ BACKGROUND = [
     "The foundation gave the documentation to the related domain of the possible program.",
     "This site is distributed to the extent that the copy is associated with the files.",
 ]
+#: Notices of licences that are none of the families (fixed texts); they are unknown, however near they are to one.
+OTHERS = [
+    "Distributed under the ISC license.",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "Licensed under the EUPL, version 1.2.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Licensed under the Artistic License 2.0.",
+    "Released under the zlib license.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This work is licensed under the Open Font License, version 1.1.",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "Released under the Microsoft Public License.",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Zlib",
+    "License: Proprietary",
+    "License: Unlicense",
+    "This software is licensed under the terms of the vendor license agreement.",
+    "Licensed under the Business Source License 1.1.",
+    "All rights reserved. Unauthorized copying of this software is not permitted.",
+    "Licensed under the Academic Free License version 3.0.",
+    "This library is licensed under the PostgreSQL license.",
+]
 UNKNOWN = "unknown"
 
 
@@ -133,12 +165,12 @@ def _variants(rng: random.Random, n: int) -> list[tuple[str, list[str]]]:
     """Notices and background sentences with words dropped, and others around them."""
     out = []
     outside = [w for s in BACKGROUND for w in words(s)]
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN, BACKGROUND * 2)]:
+    for family, texts in [*TEMPLATES.items(), (UNKNOWN, BACKGROUND * 2), (UNKNOWN, OTHERS * 2)]:
         for text in texts:
             for k in range(n):
                 own = words(text)
                 if k:
-                    own = [w for w in own if rng.random() > (0.08 if family != UNKNOWN else 0.3)]
+                    own = [w for w in own if rng.random() > (0.3 if texts[0] == BACKGROUND[0] else 0.08)]
                 around = [rng.choice(outside) for _ in range(rng.choice([0, 0, 3, 12]))]
                 cut = rng.randrange(len(around) + 1)
                 out.append((family, around[:cut] + own + around[cut:]))
@@ -156,7 +188,9 @@ def train(seed: int = 11) -> Model:
     always = {"license", "licensed", "gnu", "mit", "apache", "commons", "creative", "library", "permission", "free", "distributed", "published", "binary", "domain"}
     cues = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words(t) if (w not in common or w in always) and not w.isdigit())
     parts = [_variants(rng, VARIANTS) for _ in range(2)]
-    seen = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(words(t), cues)})
+    # What other licences are called are features as well: they speak against a family.
+    cues |= {w for t in OTHERS for w in words(t) if w not in common and not w.isdigit()}
+    seen = sorted({g for texts in [*TEMPLATES.values(), OTHERS] for t in texts for g in grams(words(t), cues)})
     place = {g: k for k, g in enumerate(seen)}
 
     def matrix(rows):
@@ -217,78 +251,47 @@ def _grams() -> Column:
     return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)]))
 
 
-#: Words of the longest template: so many on both sides of a line break hold any notice that is wrapped there.
-LONGEST = max(len(words(t)) for texts in TEMPLATES.values() for t in texts)
-
-
-def wrapped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line, at and span around each line break between lines with words.
-
-    ``line`` is the last LONGEST words before the break and, up to a line without
-    words, lines after it until they have LONGEST words, LONGEST of each at most:
-    a shorter line is never cut, as a part of a notice may look like another's. ``at`` is the number of the break and
-    ``span`` the hashes of the lines.
-    """
-    split = docs.select(F.col(key).alias("key"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).where(F.size("lines") > 1)
-    split = split.withColumn("words", F.transform("lines", lambda x: F.filter(_tokens(x), lambda w: w != "")))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("words"), F.lit(True).alias("open"), F.lit(0).alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        goes_on = a["open"] & (F.size(x) > 0) & (F.size(a["words"]) < LONGEST)
-        return F.struct(F.when(goes_on, F.concat(a["words"], F.slice(x, 1, LONGEST))).otherwise(a["words"]).alias("words"), goes_on.alias("open"), (a["n"] + goes_on.cast("int")).alias("n"))
+#: A line that does not end a sentence, and the line after it: one paragraph. Twice, as a match takes the first letter of the second line.
+_WRAPPED = r"([^.!?\s])[ \t\r]*\n[ \t]*([^\s])"
 
-    def around(k: Column) -> Column:
-        before = F.get("words", k - 1)
-        tail = F.slice(before, F.greatest(F.size(before) - LONGEST + 1, F.lit(1)), LONGEST)
-        after = F.aggregate(F.slice("words", k + 1, LONGEST), start, step)
-        return F.struct(k.alias("at"), tail.alias("tail"), after.alias("after"))
 
-    found = split.select("key", "lines", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - 1), around)).alias("x")).where((F.size("x.tail") > 0) & (F.col("x.after.n") > 0))
-    span = F.transform(F.slice("lines", F.col("x.at"), F.col("x.after.n") + 1), lambda x: F.xxhash64(x))
-    return found.select("key", F.array_join(F.concat("x.tail", "x.after.words"), " ").alias("line"), F.col("x.at").alias("at"), span.alias("span"))
+def _paragraphs(text: str) -> Column:
+    joined = F.coalesce(F.col(text), F.lit(""))
+    for _ in range(2):
+        joined = F.regexp_replace(joined, _WRAPPED, "$1 $2")
+    return F.split(joined, "\n")
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line, family, probability and coverage of each distinct paragraph that has a cue word; of line breaks as well, with ``at`` and ``span``."""
+    """key, line, family, probability and coverage of each distinct paragraph that has a cue word."""
     model = train()
-    lines = docs.select(F.col(key).alias("key"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"), F.lit(0).alias("at"), F.expr("cast(array() as array<bigint>)").alias("span"))
-    units = lines.unionByName(wrapped(docs, key, text))
-    cued = units.where(F.exists(_tokens(F.col("line")), lambda w: w.isin(list(model.cues)))).dropDuplicates(["key", "line", "at"])
+    lines = docs.select(F.col(key).alias("key"), F.explode(_paragraphs(text)).alias("line"))
+    cued = lines.where(F.exists(_tokens(F.col("line")), lambda w: w.isin(list(model.cues)))).dropDuplicates(["key", "line"])
     tokens = cued.withColumn("tokens", F.filter(_tokens(F.col("line")), lambda w: w != ""))
-    runs = tokens.select("key", "line", "at", "span", F.explode(_grams()).alias("gram"))
+    runs = tokens.select("key", "line", F.explode(_grams()).alias("gram"))
     matched = runs.join(F.broadcast(_table(docs.sparkSession, model)), "gram")  # as large as the templates make it
-    sums = matched.groupBy("key", "line", "at", "span").agg(F.collect_set("gram_id").alias("ids"), *[F.sum(F.col("weights")[f]).alias(f"z{f}") for f in range(len(model.families))])
-    scored = sums.select("key", "line", "at", "span", "ids", F.array(*[F.col(f"z{f}") + F.lit(b) for f, b in enumerate(model.bias)]).alias("z"))
+    sums = matched.groupBy("key", "line").agg(F.collect_set("gram_id").alias("ids"), *[F.sum(F.col("weights")[f]).alias(f"z{f}") for f in range(len(model.families))])
+    scored = sums.select("key", "line", "ids", F.array(*[F.col(f"z{f}") + F.lit(b) for f, b in enumerate(model.bias)]).alias("z"))
     known = F.slice("z", 1, len(model.families) - 1)
     scored = scored.withColumn("top", F.array_max(known)).withColumn("best", F.array_position(known, F.array_max(known)).cast("int") - 1)
     probability = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda total, x: total + F.exp(F.least(F.lit(700.0), x - F.col("top"))))
     cover = F.greatest(*[F.when(F.col("best") == f, F.size(F.array_intersect("ids", F.lit(list(ids)))) / len(ids)).otherwise(0.0) for f, ids in model.templates])
     family = F.element_at(F.lit(list(model.families)), F.col("best") + 1)
     judged = scored.select("*", probability.alias("probability"), cover.alias("coverage"))
-    return judged.select(F.col("key").alias(key), "line", F.when((F.col("probability") >= CERTAINTY) & (F.col("coverage") >= COVERAGE), family).otherwise(UNKNOWN).alias("family"), "probability", "coverage", "at", "span")
+    return judged.select(F.col("key").alias(key), "line", F.when((F.col("probability") >= CERTAINTY) & (F.col("coverage") >= COVERAGE), family).otherwise(UNKNOWN).alias("family"), "probability", "coverage")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_paragraphs, n_notices (distinct paragraphs of a licence, and notices wrapped over lines), families (in order, comma-joined) and the least probability of a notice.
-
-    Around line breaks a family counts where none of the lines is a notice of
-    it, and no line of more than LONGEST words (of which a part is seen) is any; breaks that follow one another with the same family are one notice.
-    """
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda w: F.trim(w) != "")
-    kind = "struct<line:string,family:string,probability:double,at:int,span:array<bigint>>"
-    every = docs.select(F.col(key).alias("key"), F.size(lines).cast("long").alias("n_paragraphs"), F.lit(None).cast(kind).alias("x"))
+    """key, n_paragraphs, n_notices (distinct paragraphs of a licence), families (in order, comma-joined) and the least probability of a notice."""
+    whole = F.filter(_paragraphs(text), lambda w: F.trim(w) != "")
+    kind = "struct<line:string,family:string,probability:double>"
+    every = docs.select(F.col(key).alias("key"), F.size(whole).cast("long").alias("n_paragraphs"), F.lit(None).cast(kind).alias("x"))
     sure = F.when(F.col("family") != UNKNOWN, F.lit(True))  # no filter: it would be pushed down with all that "family" is made of
-    notices = paragraphs(docs, key, text).select(F.col(key).alias("key"), F.lit(0).cast("long").alias("n_paragraphs"), F.when(sure, F.struct("line", "family", "probability", "at", "span")).cast(kind).alias("x"))
+    notices = paragraphs(docs, key, text).select(F.col(key).alias("key"), F.lit(0).cast("long").alias("n_paragraphs"), F.when(sure, F.struct(F.lit("").alias("line"), "family", "probability")).cast(kind).alias("x"))
     found = every.unionByName(notices).groupBy("key").agg(F.sum("n_paragraphs").alias("n_paragraphs"), F.collect_list("x").alias("x"))
-    found = found.withColumn("whole", F.filter("x", lambda n: n["at"] == 0))
-    known = F.transform("whole", lambda n: F.struct(F.xxhash64(n["line"]).alias("hash"), n["family"].alias("family"), (F.size(F.filter(_tokens(n["line"]), lambda w: w != "")) > LONGEST).alias("cut")))
-    found = found.withColumn("known", known).withColumn("breaks", F.filter("x", lambda n: (n["at"] > 0) & ~F.exists("known", lambda k: F.array_contains(n["span"], k["hash"]) & ((k["family"] == n["family"]) | k["cut"]))))
-    first = F.filter("breaks", lambda n: ~F.exists("breaks", lambda m: (m["at"] == n["at"] - 1) & (m["family"] == n["family"])))
-    distinct = F.array_distinct(F.transform(first, lambda n: F.struct(n["line"].alias("line"), n["family"].alias("family"))))
-    all_of = F.concat("whole", "breaks")
     return found.select(
-        F.col("key").alias(key), "n_paragraphs", (F.size("whole") + F.size(distinct)).cast("long").alias("n_notices"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(all_of, lambda n: n["family"]))), ",").alias("families"), F.round(F.array_min(F.transform(all_of, lambda n: n["probability"])), 6).alias("certainty"),
+        F.col("key").alias(key), "n_paragraphs", F.size("x").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("x", lambda n: n["family"]))), ",").alias("families"), F.round(F.array_min(F.transform("x", lambda n: n["probability"])), 6).alias("certainty"),
     )
 
 
@@ -309,7 +312,8 @@ def sql() -> str:
     return f"""
 WITH m(gram, id, w) AS (VALUES {table}),
 t(f, ids) AS (VALUES {templates}),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+j AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{_WRAPPED}', '\\1 \\2', 'g'), '{_WRAPPED}', '\\1 \\2', 'g'), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line FROM j),
 c AS (SELECT DISTINCT doc_id, line, list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS tok FROM l),
 k AS (SELECT * FROM c WHERE list_has_any(tok, [{cues}])),
 g AS (SELECT DISTINCT doc_id, line, array_to_string(tok[i : i + s - 1], ' ') AS gram
@@ -321,7 +325,7 @@ v AS (SELECT doc_id, line, best, probability, max(len(list_intersect(b.ids, t.id
       FROM b JOIN t ON t.f = b.best GROUP BY ALL),
 n AS (SELECT doc_id, count(*) AS n_notices, array_to_string(list_sort(list_distinct(list([{names}][best + 1]))), ',') AS families, min(probability) AS certainty
       FROM v WHERE probability >= {CERTAINTY} AND cover >= {COVERAGE} GROUP BY doc_id),
-d AS (SELECT doc_id, sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')))::BIGINT AS n_paragraphs FROM documents GROUP BY doc_id)
+d AS (SELECT doc_id, sum(len(list_filter(lines, lambda x: trim(x) <> '')))::BIGINT AS n_paragraphs FROM j GROUP BY doc_id)
 SELECT d.doc_id, n_paragraphs, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(families, '') AS families, round(certainty, 6) AS certainty
 FROM d LEFT JOIN n USING (doc_id)
 """
