@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import scratch
+from corpusloom.session import scratch, stored
 
 
 def crawl(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def crawl(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
         df.write.parquet(f"{folder}/depth={k}")
         return spark.read.schema("url string").parquet(f"{folder}/depth={k}")
 
-    edges = links.select("src", "dst").where("src <> dst").distinct()
+    edges = stored(links.select("src", "dst").where("src <> dst").distinct(), "edges")  # once, not at each level
     frontier = visited = level(seeds.select("url").where("url IS NOT NULL").distinct(), 0)
     depth = 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():

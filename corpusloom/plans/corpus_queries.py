@@ -13,6 +13,7 @@ from corpusloom.operators import vectors as vc
 from corpusloom.operators.conversation import answer, contexts, history, trimmed
 from corpusloom.plans.registry import literal, query, table
 from corpusloom.plans.text_queries import markdown
+from corpusloom.session import scratch
 
 # ---------------------------------------------------------------- chunks
 
@@ -64,12 +65,12 @@ def chunk_sentences(spark, sf):
 
 def _headed():
     c, s = F.concat, F.lit
-    return c(s("intro\n# "), F.col("source"), s("\nfirst part\n```\n# no header\n```\n### Deep\nmore\n## "), F.col("lang"), s("\n"), F.split("text", "\n")[0])
+    return c(s("intro\n# "), F.col("source"), s("\nfirst part\n```\n# no header\n```\n### Deep\nmore\n## "), F.col("lang"), s("\n"), F.col("text"))
 
 
 _SECTIONS_SQL = """
 SELECT doc_id, s AS section, [NULL, source, source, source][s + 1] AS h1, [NULL, NULL, NULL, lang][s + 1] AS h2, [NULL, NULL, 'Deep', NULL][s + 1] AS h3,
-       ['intro', '# ' || source || chr(10) || 'first part' || chr(10) || '```' || chr(10) || '# no header' || chr(10) || '```', '### Deep' || chr(10) || 'more', regexp_replace('## ' || lang || chr(10) || string_split(text, chr(10))[1], '\\s+$', '')][s + 1] AS content
+       ['intro', '# ' || source || chr(10) || 'first part' || chr(10) || '```' || chr(10) || '# no header' || chr(10) || '```', '### Deep' || chr(10) || 'more', regexp_replace('## ' || lang || chr(10) || text, '\\s+$', '')][s + 1] AS content
 FROM documents, (SELECT unnest([0, 1, 2, 3]) AS s)
 """
 
@@ -123,14 +124,16 @@ def chunk_pipeline_size(spark, sf):
     return ch.chunk_documents(_md_files(spark, sf), strategy=ch.Strategy.SIZE)
 
 
-@query("load_chunks", "SELECT doc_id, string_split(text, chr(10))[1] AS page_content, source || '.jsonl' AS file FROM documents WHERE doc_id % 3 <> 0 AND source <> 'src1' AND trim(string_split(text, chr(10))[1]) <> ''")
+@query("load_chunks", "SELECT doc_id, text AS page_content, source || '.jsonl' AS file FROM documents WHERE trim(text) <> ''")
 def load_chunks(spark, sf):
-    from corpusloom.sources.files import is_blank
+    """Every text as a chunk, written as JSON lines by source and read back."""
+    from corpusloom.sources.files import read_chunks, write_chunks
 
-    docs = table(spark, sf, "documents")
-    chunks = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "  \n ").otherwise(F.split("text", "\n")[0]).alias("page_content"), F.concat("source", F.lit(".jsonl")).alias("file"))
-    wanted = docs.where("source <> 'src1'").select(F.concat("source", F.lit(".jsonl")).alias("file")).distinct()
-    return chunks.where(~is_blank(F.col("page_content"))).join(wanted, "file", "left_semi").select("doc_id", "page_content", "file")
+    folder = scratch(spark, "chunks")
+    chunks = table(spark, sf, "documents").select(F.col("text").alias("page_content"), F.struct("doc_id").alias("metadata"), F.col("source").alias("cache_key"), F.col("doc_id").alias("chunk_index"))
+    write_chunks(chunks, folder)
+    name = F.concat(F.regexp_extract("file", "cache_key=([^/]*)/", 1), F.lit(".jsonl"))
+    return read_chunks(spark, folder).select(F.col("metadata")["doc_id"].cast("long").alias("doc_id"), "page_content", name.alias("file"))
 
 
 # ---------------------------------------------------------------- keywords
@@ -295,23 +298,23 @@ def citation_lines(spark, sf):
 
 @query(
     "header_chain",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' > ' || source WHEN doc_id % 3 = 1 THEN source ELSE nullif(trim(string_split(text, chr(10))[1]), '') END AS chain FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' > ' || source WHEN doc_id % 3 = 1 THEN source ELSE nullif(trim(text), '') END AS chain FROM documents""",
 )
 def header_chain(spark, sf):
     i, none = F.col("doc_id") % 3, F.lit(None).cast("string")
     first = [F.when(i == 0, F.concat("lang", F.lit(" "))), F.when(i == 0, F.lit("  ")), F.when(i == 0, F.col("source")), F.when(i == 0, F.col("lang"))]
     other = [none, F.when(i == 1, F.col("source")), F.when(i == 1, F.col("source")), F.when(i == 1, "None")]
-    return table(spark, sf, "documents").select("doc_id", cite.header_chain(first, other, F.split("text", "\n")[0]).alias("chain"))
+    return table(spark, sf, "documents").select("doc_id", cite.header_chain(first, other, F.col("text")).alias("chain"))
 
 
 def _chunk_table(spark, sf):
     d = table(spark, sf, "documents")
     none = F.lit(None).cast("string")
-    return d.select(F.col("doc_id").alias("vec_id"), "source", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("lang").alias("header"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("url"), none.alias("page"), none.alias("file_path"), F.split("text", "\n")[0].alias("page_content"))
+    return d.select(F.col("doc_id").alias("vec_id"), "source", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("lang").alias("header"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("url"), none.alias("page"), none.alias("file_path"), F.col("text").alias("page_content"))
 
 
 _CONTEXT_SQL = f"""{_HITS_SQL}, x AS (SELECT query_id, rank, CASE WHEN doc_id % 2 = 0 THEN '[' || rank || '] [' || source || ': Doc ' || doc_id || '](u' || doc_id || ')' ELSE '[' || rank || '] ' || source || ': Doc ' || doc_id || ', Section: ' || lang END AS line,
-  string_split(text, chr(10))[1] AS content FROM k JOIN documents ON doc_id = vec_id),
+  text AS content FROM k JOIN documents ON doc_id = vec_id),
 a AS (SELECT query_id, string_agg(line || CASE WHEN content <> '' THEN chr(10) || content ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context, '**Sources:**' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS sources FROM x GROUP BY query_id)"""
 
 

@@ -133,13 +133,12 @@ def strip_lines(spark, sf):
 @query(
     "dedupe_description",
     """WITH d AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN w || w ELSE w END, ' ') AS p, CASE WHEN doc_id % 2 = 0 THEN w || w ELSE w END AS t
-       FROM (SELECT doc_id, string_split(text, chr(10))[1] AS w FROM documents)),
+       FROM (SELECT doc_id, text AS w FROM documents)),
   s AS (SELECT *, coalesce(list_position(p, p[-1] || p[1]), 0) AS k FROM d)
   SELECT doc_id, CASE WHEN k > 0 THEN array_to_string(list_append(p[1 : k - 1], p[-1]), ' ') ELSE t END AS description FROM s""",
 )
 def dedupe_description(spark, sf):
-    first = F.split("text", "\n")[0]
-    given = F.when(F.col("doc_id") % 2 == 0, F.concat(first, first)).otherwise(first)
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat("text", "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").withColumn("given", given).select("doc_id", tx.dedupe_description(F.col("given")).alias("description"))
 
 

@@ -93,14 +93,15 @@ def robots(spark, sf):
 
 
 def _graph(spark, sf):
-    """Every page links to two others, in cycles."""
+    """Every page links to two others, in cycles; the targets are as many as the pages."""
     pages = table(spark, sf, "pages").select("page_id")
-    to = F.explode(F.array((F.col("page_id") * 2) % 97, (F.col("page_id") * 3 + 1) % 89))
+    n = max(pages.count(), 1)
+    to = F.explode(F.array((F.col("page_id") * 2) % n, (F.col("page_id") * 3 + 1) % n))
     pages = pages.select("page_id", to.alias("to"))
     return pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("to").cast("string")).alias("dst")), spark.createDataFrame([("p5",)], "url string")
 
 
-_EDGES = "e AS (SELECT 'p' || page_id AS src, 'p' || unnest([(page_id * 2) % 97, (page_id * 3 + 1) % 89]) AS dst FROM pages)"
+_EDGES = "e AS (SELECT 'p' || page_id AS src, 'p' || unnest([(page_id * 2) % n, (page_id * 3 + 1) % n]) AS dst FROM pages, (SELECT count(*) AS n FROM pages))"
 
 
 @query("crawl_reachable", f"WITH RECURSIVE {_EDGES}, r AS (SELECT 'p5' AS url UNION SELECT dst FROM r JOIN e ON src = url) SELECT url FROM r")

@@ -56,7 +56,7 @@ def read_chunks(spark: SparkSession, folder: str, only: DataFrame | None = None,
     """
     if not exists(spark, folder):
         return spark.createDataFrame([], f"{CHUNK}, {key} string")
-    rows = spark.read.schema("page_content string, metadata string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(folder)
+    rows = spark.read.schema("page_content string, metadata string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json{,l}").json(folder)
     plain = F.map_filter(F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>"), lambda k, v: ~F.startswith(v, F.lit("[")) & ~F.startswith(v, F.lit("{")))
     below = F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?{_tail(folder)}/", "")
     out = rows.select("page_content", plain.alias("metadata"), below.alias(key)).where(~is_blank(F.col("page_content")))
@@ -75,8 +75,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, folder: str, partition: str = "cache_key") -> None:
-    """Chunks as JSON lines, one folder for each source; only the sources written are replaced."""
-    chunks.repartition(partition).sortWithinPartitions(partition, "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).json(folder)
+    """Chunks as JSON lines, one folder for each source; only the sources written are replaced. A large source is several files, in order."""
+    chunks.repartitionByRange(partition, "chunk_index").sortWithinPartitions(partition, "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).json(folder)
 
 
 def write_new_pages(pages: DataFrame, path: str, key: str = "path") -> DataFrame:

@@ -166,3 +166,15 @@ def test_stream_of_a_directory(spark, tmp_path):
     ingest.stream_directory(spark, str(tmp_path / "in"), root, "headers").awaitTermination()
     rows = ingest.collection(spark, root).collect()
     assert {r.section_path for r in rows} == {"A", "B"} and all(len(r.embedding) == vc.DIMENSIONS for r in rows)
+
+
+def test_chunk_files_come_back(spark, tmp_path):
+    """A large source is several files; what is blank stays out, and only the files asked for are read."""
+    rows = [("s1" if k % 3 else "s 2", k, None if k == 4 else " \n" if k == 5 else f'line "{k}"\nnext') for k in range(40)]
+    chunks = spark.createDataFrame(rows, "cache_key string, chunk_index int, page_content string").withColumn("metadata", F.struct(F.col("chunk_index").alias("n")))
+    folder = str(tmp_path / "chunks")
+    files.write_chunks(chunks, folder)
+    back = files.read_chunks(spark, folder)
+    assert sorted((int(r.metadata["n"]), r.page_content) for r in back.collect()) == [(k, t) for _, k, t in rows if k not in (4, 5)]
+    first = back.where("file LIKE '%=s1/%'").select("file")
+    assert {int(r.metadata["n"]) % 3 for r in files.read_chunks(spark, folder, first).collect()} == {1, 2}
