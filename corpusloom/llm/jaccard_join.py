@@ -7,7 +7,10 @@ when the Jaccard similarity of their sets of shingles is ``THRESHOLD`` or more.
 1. Documents with equal sets (by their number and two independent 64-bit sums
    of hashes) are one class; a representative goes on.
 2. Representatives that agree in all minima of some band are candidates. With
-   68 bands of 6 minima a pair at the threshold is missed once in 1e9.
+   68 bands of 6 minima a pair at the threshold is missed once in 1e9. Buckets
+   with the same members (by their number and two 64-bit exclusive-ors of hashes) would
+   give the same forest, so one of them is looked at. Signatures are computed
+   where the texts lie, for representatives alone.
 3. Within a band's bucket the minima's low bytes are compared 16 at a time, and
    a pair is dropped once the posterior probability that its similarity reaches
    the threshold (uniform prior) is below ``TOLERANCE``. What is left of a
@@ -96,6 +99,11 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def signature(least: np.ndarray) -> bytes:
+    """The low bytes of the first minima, which are compared one after another."""
+    return least[:COMPARED].astype(np.uint8).tobytes()
+
+
 def band_keys(least: np.ndarray) -> np.ndarray:
     """A key of each band's minima."""
     rows = least.reshape(BANDS, ROWS).astype(np.uint64)
@@ -269,8 +277,8 @@ class Join:
         self.verified()
 
     def classes(self) -> None:
+        """Classes of equal sets from narrow rows; signatures of their representatives, part by part, never shuffled."""
         key, text = self.key, self.text
-        names = ["uid", "id", "h1", "h2", "n", "sign", "bands"]
 
         def run(part, path, _):
             table = read_part(path)
@@ -278,24 +286,34 @@ class Join:
             for a in range(0, len(texts), 256):
                 rows = []
                 for k, (own, second) in enumerate(shingle_sets(texts[a : a + 256]), a):
-                    least = minima(own) if len(own) else None
                     sums = [int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (own, second)]
-                    rows.append((part * PART_ROWS + k, ids[k].as_py(), *sums, len(own), None if least is None else least[:COMPARED].astype(np.uint8).tobytes(), None if least is None else band_keys(least)))
-                kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows.append((part * PART_ROWS + k, ids[k].as_py(), *sums, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["uid", "id", "h1", "h2", "n"])
+
+        self.all = saved(each_part(self.parts, run, "uid long, id long, h1 long, h2 long, n long"), "shingled")
+        groups = self.all.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.min("id").alias("least"))
+        self.reps = saved(groups, "classes")
+        asked = self.reps.groupBy((F.col("rep") / PART_ROWS).cast("long").alias("part")).agg(F.collect_list((F.col("rep") % PART_ROWS).cast("int")).alias("rows"))
+
+        def sign(part, path, got):
+            texts, rows = binary(read_part(path).column(text)), sorted(got["rows"])
+            for a in range(0, len(rows), 256):
+                least = [minima(own) for own, _ in shingle_sets([texts[r] for r in rows[a : a + 256]])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part * PART_ROWS + r for r in rows[a : a + 256]], pa.int64()), pa.array(map(signature, least), pa.binary()), pa.array([band_keys(x) for x in least], pa.list_(pa.int64()))], names=["rep", "sign", "bands"]
+                )
 
-        schema = "uid long, id long, h1 long, h2 long, n long, sign binary, bands array<long>"
-        self.all = saved(each_part(self.parts, run, schema), "shingled")
-        first = F.min_by(F.struct("sign", "bands"), "uid")
-        self.reps = saved(
-            self.all.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.min("id").alias("least"), first.alias("x"))
-            .select("h1", "h2", "n", "rep", "copies", "least", "x.sign", "x.bands"), "classes")
+        self.signs = saved(each_part(self.parts, sign, "rep long, sign binary, bands array<long>", saved(asked, "asked"), only=True), "signs")
 
     def candidates(self) -> DataFrame:
-        """Edges (a, b) between representatives, a forest for each bucket."""
-        keys = self.reps.select(F.col("rep").alias("uid"), F.explode("bands").alias("key"))
-        several = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        members = keys.join(several, "key").withColumn("blocks", F.ceil(F.col("m") / self.block_rows)).join(self.reps.select(F.col("rep").alias("uid"), "sign"), "uid")
+        """Edges (a, b) between representatives, a forest for each bucket; of buckets with the same members one is looked at."""
+        keys = self.signs.select(F.col("rep").alias("uid"), F.explode("bands").alias("key"))
+        # Saved, so that both sides of the join are dealt out for it alone, which lets Spark split a frequent key.
+        several = saved(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "several")
+        members = saved(keys.join(several.hint("merge"), "key"), "buckets")
+        lanes = [F.bit_xor(F.xxhash64(F.lit(k), "uid")).alias(f"x{k}") for k in (0, 1)]
+        one = members.groupBy("key", "m").agg(*lanes).groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+        members = members.join(one, "key").withColumn("blocks", F.ceil(F.col("m") / self.block_rows)).join(self.signs.select(F.col("rep").alias("uid"), "sign"), "uid")
         dealt = _in_blocks(members, "blocks", "uid").select("key", "i", "j", "uid", "sign")
         least = least_matches(float(self.threshold))
         sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "uid")
@@ -308,10 +326,10 @@ class Join:
     def verified(self) -> None:
         """(rep, links, root) of each representative with a link; links counts documents."""
         member = components(self.candidates()).withColumnRenamed("vertex", "rep").withColumnRenamed("root", "component")
-        member = member.join(self.reps.select("rep", "n", "copies", "sign", "bands"), "rep")
+        member = member.join(self.reps.select("rep", "n", "copies"), "rep")
         size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
         member = saved(member.join(size.select("component", self._blocks().alias("blocks")), "component"), "members")
-        place = F.struct((F.col("rep") % PART_ROWS).alias("place"), "component", "blocks", "copies", "sign")
+        place = F.struct((F.col("rep") % PART_ROWS).alias("place"), "component", "blocks", "copies")
         asked = member.groupBy((F.col("rep") / PART_ROWS).cast("long").alias("part")).agg(F.collect_list(place).alias("rows"))  # rows of one part
         text = self.text
 
@@ -321,8 +339,9 @@ class Join:
             for a in range(0, len(rows), 256):
                 own = rows[a : a + 256]
                 words = [b" ".join(texts[r["place"]].translate(NORMAL).split()) for r in own]
+                signs = [signature(minima(one)) for one, _ in shingle_sets(words)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([r[c] for r in own], pa.int64()) for c in ("component", "blocks", "copies")], pa.array([part * PART_ROWS + r["place"] for r in own], pa.int64()), pa.array([r["sign"] for r in own], pa.binary()), pa.array(words, pa.binary())],
+                    [*[pa.array([r[c] for r in own], pa.int64()) for c in ("component", "blocks", "copies")], pa.array([part * PART_ROWS + r["place"] for r in own], pa.int64()), pa.array(signs, pa.binary()), pa.array(words, pa.binary())],
                     names=["component", "blocks", "copies", "uid", "sign", "words"],
                 )
 
@@ -331,7 +350,7 @@ class Join:
         dealt = _in_blocks(texts.where(whole).withColumn("band", F.lit(0).cast("long")).withColumn("bands", F.lit(None).cast("array<long>")), "blocks", "uid")
         long = member.where(~whole)
         if not long.isEmpty():
-            keys = long.select("component", F.col("rep").alias("uid"), "n", "bands", F.explode("bands").alias("band"))
+            keys = long.join(self.signs, "rep").select("component", F.col("rep").alias("uid"), "n", "bands", F.explode("bands").alias("band"))
             several = keys.groupBy("component", "band").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
             keys = keys.drop("n").join(several.select("component", "band", self._blocks().alias("blocks")), ["component", "band"])
             dealt = dealt.unionByName(_in_blocks(texts.drop("blocks").join(keys, ["component", "uid"]), "blocks", "uid"))
