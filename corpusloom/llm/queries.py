@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontaminate, jaccard_join, license_scan, mixing, quality, substring_dedup, tiff_media, token_codes, url_filter, warc
+from corpusloom.llm import collocations, decontaminate, jaccard_join, license_scan, mixing, quality, substring_dedup, target_sampling, tiff_media, token_codes, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_tiff_media": tiff_media.query,
+    "op11_collocations": collocations.query,
+    "op12_token_counts": token_counts.query,
+    "op13_target_sampling": target_sampling.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op11_collocations": collocations.SQL,
+    "op13_target_sampling": target_sampling.SQL,
 }
