@@ -95,6 +95,13 @@ def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted((int(n.getParent().getName().split("=")[1]), n.getName().split("=", 1)[1]) for n in names)
 
 
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders ``version=N`` below ``path`` that were written to their end, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
 def write_vectors(vectors: DataFrame, path: str, version: int, batch: str) -> str:
     """What a batch adds to a collection, in a folder of its own, so no path is overwritten while it is read."""
     target = f"{path.rstrip('/')}/version={version}/batch={batch}"
