@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import stored
 
-MANIFEST = "cache_file string, file_path string, mtime double, size bigint, content_hash string, jsonl_mtime double, num_chunks bigint, processed_at string, config string"
-EMBEDDED = "chunk_id string, file_path string, content_hash string, batch_id bigint, embedded_at timestamp"
-DEAD_LETTER = "chunk_id string, attempt int, error string, ts timestamp"
 #: Attempts before a chunk stays in the dead-letter table, and chunks of a batch.
 ATTEMPTS, BATCH = 3, 100
+#: Characters of the runs by which parts of paths are looked for.
+GRAM = 6
 
 
 def cache_status(current: DataFrame, manifest: DataFrame, key: str, force: bool = False) -> DataFrame:
@@ -56,15 +55,47 @@ def deleted_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(files.select("cache_file"), "cache_file", "left_anti")
 
 
+def _grams(c: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters."""
+    last = F.length(c) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(c, k, n)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def paths_holding(paths: DataFrame, parts: DataFrame, column: str = "file_path", gram: int = GRAM) -> DataFrame:
+    """The distinct paths of ``paths`` that hold a string of ``parts`` (a table with the same column) anywhere, by equi-joins.
+
+    A part is looked for by that of its runs of ``gram`` characters which the
+    fewest paths have, among the runs of all paths, and what meets there is
+    compared. A part shorter than that is itself such a run, of its own length.
+    Each path holds the empty part; null parts are held by none.
+    """
+    every = paths.select(F.col(column).alias("path")).where("path IS NOT NULL").distinct()
+    asked = parts.select(F.col(column).alias("part")).where("part IS NOT NULL").distinct()
+    lengths = sorted(r[0] for r in asked.select(F.least(F.length("part"), F.lit(gram)).alias("n")).distinct().collect())  # ``gram`` + 1 rows at most
+    if 0 in lengths:
+        return every
+    found = every.limit(0)
+    for n in lengths:
+        own = asked.where(F.length("part") == n) if n < gram else asked.where(F.length("part") >= n)
+        postings = every.select("path", F.explode(_grams(F.col("path"), n)).alias("gram"))
+        keys = own.select("part", F.explode(_grams(F.col("part"), n)).alias("gram"))
+        if n == gram:
+            often = postings.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+            rare = keys.join(often, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
+            keys = stored(rare.where("x.n > 0").select("part", "x.gram"), "parts")
+        found = found.union(postings.join(keys, "gram").where(F.contains("path", F.col("part"))).select("path"))
+    return found.distinct()
+
+
 def delete_by_source(vectors: DataFrame, sources: DataFrame, column: str = "file_path", substring: bool = False) -> DataFrame:
     """``vectors`` without those of ``sources`` (a table with the same column).
 
-    ``substring`` deletes paths that hold a source anywhere. No equi-join does
-    that, so it is for a short list of sources.
+    ``substring`` deletes paths that hold a source anywhere. The paths are found
+    by their runs of characters, so that, too, is an equi-join of two tables of
+    any size.
     """
-    gone = sources.select(F.col(column).alias("_gone")).where("_gone IS NOT NULL").distinct()
-    on = F.contains(F.col(column), F.col("_gone")) if substring else F.col(column) == F.col("_gone")
-    return vectors.join(gone, on, "left_anti")
+    gone = paths_holding(vectors, sources, column).withColumnRenamed("path", "_gone") if substring else sources.select(F.col(column).alias("_gone")).where("_gone IS NOT NULL").distinct()
+    return vectors.join(gone, F.col(column) == F.col("_gone"), "left_anti")
 
 
 def upsert(vectors: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -103,8 +134,3 @@ def to_embed(chunks: DataFrame, embedded: DataFrame, mode: str = "incremental")
     if mode not in ("incremental", "rebuild"):
         raise ValueError(f"mode {mode!r} is neither incremental nor rebuild")
     return chunks if mode == "rebuild" else chunks.join(embedded.select("chunk_id"), "chunk_id", "left_anti")
-
-
-def fingerprint(**settings) -> Column:
-    """The chunking settings of a manifest row."""
-    return F.lit(";".join(f"{k}={v}" for k, v in sorted(settings.items())))

@@ -19,9 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.session import stored
+
 DIMENSIONS, K = 64, 4
 #: Bytes of query vectors sent out at once.
 QUERY_BYTES = 32 << 20
+#: Scores worked out at a time.
+BLOCK_SCORES = 1 << 21
+#: Stands for no key.
+_NONE = np.iinfo(np.int64).max
 METRICS = ("cosine", "ip", "l2")
 
 
@@ -108,37 +114,64 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(dot, size, out=np.full_like(dot, -np.inf), where=size > 0)
 
 
-def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", query_key: str = "query_id", embedding: str = "embedding", metric: str = "cosine", query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(query_key, key, score, rank) of the k vectors nearest to each query, by rounded score and then key.
+class Nearest:
+    """The k rows nearest to each query seen so far, by rounded score and then key; scores are worked out in blocks of bounded size."""
 
-    The queries are a stated set, gone through in blocks of ``query_bytes``.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"metric {metric!r} is none of {METRICS}")
-    spark = vectors.sparkSession
-    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(embedding).alias("e"))
+    def __init__(self, ids: np.ndarray, asked: np.ndarray, k: int, metric: str):
+        self.ids, self.asked, self.k, self.metric = ids, asked, k, metric
+        self.scores, self.keys = np.full((len(ids), k), -np.inf), np.full((len(ids), k), _NONE, dtype=np.int64)
+
+    def add(self, keys: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Rows that count for the queries of numbers ``which`` (all of them)."""
+        which = np.arange(len(self.ids)) if which is None else which
+        step = max(1, BLOCK_SCORES // max(1, len(rows)))
+        for a in range(0, len(which) if len(rows) else 0, step):
+            own = which[a : a + step]
+            scores = np.concatenate([self.scores[own], np.round(_scores(self.asked[own], rows, self.metric), 9) + 0.0], axis=1)
+            names = np.concatenate([self.keys[own], np.broadcast_to(keys, (len(own), len(keys)))], axis=1)
+            order = np.lexsort((names, -scores), axis=1)[:, : self.k]
+            self.scores[own], self.keys[own] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+
+    def batch(self) -> pa.RecordBatch:
+        q, held = np.repeat(self.ids, self.k), self.keys.ravel() != _NONE
+        return pa.RecordBatch.from_arrays([pa.array(q[held]), pa.array(self.keys.ravel()[held]), pa.array(self.scores.ravel()[held])], names=["q", "k", "score"])
+
+
+def query_blocks(queries: DataFrame, query_key: str, embedding: str, query_bytes: int, found: Callable[[np.ndarray, np.ndarray], DataFrame]) -> DataFrame:
+    """``found(ids, vectors)`` of blocks of the queries; with several blocks, a block's result is stored before the next is sent out."""
+    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(embedding).alias("e")).where("e IS NOT NULL")
     total = asked.agg(F.sum(F.size("e") * 8)).first()[0] or 0
     n = int(total // query_bytes + 1)
     out = None
     for block in range(n):
         rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(n)) == block).collect()
-        shared = spark.sparkContext.broadcast((np.array([r.q for r in rows], dtype=np.int64), np.array([r.e for r in rows], dtype=float)))
+        part = found(np.array([r.q for r in rows], dtype=np.int64), np.array([r.e for r in rows], dtype=float).reshape(len(rows), -1 if rows else 1))
+        part = stored(part, "nearest") if n > 1 else part
+        out = part if out is None else out.union(part)
+    return out
+
 
-        def run(batches, shared=shared):
-            ids, asked = shared.value
-            scores, keys = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", query_key: str = "query_id", embedding: str = "embedding", metric: str = "cosine", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_key, key, score, rank) of the k vectors nearest to each query, by rounded score and then key.
+
+    The queries are a stated set, gone through in blocks of ``query_bytes``. Rows and queries without a vector are left out.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric {metric!r} is none of {METRICS}")
+    rows = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).cast("long"), embedding)
+
+    def found(ids: np.ndarray, asked: np.ndarray) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, asked))
+
+        def run(batches):
+            best = Nearest(*shared.value, k, metric)
             for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                if not len(own) or not len(ids):
-                    continue
-                values = np.stack([np.asarray(v, dtype=float) for v in batch.column(1).to_pylist()])
-                scores = np.concatenate([scores, np.round(_scores(asked, values, metric), 9) + 0.0], axis=1)
-                keys = np.concatenate([keys, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
-                order = np.lexsort((keys, -scores), axis=1)[:, :k]
-                scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.ravel()), pa.array(scores.ravel())], names=["q", "k", "score"])
-
-        part = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).cast("long"), embedding).mapInArrow(run, "q long, k long, score double")
-        out = part if out is None else out.union(part)
+                if batch.num_rows and len(best.ids):
+                    best.add(batch.column(0).to_numpy(zero_copy_only=False), np.stack([np.asarray(v, dtype=float) for v in batch.column(1).to_pylist()]))
+            yield best.batch()
+
+        return rows.mapInArrow(run, "q long, k long, score double")
+
+    out = query_blocks(queries, query_key, embedding, query_bytes, found)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "k"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("k").alias(key), "score", "rank")
