@@ -10,10 +10,11 @@ class, so one row leaves the task for each state. Spark expands a state to its
 phrases and adds up their counts over all shards.
 
 A phrase occurs no more often than any part of it. So words are counted first,
-then the pairs of frequent words, then longer phrases of which all pairs are
-frequent; a blocked Bloom filter, bounded by ``FILTER_WORDS``, tells tasks what
-is frequent. It may take a rare part for a frequent one, which costs rows, but
-never the other way round, so every frequent phrase is counted in full.
+then the pairs of frequent words, by 64-bit keys, and then, by their words, the
+phrases of which all pairs are frequent. A blocked Bloom filter, bounded by
+``FILTER_WORDS``, tells tasks which keys are frequent. It, or pairs with one key,
+may let a rare part pass for a frequent one, which costs rows, but never the
+other way round, so every frequent phrase is counted in full.
 
 A phrase's score is the least over its cuts of ``SCALE * a / (l + r)``, floored.
 A phrase lies inside a longer one exactly if a chain of phrases, each a word
@@ -45,7 +46,7 @@ SCALE = 2_000_000
 #: A phrase goes if a longer one around it has so many hundredths of its occurrences.
 INSIDE = 80
 #: Text bytes of one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: 64-bit words of a filter at most (32 MB), and frequent phrases for each word below that.
 FILTER_WORDS, PER_WORD = 1 << 22, 4
 #: A language's best are found in so many parts first.
@@ -156,74 +157,95 @@ def _has(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return words[at] & bits == bits
 
 
-def frequent_filter(frequent: DataFrame) -> np.ndarray:
-    """A blocked Bloom filter of ``frequent`` (lang, phrase), whose size is bounded whatever it holds."""
-    size = min(FILTER_WORDS, frequent.count() // PER_WORD + 1)
+def word_keys(words: DataFrame) -> DataFrame:
+    """The filter's key of each word in ``phrase``."""
 
     def run(batches):
         for batch in batches:
-            langs, phrases = batch.column(0).to_pylist(), binary(batch.column(1))
+            langs, own = np.array(batch.column(0).to_pylist(), dtype=object), binary(batch.column(1))
+            data, starts, ends, _ = spans(own, _SPACES)
+            hashes = word_hashes(data, starts, ends)
             for lang in set(langs):
-                own = [p for p, x in zip(phrases, langs, strict=True) if x == lang]
-                data, starts, ends, first = spans(own, _SPACES)
-                hashes, length = word_hashes(data, starts, ends), np.diff(first)
-                for m in np.unique(length):
-                    at = first[:-1][length == m]
-                    place, bits = _places(_keys(lang, [hashes[at + k] for k in range(m)]), size)
-                    yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(bits.view(np.int64))], names=["place", "bits"])
-
-    table = frequent.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(lang, [hashes[langs == lang]]).view(np.int64))], names=["key"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "key long")
+
+
+def frequent_filter(keys: DataFrame) -> np.ndarray:
+    """A blocked Bloom filter of ``key``, whose size is bounded whatever it holds."""
+    size = min(FILTER_WORDS, keys.count() // PER_WORD + 1)
+
+    def run(batches):
+        for batch in batches:
+            place, bits = _places(batch.column(0).to_numpy().view(np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(bits.view(np.int64))], names=["place", "bits"])
+
+    table = keys.mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(size, dtype=np.uint64)
     words[table.column("place").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return words
 
 
-def shard_states(lang: str, text: bytes, depth: int, least: int, known: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The states of a shard's automaton with phrases of ``least`` words or more, and the number of its words as a row without a phrase.
-
-    ``known`` has filters of frequent words and pairs; runs end where a part is known not to be frequent.
-    """
-    data, starts, ends, _ = spans([single_spaced(text)], _SPACES)
-    if not len(starts):
-        return
-    codes = exact_codes(data, starts, ends)
-    piece = np.cumsum(data == 0x0A)[starts]
-    follows = np.zeros(len(codes), dtype=bool)  # the word before is in the same run
-    follows[1:] = piece[1:] == piece[:-1]
-    room = np.ones(len(codes), dtype=np.int64)
-    if known:
-        _, one, number = np.unique(codes, return_index=True, return_inverse=True)
-        hashes = word_hashes(data, starts[one], ends[one])
+class Shard:
+    """A shard's words in runs, which end where a piece does or where ``known`` (filters of frequent words, or pairs) has no such part."""
+
+    def __init__(self, lang: str, text: bytes, depth: int, known: dict[int, np.ndarray]):
+        self.lang, self.depth = lang, depth
+        self.data, self.starts, self.ends, _ = spans([single_spaced(text)], _SPACES)
+        self.codes = exact_codes(self.data, self.starts, self.ends)
+        piece = np.cumsum(self.data == 0x0A, dtype=np.int32)[self.starts]
+        follows = np.zeros(len(self.codes), dtype=bool)  # the word before is in the same run
+        follows[1:] = piece[1:] == piece[:-1]
+        self.room = np.ones(len(self.codes), dtype=np.int8)
+        if known:
+            _, one, number = np.unique(self.codes, return_index=True, return_inverse=True)
+            self.hashes = word_hashes(self.data, self.starts[one], self.ends[one])
+            self.number = number
         if 1 in known:
-            good = _has(known[1], _keys(lang, [hashes]))[number]
-            room[~good] = 0
+            good = _has(known[1], _keys(lang, [self.hashes]))[number]
+            self.room[~good] = 0
             follows[1:] &= good[1:] & good[:-1]
         if 2 in known:
             at = np.flatnonzero(follows)
-            follows[at] = _has(known[2], _keys(lang, [hashes[number[at - 1]], hashes[number[at]]]))
-    for m in range(2, depth + 1):
-        room[np.flatnonzero(follows[1:] & (room[:-1] >= m - 1)) + 1] = m
-    if least == 1:
-        yield _batch(lang, pa.nulls(1, pa.string()), [1], [1], [len(codes)])
-    for m, where, shortest, count in Automaton(codes, room, depth).states(least):
-        for a in range(0, len(where), 1 << 16):
-            own = where[a : a + (1 << 16)]
-            yield _batch(lang, _gathered(data, starts[own - m + 1], ends[own]).cast(pa.string()), shortest[a : a + len(own)], np.full(len(own), m), count[a : a + len(own)])
+            follows[at] = _has(known[2], _keys(lang, [self.hashes[number[at - 1]], self.hashes[number[at]]]))
+        for m in range(2, depth + 1):
+            self.room[np.flatnonzero(follows[1:] & (self.room[:-1] >= m - 1)) + 1] = m
+
+    def pairs(self) -> pa.RecordBatch:
+        """key and count of the pairs of words."""
+        made = Automaton(self.codes, self.room, 2)
+        at = made.where[2]
+        keys = _keys(self.lang, [self.hashes[self.number[at - 1]], self.hashes[self.number[at]]])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(made.count[2].astype(np.int64))], names=["key", "f"])
+
+    def states(self, least: int) -> Iterator[pa.RecordBatch]:
+        """The states of the automaton with phrases of ``least`` words or more; with words alone, too, their number as a row without a phrase."""
+        if least == 1:
+            yield _batch(self.lang, pa.nulls(1, pa.string()), [1], [1], [len(self.codes)])
+        for m, where, shortest, count in Automaton(self.codes, self.room, self.depth).states(least):
+            for a in range(0, len(where), 1 << 16):
+                own = where[a : a + (1 << 16)]
+                yield _batch(self.lang, _gathered(self.data, self.starts[own - m + 1], self.ends[own]).cast(pa.string()), shortest[a : a + len(own)], np.full(len(own), m), count[a : a + len(own)])
 
 
 def _batch(lang: str, phrases: pa.Array, shortest, longest, count) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, *[pa.array(x, pa.int64()) for x in (shortest, longest, count)]], names=["lang", "phrase", "shortest", "longest", "f"])
 
 
-def _counted(docs: DataFrame, depth: int, least: int, known: dict[int, np.ndarray], shard_bytes: int) -> DataFrame:
-    """lang, phrase and its occurrences, of phrases of ``least`` to ``depth`` words (without those that hold a rare part)."""
+def _each_shard(docs: DataFrame, depth: int, known: dict[int, np.ndarray], shard_bytes: int, rows, schema: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for lang, text in shards(batches, shard_bytes):
-            yield from shard_states(lang, text, depth, least, shared.value)
+            if text.strip(b" \n"):
+                yield from rows(Shard(lang, text, depth, shared.value))
+
+    return docs.mapInArrow(run, schema)
 
-    states = docs.mapInArrow(run, "lang string, phrase string, shortest long, longest long, f long")
+
+def _counted(docs: DataFrame, depth: int, least: int, known: dict[int, np.ndarray], shard_bytes: int) -> DataFrame:
+    """lang, phrase and its occurrences, of phrases of ``least`` to ``depth`` words (without those that hold a rare part)."""
+    states = _each_shard(docs, depth, known, shard_bytes, lambda shard: shard.states(least), "lang string, phrase string, shortest long, longest long, f long")
     if depth > 1:
         states = states.withColumn("m", F.explode(F.sequence("shortest", "longest"))).withColumn("phrase", F.expr("substring_index(phrase, ' ', cast(-m as int))"))
     return states.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
@@ -235,16 +257,17 @@ class Phrases:
     def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", depth: int = DEPTH, least: int = LEAST, shard_bytes: int = SHARD_BYTES):
         small_batches(docs.sparkSession)
         docs = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-        enough = (F.col("f") >= least) | F.col("phrase").isNull()
-        words = saved(_counted(docs, 1, 1, {}, shard_bytes).where(enough), "words")
+        enough = F.col("f") >= least
+        words = saved(_counted(docs, 1, 1, {}, shard_bytes).where(enough | F.col("phrase").isNull()), "words")
         self.totals = words.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
-        self.frequent = words.where("phrase IS NOT NULL").withColumn("m", F.lit(1).cast("long"))
-        known: dict[int, np.ndarray] = {}
-        for low, high in [(2, 2), (3, depth)][: 0 if depth < 2 else 1 if depth < 3 else 2]:
-            known[low - 1] = frequent_filter(words.where("phrase IS NOT NULL"))
-            words = saved(_counted(docs, high, low, known, shard_bytes).where(enough), "phrases")
-            self.frequent = self.frequent.unionByName(words.withColumn("m", F.size(F.split("phrase", " ")).cast("long")))
-        self.frequent = saved(self.frequent, "frequent")
+        words = words.where("phrase IS NOT NULL")
+        self.frequent = words.withColumn("m", F.lit(1).cast("long"))
+        if depth > 1:
+            known = {1: frequent_filter(word_keys(words))}
+            pairs = _each_shard(docs, 2, known, shard_bytes, lambda shard: [shard.pairs()], "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+            known = {2: frequent_filter(saved(pairs.where(enough).select("key"), "pairs"))}
+            longer = _counted(docs, depth, 2, known, shard_bytes).where(enough).withColumn("m", F.size(F.split("phrase", " ")).cast("long"))
+            self.frequent = saved(self.frequent.unionByName(longer), "frequent")
 
 
 def _looked_up(rows: DataFrame, key: str, counts: DataFrame, name: str) -> DataFrame:
