@@ -92,10 +92,12 @@ def hrefs(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r'(?is)<a\s(?:[^>]*\s)?href="([^"]*)"'), 1)
 
 
-def page_metadata(html: Column, url: Column, source: Column, license: Column, day: Column) -> dict[str, Column]:
+def metadata_fields(title: Column, author: Column, description: Column, url: Column, source: Column, license: Column, day: Column) -> dict[str, Column]:
     """Seven strings about a page; colons become `` -`` but in the url. ``day`` is given, so results don't change by date."""
     plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(":"), F.lit(" -"))
-    return {
-        "source": plain(source), "title": plain(title(html)), "author": plain(meta(html, "author")), "url": F.coalesce(url, F.lit("")),
-        "access_date": plain(day), "license": plain(license), "description": plain(meta(html, "description")),
-    }
+    return {"source": plain(source), "title": plain(title), "author": plain(author), "url": F.coalesce(url, F.lit("")), "access_date": plain(day), "license": plain(license), "description": plain(description)}
+
+
+def page_metadata(html: Column, url: Column, source: Column, license: Column, day: Column) -> dict[str, Column]:
+    """:func:`metadata_fields` of a page's html, by expressions alone."""
+    return metadata_fields(title(html), meta(html, "author"), meta(html, "description"), url, source, license, day)

@@ -22,18 +22,41 @@ def robots_url(url: Column) -> Column:
     return F.concat(site_root(url), F.lit("robots.txt"))
 
 
+#: A reference's scheme, authority, path, query and fragment, each with its mark (fixed value: RFC 3986, appendix B).
+_PARTS = r"^(?:([^:/?#]+:))?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?"
+
+
+def _part(c: Column, k: int) -> Column:
+    return F.regexp_extract(c, f"(?s){_PARTS}", k)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without segments ``.`` and ``..``: a stack of its segments, from which ``..`` takes the last (RFC 3986, 5.2.4)."""
+    rooted = F.startswith(path, F.lit("/"))
+    segments = F.split(F.when(rooted, F.substring(path, 2, 1 << 30)).otherwise(path), "/", -1)
+
+    def step(stack: Column, segment: Column) -> Column:
+        up = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        return F.when(segment == ".", stack).when(segment == "..", up).otherwise(F.array_append(stack, segment))
+
+    stack = F.aggregate(segments, F.expr("cast(array() as array<string>)"), step)
+    last = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack)  # these name a folder
+    plain = ~F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)"))
+    return F.when(plain, path).otherwise(F.concat(F.when(rooted, "/").otherwise(""), F.array_join(last, "/")))
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """A link as seen from ``base``: absolute, of the same scheme, from the root, a query or fragment, or beside the page."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    """A link as seen from ``base``, by RFC 3986 (5.2.2, strict); null if one of them is."""
+    scheme, authority, path, query, fragment = (_part(href, k) for k in range(1, 6))
+    b_scheme, b_authority, b_path, b_query = (_part(base, k) for k in range(1, 5))
+    beside = F.when((b_authority != "") & (b_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_replace(b_path, "[^/]*$", ""), path))
+    own = F.when(F.startswith(path, F.lit("/")), path).otherwise(beside)
     return (
-        F.when(F.regexp_like(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
-        .when(href == "", base)
-        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
-        .otherwise(F.concat(root, F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")), href))
+        F.when(href.isNull() | base.isNull(), None)
+        .when(scheme != "", F.concat(scheme, authority, without_dots(path), query, fragment))
+        .when(authority != "", F.concat(b_scheme, authority, without_dots(path), query, fragment))
+        .when(path == "", F.concat(b_scheme, b_authority, b_path, F.when(query != "", query).otherwise(b_query), fragment))
+        .otherwise(F.concat(b_scheme, b_authority, without_dots(own), query, fragment))
     )
 
 

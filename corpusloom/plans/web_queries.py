@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import html as ht
 from corpusloom.functions import links as ln
+from corpusloom.functions.html_reader import page
 from corpusloom.operators.crawl import crawl
 from corpusloom.plans.registry import literal, query, replaced, table
 from corpusloom.sources.web import robots_gate
@@ -85,7 +86,7 @@ def extract_links(spark, sf):
     return _links(spark, sf).where(ln.link_filter(F.col("link"), F.col("base"))).select("page_id", "link").distinct()
 
 
-@query("robots_gate")
+@query("robots_gate", f"SELECT page_id, url FROM pages WHERE {_ROOT} <> '' AND NOT starts_with(CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END, '/en/')")
 def robots(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     bodies = pages.select(ln.robots_url(F.col("url")).alias("robots_url")).distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /en/\n"))
@@ -112,3 +113,53 @@ def crawl_reachable(spark, sf):
 @query("crawl_depth2", f"WITH RECURSIVE {_EDGES}, r AS (SELECT 'p5' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 2) SELECT url, min(depth) AS depth FROM r GROUP BY url")
 def crawl_depth2(spark, sf):
     return crawl(*_graph(spark, sf), max_depth=2)
+
+
+# ---------------------------------------------------------------- the reader
+def _page_html():
+    """A page around a document: nested navigation, numbered and nested lists, code, a table, a quote."""
+    c, s = F.concat, F.lit
+    code = F.replace(F.replace(F.col("text"), s("&"), s("&amp;")), s("<"), s("&lt;"))
+    return c(
+        s("<html><head><title>"), F.col("source"), s('</title><meta name="author" content="'), F.col("lang"), s('"></head><body><nav><nav><a href="/x">in</a></nav>out</nav><h1>'), F.col("source"),
+        s("</h1><ol><li>"), F.col("lang"), s("<li>two<ul><li>deep</ul></ol><pre>\n"), code, s("</pre><table><tr><th>k</th><th>v</th></tr><tr><td>id</td><td>"), F.col("doc_id").cast("string"),
+        s('</td></tr></table><blockquote><p>q<p>r</blockquote><a href="/doc/'), F.col("doc_id").cast("string"), s('">more</a></body></html>'),
+    )
+
+
+@query(
+    "page_reader",
+    r"""WITH d AS (SELECT *, regexp_replace(text, '\n+$', '') AS code, list_max(list_transform(regexp_extract_all(text, '`+'), lambda m: length(m))) AS ticks FROM documents),
+f AS (SELECT *, repeat('`', CASE WHEN coalesce(ticks, 0) < 3 THEN 3 ELSE ticks + 1 END) AS fence FROM d)
+SELECT doc_id, source AS title, lang AS author, ['/x', '/doc/' || doc_id] AS links,
+  '# ' || source || chr(10) || chr(10) || '1. ' || lang || chr(10) || '2. two' || chr(10) || '   * deep' || chr(10) || chr(10)
+  || CASE WHEN code = '' THEN '' ELSE fence || chr(10) || code || chr(10) || fence || chr(10) || chr(10) END
+  || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| id | ' || doc_id || ' |' || chr(10) || chr(10) || '> q' || chr(10) || '>' || chr(10) || '> r' || chr(10) || chr(10) || '[more](/doc/' || doc_id || ')' AS markdown
+FROM f""",
+)
+def page_reader(spark, sf):
+    """Every document in a page of its own, read back by the HTML reader."""
+    rows = table(spark, sf, "documents").select("doc_id", page(_page_html()).alias("p"))
+    author = F.filter("p.metas", lambda m: m["key"] == "author")[0]["value"]
+    return rows.select("doc_id", "p.title", author.alias("author"), "p.links", "p.markdown")
+
+
+@query("page_markdown")
+def page_markdown(spark, sf):
+    """Title, links and Markdown of the given pages, by the HTML reader."""
+    rows = table(spark, sf, "pages").select("page_id", page("html").alias("p"))
+    return rows.select("page_id", "p.title", F.size("p.links").alias("n_links"), "p.markdown", "p.text")
+
+
+@query(
+    "resolve_dots",
+    f"""WITH b AS (SELECT page_id, {_ROOT} AS root, {_PATH} AS path, regexp_replace(url, '#.*$', '') AS bare, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*:') AS scheme FROM pages),
+f AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS folder FROM b)
+SELECT page_id, unnest([root || folder || 'b/' || page_id, root || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]*/$', '') END || 'up', root || '/r/' || page_id || '?q=./y', scheme || '//h.example/', bare || '#f']) AS link FROM f""",
+)
+def resolve_dots(spark, sf):
+    """Links with dot segments, as seen from every page."""
+    k = F.col("page_id").cast("string")
+    refs = F.array(F.concat(F.lit("./a/../b/"), k), F.lit("../up"), F.concat(F.lit("/r/./x/../"), k, F.lit("?q=./y")), F.lit("//h.example/a/b/../.."), F.lit("#f"))
+    rows = table(spark, sf, "pages").select("page_id", "url", F.explode(refs).alias("href"))
+    return rows.select("page_id", ln.resolve(F.col("url"), F.col("href")).alias("link"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import SPACE
@@ -79,11 +79,31 @@ def write_chunks(chunks: DataFrame, folder: str, partition: str = "cache_key") -
     chunks.repartitionByRange(partition, "chunk_index").sortWithinPartitions(partition, "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).json(folder)
 
 
-def write_new_pages(pages: DataFrame, path: str, key: str = "path") -> DataFrame:
-    """Append pages whose key the table lacks; all pages are returned, so that links of known ones are followed, too."""
+def _marked(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders ``level=NAME`` below ``path`` that were written to their end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/level=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(f.getPath().getParent().getName().split("=", 1)[1] for f in found)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame | None:
+    """The pages of all levels below ``path`` that were written to their end, with ``level``; None if there are none."""
+    names = _marked(spark, path)
+    return spark.read.option("basePath", path).parquet(*[f"{path.rstrip('/')}/level={n}" for n in names]) if names else None
+
+
+def write_new_pages(pages: DataFrame, path: str, level: str, key: str = "path", order: str = "url") -> DataFrame:
+    """Write those pages whose key no other level below ``path`` has, as the level of that name; a level written again takes its own place.
+
+    Of pages with one key the first by ``order`` is written. All pages are
+    returned, so that links of known ones are followed, too.
+    """
     spark = pages.sparkSession
-    fresh = pages if not exists(spark, path) else pages.join(spark.read.parquet(path).select(key), key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    others = [n for n in _marked(spark, path) if n != level]
+    fresh = pages.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")
+    if others:
+        fresh = fresh.join(spark.read.parquet(*[f"{path.rstrip('/')}/level={n}" for n in others]).select(key), key, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/level={level}")
     return pages
 
 

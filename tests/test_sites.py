@@ -22,6 +22,40 @@ def test_crawl_of_a_site(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a" / "documents")).count() == 3
 
 
+def test_a_crawl_that_failed_between_levels_goes_on(spark, tmp_path):
+    from corpusloom.sources.files import read_pages
+
+    sites = spark.createDataFrame([("My Site", "http://a.x/", "CC BY")], "source string, url string, license string")
+    robots = spark.createDataFrame([("http://a.x/robots.txt", "User-agent: *")], "robots_url string, body string")
+    log, root = tmp_path / "log", str(tmp_path / "out")
+    log.mkdir()
+
+    def get(url, _):
+        (log / url.replace("/", "_")).open("a").write("x")
+        return PAGES[url]
+
+    go = lambda **o: sorted((r.url, r.depth) for r in site.crawl_sites(sites, robots, root, "2024-01-31", get=get, delay=0, run="r1", **o).collect())
+    assert go(max_depth=0) == [("http://a.x/", 0)]
+    # The next level was fetched, but the run died before its documents were written.
+    assert go(max_depth=1) == [("http://a.x/", 0), ("http://a.x/no/two", 1), ("http://a.x/one", 1)]
+    (tmp_path / "out" / "documents" / "level=r1-1" / "_SUCCESS").unlink()
+    assert {r.path for r in read_pages(spark, f"{root}/documents").collect()} == {"My_Site/index.md"}
+    assert len(go()) == 4
+    paths = [r.path for r in read_pages(spark, f"{root}/documents").collect()]
+    assert sorted(paths) == ["My_Site/index.md", "My_Site/one.md", "My_Site/three.md"]
+    assert all(f.read_text() == "x" for f in log.iterdir())  # no page was fetched twice
+
+
+def test_pages_with_one_name(spark, tmp_path):
+    from corpusloom.sources.files import read_pages, write_new_pages
+
+    rows = spark.createDataFrame([("s/a.md", "http://x/b", "2"), ("s/a.md", "http://x/a", "1"), ("s/c.md", "http://x/c", "3")], "path string, url string, content string")
+    for _ in range(2):
+        assert write_new_pages(rows, str(tmp_path / "d"), "0").count() == 3
+    write_new_pages(rows.where("path = 's/a.md'"), str(tmp_path / "d"), "1")
+    assert sorted((r.path, r.content, str(r.level)) for r in read_pages(spark, str(tmp_path / "d")).collect()) == [("s/a.md", "1", "0"), ("s/c.md", "3", "0")]
+
+
 def test_failures_are_retried(spark, tmp_path):
     root = str(tmp_path / "out")
     files = spark.createDataFrame([("a.md", 9, "# A\ngood text", "s", "s/a.md"), ("b.md", 9, "# B\nbad text", "s", "s/b.md")], "name string, size long, content string, source string, path string")
