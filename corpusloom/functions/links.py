@@ -46,13 +46,14 @@ def without_dots(path: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """A link as seen from ``base``, by RFC 3986 (5.2.2, strict); null if one of them is."""
+    """A link as seen from ``base``, by RFC 3986 (5.2.2, strict); an empty one is the base, its fragment included; null if one of them is."""
     scheme, authority, path, query, fragment = (_part(href, k) for k in range(1, 6))
     b_scheme, b_authority, b_path, b_query = (_part(base, k) for k in range(1, 5))
     beside = F.when((b_authority != "") & (b_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_replace(b_path, "[^/]*$", ""), path))
     own = F.when(F.startswith(path, F.lit("/")), path).otherwise(beside)
     return (
         F.when(href.isNull() | base.isNull(), None)
+        .when(href == "", base)
         .when(scheme != "", F.concat(scheme, authority, without_dots(path), query, fragment))
         .when(authority != "", F.concat(b_scheme, authority, without_dots(path), query, fragment))
         .when(path == "", F.concat(b_scheme, b_authority, b_path, F.when(query != "", query).otherwise(b_query), fragment))

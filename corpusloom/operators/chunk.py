@@ -157,6 +157,42 @@ def merge_lists(chunks: DataFrame, doc: str, index: str, text: str) -> DataFrame
     return merged.select(doc, F.col("_x")[0]["i"].alias(index), F.array_join(F.transform("_x", lambda s: s["t"]), "\n").alias(text))
 
 
+_LIST = re.compile(LIST_ITEM, re.ASCII)
+
+
+def merged_lists(chunks: list[str]) -> list[str]:
+    """Runs of chunks that start as list items become one, joined by line feeds, as :func:`merge_lists` has them."""
+    out, open_list = [], []
+    for chunk in chunks:
+        if _LIST.match(chunk):
+            open_list.append(chunk)
+            continue
+        out += ["\n".join(open_list)] if open_list else []
+        open_list = []
+        out.append(chunk)
+    return out + (["\n".join(open_list)] if open_list else [])
+
+
+def cut(text: str, strategy: Strategy, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[list[str | None], str]]:
+    """(headers, content) of a text's chunks in order, by headers and size or by size alone."""
+    if strategy is Strategy.HEADERS:
+        return [(headers, piece) for headers, section in split_headers(text) for piece in split_size(section, size, overlap)]
+    return [([None] * LEVELS, piece) for piece in merged_lists(split_size(text, size, overlap))]
+
+
+_HEADS = [f"h{k}" for k in range(1, LEVELS + 1)]
+
+
+def cut_udf(strategy: Strategy, size: int = SIZE, overlap: int = OVERLAP):
+    """UDF: text to an array of chunks with the headers above them."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (*_HEADS, "content")])))
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(lambda t: [] if t is None else [dict(zip(_HEADS, h, strict=True), content=x) for h, x in cut(t, strategy, size, overlap)])
+
+    return run
+
+
 def chunk_id(path: Column, index: Column, content: Column) -> Column:
     """The same chunk has the same id in every run."""
     return F.sha2(F.concat_ws("\x1f", path, index.cast("string"), content).cast("binary"), 256)
@@ -169,28 +205,24 @@ def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", str
     header_4 and the frontmatter's entries, which go before headers of the same
     name; ``section_path`` is made of what it has. Without ``keywords`` there is
     no such column, else keywords of the frontmatter give way to it.
+
+    A text's chunks are cut and numbered where the text lies, so there is no
+    shuffle; rows with equal paths are numbered apart.
     """
     strategy = Strategy(strategy)
     parts = docs.select(F.col(path).alias("path"), extract(F.coalesce(F.col(text), F.lit(""))).alias("x")).select("path", "x.block", "x.body")
     parts = parts.withColumn("entries", fields(F.col("block"))).withColumn("front", last_wins(F.col("entries"))).drop("entries")  # once for each document
-    none = [F.lit(None).cast("string").alias(f"h{k}") for k in range(1, LEVELS + 1)]
-    if strategy is Strategy.HEADERS:
-        sections = parts.select("path", "block", "front", F.posexplode(chunk_headers("body")).alias("section", "s"))
-        rows = sections.select("path", "block", "front", "section", *[F.col(f"s.h{k}").alias(f"h{k}") for k in range(1, LEVELS + 1)], F.posexplode(chunk_size(size, overlap)("s.content")).alias("piece", "page_content"))
+    if strategy is Strategy.SENTENCES:
+        none = [F.lit(None).cast("string").alias(h) for h in _HEADS]
+        numbered = parts.select("path", "block", "front", F.posexplode(sentence_chunks(F.col("body"), size)).alias("chunk_index", "page_content")).select("*", *none)
     else:
-        cut = sentence_chunks(F.col("body"), size) if strategy is Strategy.SENTENCES else chunk_size(size, overlap)("body")
-        rows = parts.select("path", "block", "front", F.lit(0).alias("section"), *none, F.posexplode(cut).alias("piece", "page_content"))
-    numbered = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("section", "piece")) - 1)
-    if strategy is Strategy.SIZE:
-        merged = merge_lists(numbered, "path", "chunk_index", "page_content")
-        numbered = merged.join(parts.select("path", "block", "front"), "path").select("*", *none)
-        numbered = numbered.withColumn("chunk_index", F.row_number().over(Window.partitionBy("path").orderBy("chunk_index")) - 1)
-    heads = [f"h{k}" for k in range(1, LEVELS + 1)]
-    found = F.array(*[F.struct(F.lit(f"header_{k}").alias("key"), F.col(h).alias("value")) for k, h in enumerate(heads, 1)])
-    own = F.filter(found, lambda p: p["value"].isNotNull() & ~F.exists("front", lambda q: q["key"] == p["key"]))
+        found = parts.select("path", "block", "front", F.posexplode(cut_udf(strategy, size, overlap)("body")).alias("chunk_index", "s"))
+        numbered = found.select("path", "block", "front", "chunk_index", F.col("s.content").alias("page_content"), *[F.col(f"s.{h}").alias(h) for h in _HEADS])
+    named = F.array(*[F.struct(F.lit(f"header_{k}").alias("key"), F.col(h).alias("value")) for k, h in enumerate(_HEADS, 1)])
+    own = F.filter(named, lambda p: p["value"].isNotNull() & ~F.exists("front", lambda q: q["key"] == p["key"]))
     front = F.filter("front", lambda p: p["key"] != "keywords") if keywords else F.col("front")
-    path_of = section_path(*[F.coalesce(get(F.col("front"), f"header_{k}"), F.col(h)) for k, h in enumerate(heads, 1)])
-    out = numbered.select("path", "chunk_index", "page_content", *heads, path_of.alias("section_path"), F.col("block").alias("frontmatter"), F.concat(own, front).alias("metadata"))
+    path_of = section_path(*[F.coalesce(get(F.col("front"), f"header_{k}"), F.col(h)) for k, h in enumerate(_HEADS, 1)])
+    out = numbered.select("path", "chunk_index", "page_content", *_HEADS, path_of.alias("section_path"), F.col("block").alias("frontmatter"), F.concat(own, front).alias("metadata"))
     if keywords:
         out = out.withColumn("keywords", extract_keywords(F.col("page_content")))
     return out.withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index"), F.col("page_content")))

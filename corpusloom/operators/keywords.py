@@ -1,8 +1,9 @@
 """Keywords of documents: plain top n, maximal sum of distances, maximal marginal relevance.
 
-Candidates are runs of one or two words without English stop words. The plain
-ranking is built-in expressions over term counts; the two that weigh candidates
-against each other run in an Arrow-batched UDF over hashed word vectors.
+Candidates are runs of one or two words without English stop words. All three
+rankings are worked out where a text lies, in Arrow batches: counts and, for the
+two that weigh candidates against each other, hashed word vectors. Counts and
+maximal sums take many texts at once; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +35,8 @@ _WORD = re.compile("[a-z0-9]{2,}")
 _DIMENSIONS = 512  # nine bits of an entry of _word
 #: Pairs of words whose vectors are held at a time.
 _BLOCK = 4096
+#: Texts whose candidates are taken together, and matrices of candidates compared at a time.
+_TEXTS, _MATRICES = 256, 32
 
 
 def tokens(text: Column) -> Column:
@@ -52,11 +56,9 @@ def has_text(text: Column) -> Column:
 
 
 def top_keywords(docs: DataFrame, key: str, text: str, top: int = TOP) -> DataFrame:
-    """(key, keyword, n, rank): the most frequent candidates of each text, in alphabetical order of equals."""
-    words = docs.where(has_text(F.col(text))).select(key, tokens(F.col(text)).alias("_words"))
-    counted = words.select(key, F.explode(candidates(F.col("_words"))).alias("keyword")).groupBy(key, "keyword").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "keyword")))
-    return ranked.where(F.col("rank") <= top)
+    """(key, keyword, n, rank): the most frequent candidates of each text, in alphabetical order of equals; counted where the text lies."""
+    found = docs.select(key, F.posexplode(frequent_udf(top)(text)).alias("_k", "_x"))
+    return found.select(key, F.col("_x.keyword").alias("keyword"), F.col("_x.n").alias("n"), (F.col("_k") + 1).alias("rank"))
 
 
 @lru_cache(maxsize=1 << 17)
@@ -144,24 +146,176 @@ class _Phrases:
         return sorted(chosen.tolist(), key=lambda k: (-near[k], self.name(k)))[:most]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _word_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, place, value) of the entries of all words' vectors, in order of words; as :func:`_word` has them one by one."""
+    data = np.frombuffer(("<" + "><".join(words) + ">").encode() if words else b"", np.uint8)
+    ends = np.cumsum([len(w) + 2 for w in words])
+    of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    state, keys, signs = np.full(len(data), 0xFFFFFFFF, np.uint32), [], []
+    for n in range(1, 5):
+        state = _CRC[(state[: len(data) - n + 1] ^ data[n - 1 :]) & 255] ^ state[: len(data) - n + 1] >> np.uint32(8)
+        if n > 2:
+            fits = np.flatnonzero(np.arange(len(state)) + n <= ends[of[: len(state)]])
+            h = ~state[fits]
+            keys.append(of[fits] * _DIMENSIONS + (h & np.uint32(_DIMENSIONS - 1)))
+            signs.append(np.where(h >> np.uint32(16) & 1, 1.0, -1.0))
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys // _DIMENSIONS, keys % _DIMENSIONS, np.bincount(at, np.concatenate(signs), len(keys))
+
+
+class _Texts:
+    """The candidates of several texts at once: words and pairs of words, each once a text, with how often they occur."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        ids, sizes = [], []
+        for text in texts:
+            own = [number.setdefault(w, len(number)) for w in _WORD.findall(text.lower()) if w not in _STOP]
+            ids += own
+            sizes.append(len(own))
+        self.count, self.words, self.n = len(texts), list(number), max(1, len(number))
+        ids, of = np.array(ids, np.int64), np.repeat(np.arange(len(texts)), sizes)
+        self.single, singly = np.unique(of * self.n + ids, return_counts=True)
+        same = np.flatnonzero(of[1:] == of[:-1])
+        # Of a text by its number, a pair by its first word's place among all singles, which has the text in it, and its second word.
+        begun = np.searchsorted(self.single, of[same] * self.n + ids[same])
+        pairs, doubly = np.unique(begun * self.n + ids[same + 1], return_counts=True)
+        begun = self.single[pairs // self.n]
+        self.of = np.concatenate([self.single, begun]) // self.n
+        self.first = np.concatenate([self.single, begun]) % self.n
+        self.second = np.concatenate([np.full(len(self.single), -1), pairs % self.n])
+        self.often = np.concatenate([singly, doubly])
+        rank = np.empty(self.n, np.int64)
+        rank[np.argsort(np.array([*self.words, *[""] * (self.n - len(self.words))]), kind="stable")] = np.arange(self.n)
+        # A space goes before all letters, so names are in the order of their words.
+        self.alphabet = [np.where(self.second >= 0, rank[self.second], -1), rank[self.first]]
+
+    def best(self, worth: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the ``most`` candidates of greatest worth, then in alphabetical order, and how many a text has."""
+        order = np.lexsort((*self.alphabet, -worth, self.of))
+        of = self.of[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        kept = order[place < most]
+        return kept, np.bincount(self.of[kept], minlength=self.count)
+
+    def name(self, k: int) -> str:
+        return self.words[self.first[k]] + (f" {self.words[self.second[k]]}" if self.second[k] >= 0 else "")
+
+    def vectors(self) -> None:
+        """Lengths of the candidates, and ``near``: their cosines to their texts."""
+        row, place, value = _word_vectors(self.words)
+        size = np.bincount(row, minlength=self.n)
+        self.dense = np.zeros((self.n + 1, _DIMENSIONS), np.float32)  # the last row, which -1 means, stays 0
+        self.dense[row, place] = value
+        start, squares = np.cumsum(size) - size, np.bincount(row, value**2, self.n)
+        one = len(self.single)
+
+        def entries(words):
+            own = size[words]
+            return np.repeat(np.arange(len(words)), own), np.arange(own.sum()) + np.repeat(start[words] - (np.cumsum(own) - own), own)
+
+        row, at = entries(self.first[:one])
+        whole = np.bincount(self.of[row] * _DIMENSIONS + place[at], value[at] * self.often[row], self.count * _DIMENSIONS).reshape(-1, _DIMENSIONS)
+        whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
+        dots = np.bincount(row, value[at] * whole[self.of[row], place[at]], one)
+        a, b, of = self.first[one:], self.second[one:], self.of[one:]
+        both, back = np.unique(a * self.n + b, return_inverse=True)
+        row, at = entries(both // self.n)
+        product = np.bincount(row, value[at] * self.dense[(both % self.n)[row], place[at]], len(both))[back]
+        length = np.sqrt(np.concatenate([squares[self.first[:one]], squares[a] + squares[b] + 2 * product]))
+        self.length = np.where(length > 0, length, 1.0)
+        pair_dots = dots[np.searchsorted(self.single, of * self.n + a)] + dots[np.searchsorted(self.single, of * self.n + b)]
+        self.near = np.concatenate([dots, pair_dots]) / self.length
+
+
 @lru_cache(maxsize=64)
-def _choices(n: int, top: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """All sets of ``top`` of ``n``, and where the pairs of each are in a flat n by n matrix."""
-    sets = np.array(list(combinations(range(n), top)))
-    return sets, [sets[:, a] * n + sets[:, b] for a in range(top) for b in range(a)]
+def _prefixes(n: int, size: int) -> np.ndarray:
+    """All sets of ``size`` of ``n`` by their last numbers, so that those below any number come first."""
+    return np.array(sorted(combinations(range(n), size), key=lambda c: c[::-1])).reshape(-1, size)
+
+
+def _least_alike(alike: np.ndarray, top: int) -> list[tuple[int, ...]]:
+    """Of each matrix, the set of ``top`` rows with the least sum of pairs (rounded); of equals the first in order.
+
+    Sets grow by their last row: ``own`` has the sums of all sets so far, in the
+    order of ``_prefixes``, and ``more`` their sums with each row, so the sets
+    below a row are the first ones, and no set's pairs are added up one by one.
+    """
+    n = alike.shape[1]
+    if top < 3:
+        sets = list(combinations(range(n), top))
+        return [min(sets, key=lambda c: (round(float(sum(m[x, y] for x, y in combinations(c, 2))), 9), c)) for m in alike]
+    alike = np.ascontiguousarray(alike.transpose(1, 2, 0))  # a set's sums of all matrices lie side by side
+    own, more = np.zeros((n, alike.shape[2])), alike
+    for size in range(1, top - 2):
+        below = [comb(c, size) for c in range(size, n)]
+        own = np.concatenate([own[:p] + more[:p, c] for c, p in enumerate(below, size)])
+        more = np.concatenate([more[:p] + alike[c] for c, p in enumerate(below, size)])
+    ends = range(top - 2, n - 1)  # a set's last row but one
+
+    def sums(d, which=slice(None)):
+        p = comb(d, top - 2)
+        return (own[:p, which] + more[:p, d, which])[:, None] + more[:p, d + 1 :, which]
+
+    lows = np.stack([(sums(d).min(axis=0) + alike[d, d + 1 :]).min(axis=0) for d in ends], axis=1).round(9)
+    sets, out = _prefixes(n, top - 2), []
+    for k, low in enumerate(lows):
+        found = []
+        for d in np.flatnonzero(low == low.min()) + top - 2:
+            p, e = np.nonzero((sums(d, k) + alike[d, d + 1 :, k]).round(9) == low.min())
+            found += [(*sets[x].tolist(), int(d), int(d + 1 + y)) for x, y in zip(p, e, strict=True)]
+        out.append(min(found))
+    return out
+
+
+def max_sums(texts: list[str], top: int = TOP, most: int = CANDIDATES) -> list[list[str]]:
+    """Of each text's nearest candidates, those least alike each other."""
+    out: list[list[str]] = []
+    for a in range(0, len(texts), _TEXTS):
+        own = _Texts(texts[a : a + _TEXTS])
+        own.vectors()
+        kept, sizes = own.best(np.round(own.near, 9), most)
+        ends = np.cumsum(sizes)
+        chosen = [kept[e - m : e] for e, m in zip(ends, sizes, strict=True)]
+        for m in np.unique(sizes[sizes > top]):
+            same = np.flatnonzero(sizes == m)
+            for b in range(0, len(same), _MATRICES):
+                part = same[b : b + _MATRICES]
+                rows = np.stack([chosen[k] for k in part])
+                vectors = own.dense[own.first[rows]] + own.dense[own.second[rows]]
+                alike = (vectors @ vectors.transpose(0, 2, 1)).astype(np.float64)  # of whole numbers, so exact until here
+                alike /= own.length[rows][:, :, None] * own.length[rows][:, None, :]
+                for k, best in zip(part, _least_alike(alike, top), strict=True):
+                    chosen[k] = chosen[k][list(best)]
+        out += [[own.name(k) for k in c] for c in chosen]
+    return out
 
 
 def max_sum(text: str, top: int = TOP, most: int = CANDIDATES) -> list[str]:
-    """Of the nearest candidates, those least alike each other."""
-    phrases = _Phrases(text)
-    chosen = phrases.nearest(most)
-    if len(chosen) <= top:
-        return [phrases.name(k) for k in chosen]
-    vectors = np.stack([phrases.vector(k) for k in chosen])
-    alike = (vectors @ vectors.T).ravel()
-    sets, pairs = _choices(len(chosen), top)
-    total = sum(alike.take(p) for p in pairs)
-    return [phrases.name(chosen[k]) for k in sets[int(np.argmin(np.round(total, 9)))]]
+    return max_sums([text], top, most)[0]
+
+
+def frequent(texts: list[str], top: int = TOP) -> list[list[tuple[str, int]]]:
+    """The most frequent candidates of each text and how often they occur, in alphabetical order of equals."""
+    out = []
+    for a in range(0, len(texts), _TEXTS):
+        own = _Texts(texts[a : a + _TEXTS])
+        kept, sizes = own.best(own.often, top)
+        ends = np.cumsum(sizes)
+        out += [[(own.name(k), int(own.often[k])) for k in kept[e - m : e]] for e, m in zip(ends, sizes, strict=True)]
+    return out
 
 
 def marginal(text: str, top: int = TOP, diversity: float = DIVERSITY) -> list[str]:
@@ -180,20 +334,39 @@ def marginal(text: str, top: int = TOP, diversity: float = DIVERSITY) -> list[st
     return [phrases.name(k) for k in taken]
 
 
-def _udf(pick):
+def _each(c: pd.Series, pick_all) -> pd.Series:
+    """``pick_all`` of the texts that are long enough, nothing of the others."""
+    out: list[list] = [[] for _ in range(len(c))]
+    some = [k for k, t in enumerate(c) if t is not None and len(t.strip()) >= LEAST_CHARS]
+    for k, found in zip(some, pick_all([c.iloc[k] for k in some]), strict=True):
+        out[k] = found
+    return pd.Series(out, dtype=object)
+
+
+def _udf(pick_all):
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(c: pd.Series) -> pd.Series:
-        return c.map(lambda t: pick(t) if t is not None and len(t.strip()) >= LEAST_CHARS else [])
+        return _each(c, pick_all)
 
     return run
 
 
 def max_sum_keywords(top: int = TOP, most: int = CANDIDATES):
-    return _udf(lambda t: max_sum(t, top, most))
+    return _udf(lambda texts: max_sums(texts, top, most))
 
 
 def marginal_keywords(top: int = TOP, diversity: float = DIVERSITY):
-    return _udf(lambda t: marginal(t, top, diversity))
+    return _udf(lambda texts: [marginal(t, top, diversity) for t in texts])
+
+
+def frequent_udf(top: int = TOP):
+    """UDF from texts to their most frequent candidates, with n."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())])))
+    def run(c: pd.Series) -> pd.Series:
+        return _each(c, lambda texts: [[{"keyword": k, "n": n} for k, n in found] for found in frequent(texts, top)])
+
+    return run
 
 
 def extract_keywords(text: Column, mmr: bool = False, maxsum: bool = True, top: int = TOP) -> Column:
@@ -202,7 +375,4 @@ def extract_keywords(text: Column, mmr: bool = False, maxsum: bool = True, top:
         return marginal_keywords(top)(text)
     if maxsum:
         return max_sum_keywords(top)(text)
-    words = tokens(text)
-    all_of = candidates(words)
-    counted = F.transform(F.array_distinct(all_of), lambda k: F.struct((-F.size(F.filter(all_of, lambda x: x == k))).alias("n"), k.alias("k")))
-    return F.when(has_text(text), F.transform(F.slice(F.array_sort(counted), 1, top), lambda s: s["k"])).otherwise(F.array().cast("array<string>"))
+    return _udf(lambda texts: [[k for k, _ in found] for found in frequent(texts, top)])(text)
