@@ -19,9 +19,10 @@ when the Jaccard similarity of their sets of shingles is ``THRESHOLD`` or more.
    blocks of bounded size, the pairs of a component are compared by their
    minima in the same way, and those that survive are verified exactly: by the
    intersection of their shingles, told apart by their words, not by hashes.
-   A component of more blocks than there are bands is cut by its buckets, and a
-   pair counts in the first band it shares, so a chain costs no more than its
-   buckets do. Only counts of links and again a forest leave a task.
+   Of a component of several blocks, a row goes to those where another one shares
+   a bucket with it, which narrow rows tell, so k near copies cost what their
+   pairs do and a chain what its neighbours do. Two rows meet in one task only,
+   so no pair counts twice. Only counts of links and again a forest leave a task.
 
 Defined results: a text without words has no link and is a class of its own; of
 rows with equal ids each is a document; null ids are allowed; a class is named
@@ -214,12 +215,11 @@ def _verify(table: pa.Table, threshold: Fraction) -> pa.Table:
     """Exact links of a block, or between two: (uid, links, root) of each linked document."""
     order = np.argsort(table.column("uid").to_numpy(), kind="stable")
     uids, weights, mine = (table.column(c).to_numpy()[order] for c in ("uid", "copies", "mine"))
-    words, signs, bands = (table.column(c).take(order).to_pylist() for c in ("words", "sign", "bands"))
-    i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    words, signs = (table.column(c).take(order).to_pylist() for c in ("words", "sign"))
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
     sets = exact_sets(words)
     del words
     signs = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, COMPARED)
-    bands = np.array(bands, dtype=np.int64) if bands[0] is not None else None
     sizes = np.array([len(s) for s in sets])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     codes = np.concatenate(sets)
@@ -239,9 +239,6 @@ def _verify(table: pa.Table, threshold: Fraction) -> pa.Table:
             others = others[mine[others] != mine[k]]
         small, large = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
         others = others[small * threshold.denominator >= large * threshold.numerator]
-        if bands is not None and len(others):  # a pair counts in the first band it shares
-            same = bands[others] == bands[k]
-            others = others[same.any(axis=1) & (bands[k][same.argmax(axis=1)] == band)]
         others = others[survivors(signs[k], signs[others], least)] if len(others) else others
         if not len(others):
             continue
@@ -323,14 +320,33 @@ class Join:
         """Blocks of a group of m rows with ``total`` shingles."""
         return F.greatest(F.ceil(F.col("m") / self.block_rows), F.ceil(F.col("total") * 8 / self.block_bytes))
 
+    def _met(self, member: DataFrame) -> DataFrame:
+        """``member`` with ``others``: its own block, and those in which some other row of its component shares a bucket with it.
+
+        From narrow rows; texts go to these blocks alone. So of k rows that all
+        share a bucket each goes to all blocks there are, and a row of a chain
+        to no more than it has neighbours, by one rule for components of any size.
+        """
+        several = member.where("blocks > 1")
+        if several.isEmpty():
+            return member.withColumn("others", F.array("mine"))
+        rows = saved(several.join(self.signs, "rep").select("component", "rep", "mine", F.explode("bands").alias("key")), "keys")
+        # Saved, so that both sides of the join are dealt out for it alone, which lets Spark split a frequent bucket.
+        seen = saved(rows.groupBy("component", "key").agg(F.collect_set("mine").alias("seen"), F.count("*").alias("m")).where("m > 1").drop("m"), "seen")
+        met = rows.join(seen.hint("merge"), ["component", "key"]).select("rep", F.explode(F.array_union("seen", F.array("mine"))).alias("other"))
+        met = saved(met.distinct().groupBy("rep").agg(F.collect_set("other").alias("found")), "met")
+        return member.join(met, "rep", "left").withColumn("others", F.array_union(F.coalesce("found", F.array("mine")), F.array("mine"))).drop("found")
+
     def verified(self) -> None:
         """(rep, links, root) of each representative with a link; links counts documents."""
         member = components(self.candidates()).withColumnRenamed("vertex", "rep").withColumnRenamed("root", "component")
         member = member.join(self.reps.select("rep", "n", "copies"), "rep")
         size = member.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-        member = saved(member.join(size.select("component", self._blocks().alias("blocks")), "component"), "members")
-        place = F.struct((F.col("rep") % PART_ROWS).alias("place"), "component", "blocks", "copies")
-        asked = member.groupBy((F.col("rep") / PART_ROWS).cast("long").alias("part")).agg(F.collect_list(place).alias("rows"))  # rows of one part
+        member = member.join(size.select("component", self._blocks().cast("long").alias("blocks")), "component")
+        mine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(F.lit("blocks"), "rep"), "blocks")).otherwise(F.lit(0).cast("long"))
+        member = saved(member.withColumn("mine", mine), "members")
+        place = F.struct((F.col("rep") % PART_ROWS).alias("place"), "component", "mine", "others", "copies")
+        asked = self._met(member).groupBy((F.col("rep") / PART_ROWS).cast("long").alias("part")).agg(F.collect_list(place).alias("rows"))  # rows of one part
         text = self.text
 
         def run(part, path, got):
@@ -341,21 +357,14 @@ class Join:
                 words = [b" ".join(texts[r["place"]].translate(NORMAL).split()) for r in own]
                 signs = [signature(minima(one)) for one, _ in shingle_sets(words)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([r[c] for r in own], pa.int64()) for c in ("component", "blocks", "copies")], pa.array([part * PART_ROWS + r["place"] for r in own], pa.int64()), pa.array(signs, pa.binary()), pa.array(words, pa.binary())],
-                    names=["component", "blocks", "copies", "uid", "sign", "words"],
+                    [*[pa.array([r[c] for r in own], pa.int64()) for c in ("component", "mine", "copies")], pa.array([r["others"] for r in own], pa.list_(pa.int64())), pa.array([part * PART_ROWS + r["place"] for r in own], pa.int64()), pa.array(signs, pa.binary()), pa.array(words, pa.binary())],
+                    names=["component", "mine", "copies", "others", "uid", "sign", "words"],
                 )
 
-        texts = each_part(self.parts, run, "component long, blocks long, copies long, uid long, sign binary, words binary", saved(asked, "asked"), only=True)
-        whole = F.col("blocks") <= BANDS
-        dealt = _in_blocks(texts.where(whole).withColumn("band", F.lit(0).cast("long")).withColumn("bands", F.lit(None).cast("array<long>")), "blocks", "uid")
-        long = member.where(~whole)
-        if not long.isEmpty():
-            keys = long.join(self.signs, "rep").select("component", F.col("rep").alias("uid"), "n", "bands", F.explode("bands").alias("band"))
-            several = keys.groupBy("component", "band").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
-            keys = keys.drop("n").join(several.select("component", "band", self._blocks().alias("blocks")), ["component", "band"])
-            dealt = dealt.unionByName(_in_blocks(texts.drop("blocks").join(keys, ["component", "uid"]), "blocks", "uid"))
+        texts = each_part(self.parts, run, "component long, mine long, copies long, others array<long>, uid long, sign binary, words binary", saved(asked, "asked"), only=True)
+        dealt = texts.withColumn("other", F.explode("others")).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("others", "other")
         threshold = self.threshold
-        found = saved(dealt.groupBy("component", "band", "i", "j").applyInArrow(lambda t: _verify(t, threshold), "uid long, links long, root long").where("uid IS NOT NULL"), "verified")
+        found = saved(dealt.groupBy("component", "i", "j").applyInArrow(lambda t: _verify(t, threshold), "uid long, links long, root long").where("uid IS NOT NULL"), "verified")
         roots = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b")))
         links = found.groupBy("uid").agg(F.sum("links").alias("links"))
         self.found = saved(links.join(roots.withColumnRenamed("vertex", "uid"), "uid").withColumnRenamed("uid", "rep"), "links")

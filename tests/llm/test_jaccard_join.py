@@ -93,3 +93,50 @@ def test_recall_by_band_of_similarity(spark):
     want = sorted(brute_force(texts), key=str)
     assert {r[2] for r in want[:80]} <= {0, 1} and sum(r[2] for r in want) >= 300
     assert rows(join(spark.createDataFrame(texts, "doc_id long, text string"))) == want
+
+
+def _dealt(spark, monkeypatch, texts, blocks):
+    """How often texts are sent to a block, and the result, if components have so many blocks."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import jaccard_join as jj
+
+    counts, met = [], jj.Join._met
+
+    def counted(self, member):
+        out = met(self, member)
+        counts.append(out.agg(F.sum(F.size("others"))).first()[0])
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(jj.Join, "_met", counted)
+        m.setattr(jj.Join, "_blocks", lambda self: F.lit(blocks))
+        got = rows(join(spark.createDataFrame(texts, "doc_id long, text string")))
+    return counts[0], got
+
+
+def test_no_size_from_which_near_copies_are_sent_out_more(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"c{k}" for k in range(5000)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = []
+    for k in range(200):
+        own = list(base)
+        own[rng.randrange(300)] = rng.choice(words)
+        texts.append((k, " ".join(own)))
+    want = sorted(brute_force(texts), key=str)
+    few, got = _dealt(spark, monkeypatch, texts, 67)
+    assert got == want and few <= 200 * 67
+    more, got = _dealt(spark, monkeypatch, texts, 100)
+    assert got == want and more <= 1.6 * few
+
+
+def test_a_chain_is_sent_to_its_neighbours_alone(spark, monkeypatch):
+    rng = random.Random(10)
+    chain = [f"d{rng.randrange(9000)}" for _ in range(1400)]
+    texts = [(k, " ".join(chain[k * 8 : k * 8 + 200])) for k in range(150)]
+    want = sorted(brute_force(texts), key=str)
+    assert max(r[3] for r in want) > 100
+    for blocks in (20, 90):
+        sent, got = _dealt(spark, monkeypatch, texts, blocks)
+        assert got == want and sent < 150 * 14
