@@ -161,18 +161,18 @@ def _word_vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     data = np.frombuffer(("<" + "><".join(words) + ">").encode() if words else b"", np.uint8)
     ends = np.cumsum([len(w) + 2 for w in words])
     of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    state, keys, signs = np.full(len(data), 0xFFFFFFFF, np.uint32), [], []
+    state, keys = np.full(len(data), 0xFFFFFFFF, np.uint32), []
     for n in range(1, 5):
         state = _CRC[(state[: len(data) - n + 1] ^ data[n - 1 :]) & 255] ^ state[: len(data) - n + 1] >> np.uint32(8)
         if n > 2:
             fits = np.flatnonzero(np.arange(len(state)) + n <= ends[of[: len(state)]])
             h = ~state[fits]
-            keys.append(of[fits] * _DIMENSIONS + (h & np.uint32(_DIMENSIONS - 1)))
-            signs.append(np.where(h >> np.uint32(16) & 1, 1.0, -1.0))
+            keys.append((of[fits] * _DIMENSIONS + (h & np.uint32(_DIMENSIONS - 1))) * 2 + (h >> np.uint32(16) & 1))
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys // _DIMENSIONS, keys % _DIMENSIONS, np.bincount(at, np.concatenate(signs), len(keys))
+    ranked = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.diff(ranked >> 1, prepend=-1))
+    return ranked[first] // 2 // _DIMENSIONS, ranked[first] // 2 % _DIMENSIONS, np.add.reduceat(2.0 * (ranked & 1) - 1.0, first)
 
 
 class _Texts:
@@ -203,11 +203,15 @@ class _Texts:
         self.alphabet = [np.where(self.second >= 0, rank[self.second], -1), rank[self.first]]
 
     def best(self, worth: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text the ``most`` candidates of greatest worth, then in alphabetical order, and how many a text has."""
-        order = np.lexsort((*self.alphabet, -worth, self.of))
+        """Of each text the ``most`` candidates of greatest worth (whole numbers), then in alphabetical order, and how many a text has."""
+        keys = self.of << 33 | (1 << 32) - worth
+        ranked = np.sort(keys)
+        first = np.searchsorted(ranked, np.arange(self.count + 1) << 33)
+        last = np.minimum(first[:-1] + most, first[1:]) - 1  # the least that may stay, with its equals
+        some = np.flatnonzero(keys <= np.where(last >= 0, ranked[last], -1)[self.of]) if len(keys) else np.empty(0, np.int64)
+        order = some[np.lexsort((*[a[some] for a in self.alphabet], keys[some]))]
         of = self.of[order]
-        place = np.arange(len(of)) - np.searchsorted(of, of)
-        kept = order[place < most]
+        kept = order[np.arange(len(of)) - np.searchsorted(of, of) < most]
         return kept, np.bincount(self.of[kept], minlength=self.count)
 
     def name(self, k: int) -> str:
@@ -227,13 +231,12 @@ class _Texts:
             return np.repeat(np.arange(len(words)), own), np.arange(own.sum()) + np.repeat(start[words] - (np.cumsum(own) - own), own)
 
         row, at = entries(self.first[:one])
-        whole = np.bincount(self.of[row] * _DIMENSIONS + place[at], value[at] * self.often[row], self.count * _DIMENSIONS).reshape(-1, _DIMENSIONS)
+        whole = np.bincount(self.of[row] * _DIMENSIONS + place[at], value[at] * self.often[row], self.count * _DIMENSIONS).astype(np.float64).reshape(-1, _DIMENSIONS)  # whole numbers if there is nothing
         whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)
         dots = np.bincount(row, value[at] * whole[self.of[row], place[at]], one)
         a, b, of = self.first[one:], self.second[one:], self.of[one:]
-        both, back = np.unique(a * self.n + b, return_inverse=True)
-        row, at = entries(both // self.n)
-        product = np.bincount(row, value[at] * self.dense[(both % self.n)[row], place[at]], len(both))[back]
+        row, at = entries(a)
+        product = np.bincount(row, value[at] * self.dense[b[row], place[at]], len(a))
         length = np.sqrt(np.concatenate([squares[self.first[:one]], squares[a] + squares[b] + 2 * product]))
         self.length = np.where(length > 0, length, 1.0)
         pair_dots = dots[np.searchsorted(self.single, of * self.n + a)] + dots[np.searchsorted(self.single, of * self.n + b)]
@@ -246,36 +249,51 @@ def _prefixes(n: int, size: int) -> np.ndarray:
     return np.array(sorted(combinations(range(n), size), key=lambda c: c[::-1])).reshape(-1, size)
 
 
+@lru_cache(maxsize=64)
+def _grown(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set of ``size`` in the order of ``_prefixes``: which set it is without its last number, and that number."""
+    last = np.repeat(np.arange(n), [comb(c, size - 1) for c in range(n)])
+    return np.concatenate([np.arange(comb(c, size - 1)) for c in range(n)]), last
+
+
 def _least_alike(alike: np.ndarray, top: int) -> list[tuple[int, ...]]:
     """Of each matrix, the set of ``top`` rows with the least sum of pairs (rounded); of equals the first in order.
 
     Sets grow by their last row: ``own`` has the sums of all sets so far, in the
-    order of ``_prefixes``, and ``more`` their sums with each row, so the sets
-    below a row are the first ones, and no set's pairs are added up one by one.
+    order of ``_prefixes``, in which those below a row come first, and ``more``
+    these sets' sums with it, so no set's pairs are added up one by one.
     """
     n = alike.shape[1]
     if top < 3:
         sets = list(combinations(range(n), top))
         return [min(sets, key=lambda c: (round(float(sum(m[x, y] for x, y in combinations(c, 2))), 9), c)) for m in alike]
     alike = np.ascontiguousarray(alike.transpose(1, 2, 0))  # a set's sums of all matrices lie side by side
-    own, more = np.zeros((n, alike.shape[2])), alike
+    own = np.zeros((n, alike.shape[2]))
+    more = [alike[c, :c] for c in range(n)]  # of each row, its sums with the sets below it
     for size in range(1, top - 2):
         below = [comb(c, size) for c in range(size, n)]
-        own = np.concatenate([own[:p] + more[:p, c] for c, p in enumerate(below, size)])
-        more = np.concatenate([more[:p] + alike[c] for c, p in enumerate(below, size)])
+        own = np.concatenate([own[:p] + more[c][:p] for c, p in enumerate(below, size)])
+        rest, last = _grown(n, size + 1)
+        more = [more[c][rest[: comb(c, size + 1)]] + alike[c, last[: comb(c, size + 1)]] for c in range(n)]
     ends = range(top - 2, n - 1)  # a set's last row but one
 
-    def sums(d, which=slice(None)):
+    def sums(d, e, which=slice(None)):
+        """Of the sets with d and e as last rows, without what these two have in common."""
+        p = comb(d, top - 2)
+        return own[:p, which] + more[d][:p, which] + more[e][:p, which]
+
+    def low(d):
         p = comb(d, top - 2)
-        return (own[:p, which] + more[:p, d, which])[:, None] + more[:p, d + 1 :, which]
+        begun = own[:p] + more[d][:p]
+        return np.min([(begun + more[e][:p]).min(axis=0) + alike[d, e] for e in range(d + 1, n)], axis=0)
 
-    lows = np.stack([(sums(d).min(axis=0) + alike[d, d + 1 :]).min(axis=0) for d in ends], axis=1).round(9)
+    lows = np.stack([low(d) for d in ends], axis=1).round(9)
     sets, out = _prefixes(n, top - 2), []
     for k, low in enumerate(lows):
         found = []
         for d in np.flatnonzero(low == low.min()) + top - 2:
-            p, e = np.nonzero((sums(d, k) + alike[d, d + 1 :, k]).round(9) == low.min())
-            found += [(*sets[x].tolist(), int(d), int(d + 1 + y)) for x, y in zip(p, e, strict=True)]
+            for e in range(d + 1, n):
+                found += [(*sets[p].tolist(), int(d), e) for p in np.flatnonzero((sums(d, e, k) + alike[d, e, k]).round(9) == low.min())]
         out.append(min(found))
     return out
 
@@ -286,7 +304,7 @@ def max_sums(texts: list[str], top: int = TOP, most: int = CANDIDATES) -> list[l
     for a in range(0, len(texts), _TEXTS):
         own = _Texts(texts[a : a + _TEXTS])
         own.vectors()
-        kept, sizes = own.best(np.round(own.near, 9), most)
+        kept, sizes = own.best(np.rint(own.near * 1e9).astype(np.int64), most)
         ends = np.cumsum(sizes)
         chosen = [kept[e - m : e] for e, m in zip(ends, sizes, strict=True)]
         for m in np.unique(sizes[sizes > top]):
