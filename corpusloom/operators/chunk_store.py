@@ -58,16 +58,17 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return _latest(history(spark, root)).where(F.col("status") != DELETED)
 
 
-def chunks(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
-    """The chunks of all files as they are now, with ``version``; ``only``: a table whose ``path`` names the files asked for."""
-    known = manifest(spark, root).select("path", F.col("chunks_version").alias("version"))
+def chunks(spark: SparkSession, root: str, only: DataFrame | None = None, about: tuple[str, ...] = ()) -> DataFrame:
+    """The chunks of all files as they are now, with ``version`` and the columns ``about`` of the manifest; ``only``: a table whose ``path`` names the files asked for."""
+    known = manifest(spark, root).select("path", "chunks_version", *about)
     if only is not None:
         known = known.join(only.select("path").distinct(), "path", "left_semi")
     have = committed(spark, f"{root}/manifest")
     if not have:
         raise FileNotFoundError(f"no run was committed below {root}")
     rows = spark.read.option("basePath", f"{root}/chunks").option("mergeSchema", "true").parquet(*[f"{root}/chunks/version={v}" for v in have])
-    return rows.withColumn("version", F.col("version").cast("long")).join(known, ["path", "version"])
+    rows = rows.withColumn("version", F.col("version").cast("long"))
+    return rows.join(known, "path").where(F.col("version") == F.col("chunks_version")).drop("chunks_version")
 
 
 def _decided(files: DataFrame, known: DataFrame, config: str, force: bool) -> DataFrame:
@@ -109,13 +110,17 @@ def chunk_incremental(files: DataFrame, root: str, settings: Settings | None = N
     else:
         none = {"known": "boolean", "fits": "boolean", "old_hash": "string", "old_chunks": "long", "old_version": "long"}
         rows = files.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
-    own = Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size"), F.desc("content_hash"))
     rows = rows.withColumn("content_hash", _hash(F.col("content")))
     touched = F.coalesce(F.col("fits") & (F.col("content_hash") == F.col("old_hash")), F.lit(False))
     rows = rows.withColumn("status", F.when(~F.coalesce("known", F.lit(False)), NEW).when(touched, TOUCHED).otherwise(CHANGED))
     rows = rows.withColumn("content", F.when(F.col("status") != TOUCHED, F.coalesce("content", F.lit(""))))
-    rows = stored(rows, "files").withColumn("_k", F.row_number().over(own)).where("_k = 1").drop("_k") if _repeated(files) else stored(rows, "files")
-    for r in rows.groupBy("status").count().collect():  # a row for each status
+    if _repeated(files):
+        latest = Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size"), F.desc("content_hash"))
+        rows = rows.withColumn("_k", F.row_number().over(latest)).where("_k = 1").drop("_k")
+    if have:
+        rows = stored(rows, "files")  # the contents of those files alone, which are needed twice
+    facts = stored(rows.drop("content"), "facts")
+    for r in facts.groupBy("status").count().collect():  # a row for each status
         counts[r["status"]] = r["count"]
     if drop_deleted:
         gone = stored(known.join(files.select("path"), "path", "left_anti"), "gone")
@@ -127,7 +132,7 @@ def chunk_incremental(files: DataFrame, root: str, settings: Settings | None = N
     made = chunk_documents(todo, "path", "content", settings.strategy, settings.size, settings.overlap, settings.keywords)
     made.write.mode("overwrite").parquet(target)
     per_file = spark.read.parquet(target).groupBy("path").agg(F.count("*").alias("made"))
-    out = rows.drop("content").join(per_file, "path", "left")
+    out = facts.join(per_file, "path", "left")
     fresh = F.col("status") != TOUCHED
     out = out.select(
         "path", "mtime", "size", "content_hash", F.lit(config).alias("config"), F.when(fresh, F.coalesce("made", F.lit(0))).otherwise(F.col("old_chunks")).cast("long").alias("num_chunks"),

@@ -41,8 +41,8 @@ def chunk_incremental(spark, sf):
     cs.chunk_incremental(files(docs.where(k % 10 != 0), 1000.0 + k), root, settings)
     later = docs.where(k % 10 != 1).withColumn("text", F.when(edited, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
     cs.chunk_incremental(files(later, 1000.0 + k + F.when(edited | (k % 3 == 0), 1).otherwise(0)), root, settings, drop_deleted=True)
-    known = cs.manifest(spark, root).select("path", "mtime", "size", "content_hash", "num_chunks", "status")
-    return cs.chunks(spark, root).select("path", "chunk_index", "page_content", "version").join(known, "path")
+    about = ("mtime", "size", "content_hash", "num_chunks", "status")
+    return cs.chunks(spark, root, about=about).select("path", "chunk_index", "page_content", "version", *about)
 
 
 # ---------------------------------------------------------------- deletes by a part of the path
