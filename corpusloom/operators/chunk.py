@@ -8,6 +8,7 @@ and the merging of list items are built-in expressions.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from enum import Enum
 
 import pandas as pd
@@ -183,12 +184,21 @@ def cut(text: str, strategy: Strategy, size: int = SIZE, overlap: int = OVERLAP)
 _HEADS = [f"h{k}" for k in range(1, LEVELS + 1)]
 
 
-def cut_udf(strategy: Strategy, size: int = SIZE, overlap: int = OVERLAP):
-    """UDF: text to an array of chunks with the headers above them."""
+Cutter = Callable[[str], list[tuple[list[str | None], str]]]
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (*_HEADS, "content")])))
+
+def cut_udf(cutter: Cutter):
+    """UDF: text to an array of chunks with the headers above them; of a text that ``cutter`` fails on, one entry with its ``error``."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (*_HEADS, "content", "error")])))
     def run(c: pd.Series) -> pd.Series:
-        return c.map(lambda t: [] if t is None else [dict(zip(_HEADS, h, strict=True), content=x) for h, x in cut(t, strategy, size, overlap)])
+        def one(t):
+            try:
+                return [dict(zip(_HEADS, h, strict=True), content=x, error=None) for h, x in cutter(t)]
+            except Exception as e:  # whatever is wrong with one text must not end the job
+                return [dict.fromkeys(_HEADS) | {"content": None, "error": f"{type(e).__name__}: {e}"}]
+
+        return c.map(lambda t: [] if t is None else one(t))
 
     return run
 
@@ -198,7 +208,7 @@ def chunk_id(path: Column, index: Column, content: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", path, index.cast("string"), content).cast("binary"), 256)
 
 
-def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", strategy: Strategy | str = Strategy.HEADERS, size: int = SIZE, overlap: int = OVERLAP, keywords: bool = True) -> DataFrame:
+def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", strategy: Strategy | str = Strategy.HEADERS, size: int = SIZE, overlap: int = OVERLAP, keywords: bool = True, errors: bool = False, cutter: Cutter | None = None) -> DataFrame:
     """path, chunk_index, page_content, headers h1 to h4, section_path, frontmatter (as text), metadata, keywords and chunk_id of each chunk.
 
     ``metadata`` (array of key and value) has the headers as header_1 to
@@ -208,21 +218,28 @@ def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", str
 
     A text's chunks are cut and numbered where the text lies, so there is no
     shuffle; rows with equal paths are numbered apart.
+
+    A text that can't be cut ends the job, or, with ``errors``, is one row whose
+    column ``error`` tells why and whose index and content are null. ``cutter``
+    takes the place of the cuts by headers and size.
     """
     strategy = Strategy(strategy)
     parts = docs.select(F.col(path).alias("path"), extract(F.coalesce(F.col(text), F.lit(""))).alias("x")).select("path", "x.block", "x.body")
     parts = parts.withColumn("entries", fields(F.col("block"))).withColumn("front", last_wins(F.col("entries"))).drop("entries")  # once for each document
-    if strategy is Strategy.SENTENCES:
+    if strategy is Strategy.SENTENCES and cutter is None:
         none = [F.lit(None).cast("string").alias(h) for h in _HEADS]
-        numbered = parts.select("path", "block", "front", F.posexplode(sentence_chunks(F.col("body"), size)).alias("chunk_index", "page_content")).select("*", *none)
+        numbered = parts.select("path", "block", "front", F.posexplode(sentence_chunks(F.col("body"), size)).alias("chunk_index", "page_content")).select("*", F.lit(None).cast("string").alias("error"), *none)
     else:
-        found = parts.select("path", "block", "front", F.posexplode(cut_udf(strategy, size, overlap)("body")).alias("chunk_index", "s"))
-        numbered = found.select("path", "block", "front", "chunk_index", F.col("s.content").alias("page_content"), *[F.col(f"s.{h}").alias(h) for h in _HEADS])
+        found = parts.select("path", "block", "front", F.posexplode(cut_udf(cutter or (lambda t: cut(t, strategy, size, overlap)))("body")).alias("chunk_index", "s"))
+        known = F.col("chunk_index") if errors else F.when(F.col("s.error").isNotNull(), F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("s.error")))).otherwise(F.col("chunk_index"))
+        known = F.when(F.col("s.error").isNull(), known) if errors else known
+        numbered = found.select("path", "block", "front", known.alias("chunk_index"), F.col("s.content").alias("page_content"), F.col("s.error").alias("error"), *[F.col(f"s.{h}").alias(h) for h in _HEADS])
     named = F.array(*[F.struct(F.lit(f"header_{k}").alias("key"), F.col(h).alias("value")) for k, h in enumerate(_HEADS, 1)])
     own = F.filter(named, lambda p: p["value"].isNotNull() & ~F.exists("front", lambda q: q["key"] == p["key"]))
     front = F.filter("front", lambda p: p["key"] != "keywords") if keywords else F.col("front")
     path_of = section_path(*[F.coalesce(get(F.col("front"), f"header_{k}"), F.col(h)) for k, h in enumerate(_HEADS, 1)])
-    out = numbered.select("path", "chunk_index", "page_content", *_HEADS, path_of.alias("section_path"), F.col("block").alias("frontmatter"), F.concat(own, front).alias("metadata"))
+    out = numbered.select("path", "chunk_index", "page_content", *_HEADS, path_of.alias("section_path"), F.col("block").alias("frontmatter"), F.concat(own, front).alias("metadata"), *(["error"] if errors else []))
     if keywords:
         out = out.withColumn("keywords", extract_keywords(F.col("page_content")))
-    return out.withColumn("chunk_id", chunk_id(F.col("path"), F.col("chunk_index"), F.col("page_content")))
+    name = chunk_id(F.col("path"), F.col("chunk_index"), F.col("page_content"))
+    return out.withColumn("chunk_id", F.when(F.col("error").isNull(), name)) if errors else out.withColumn("chunk_id", name)

@@ -356,8 +356,18 @@ def _each(c: pd.Series, pick_all) -> pd.Series:
     """``pick_all`` of the texts that are long enough, nothing of the others."""
     out: list[list] = [[] for _ in range(len(c))]
     some = [k for k, t in enumerate(c) if t is not None and len(t.strip()) >= LEAST_CHARS]
-    for k, found in zip(some, pick_all([c.iloc[k] for k in some]), strict=True):
-        out[k] = found
+    texts = [c.iloc[k] for k in some]
+    try:
+        found = pick_all(texts)
+    except Exception:  # a text that can't be ranked has no keywords; the others have theirs
+        found = []
+        for text in texts:
+            try:
+                found += pick_all([text])
+            except Exception:
+                found.append([])
+    for k, own in zip(some, found, strict=True):
+        out[k] = own
     return pd.Series(out, dtype=object)
 
 

@@ -14,6 +14,7 @@ from corpusloom.operators.conversation import answer, contexts, history, trimmed
 from corpusloom.plans.registry import literal, query, table
 from corpusloom.plans.text_queries import markdown
 from corpusloom.session import scratch
+from corpusloom.streaming.ingest import conversation_memory, replayed
 
 # ---------------------------------------------------------------- chunks
 
@@ -347,3 +348,21 @@ def conversation_history(spark, sf):
 )
 def conversation_trimmed(spark, sf):
     return trimmed(table(spark, sf, "conversations").select("conv_id", "turn"))
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query("conversation_state", "SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id")
+def conversation_state(spark, sf):
+    """The turns replayed as a stream, each conversation's number of turns kept as its state."""
+    folder, path = scratch(spark, "conversation-state"), f"{sf}/conversations.parque[t]"  # a pattern, as a stream takes folders or patterns
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)  # the stream takes the setting with it when it starts
+    try:
+        turns = spark.readStream.schema(table(spark, sf, "conversations").schema).parquet(path)
+        replayed(conversation_memory(turns, most=5, turn="turn"), f"{folder}/out", f"{folder}/checkpoint")
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+    return spark.read.schema("conv_id long, n_turns long").parquet(f"{folder}/out").groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"))

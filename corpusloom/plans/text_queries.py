@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import frontmatter as fm
 from corpusloom.functions import repair
 from corpusloom.functions import text as tx
+from corpusloom.functions.yaml_front import typed, with_typed_frontmatter
 from corpusloom.operators.clean import clean_documents, clean_stats, update_frontmatter
 from corpusloom.plans.registry import literal, query, table
 
@@ -255,3 +256,27 @@ def frontmatter_stats(spark, sf):
     files = docs.select("doc_id", markdown(docs).alias("content"), F.concat("lang", F.lit("_"), "source").alias("folder"))
     out = update_frontmatter(files, source="folder")
     return out.agg(F.count("*").alias("total_files"), F.count_if(F.col("modified")).cast("long").alias("modified"), F.count_if(F.col("updated").isNull()).cast("long").alias("skipped"), F.count_if(F.array_contains("updated_fields", "source")).cast("long").alias("updated_sources"))
+
+
+# ---------------------------------------------------------------- frontmatter of kinds
+def _yaml_documents(docs: DataFrame) -> Column:
+    """Documents with numbers, a date, a list and nested maps before them; every tenth block is broken."""
+    c, s, k = F.concat, F.lit, F.col("doc_id").cast("string")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("string")
+    title = F.when(F.col("doc_id") % 10 == 3, s("title: [open")).otherwise(c(s('title: "Doc: '), k, s('"')))
+    return c(s("---\n"), title, s("\ndate: "), day, s("\ntags: ["), F.col("lang"), s(", "), F.col("source"), s("]\nplace:\n  id: "), k, s("\n  in: {share: 0.5, deep: [1, 2]}\n---\n"), F.col("text"))
+
+
+@query(
+    "typed_frontmatter",
+    """SELECT doc_id, CASE WHEN NOT b THEN 'Doc: ' || doc_id END AS title, CASE WHEN NOT b THEN (DATE '2024-01-01' + (doc_id % 365)::INT)::DATE END AS day, CASE WHEN NOT b THEN [lang, source] END AS tags,
+  CASE WHEN NOT b THEN doc_id END::BIGINT AS place, CASE WHEN NOT b THEN 0.5::DOUBLE END AS share, CASE WHEN NOT b THEN 2::BIGINT END AS second, b AS broken, text AS body FROM (SELECT *, doc_id % 10 = 3 AS b FROM documents)""",
+)
+def typed_frontmatter(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = with_typed_frontmatter(docs.select("doc_id", _yaml_documents(docs).alias("md")), "md")
+    v = F.col("front.value")
+    return rows.select(
+        "doc_id", typed(v, "$.title", "string").alias("title"), typed(v, "$.date", "date").alias("day"), typed(v, "$.tags", "array<string>").alias("tags"), typed(v, "$.place.id", "bigint").alias("place"),
+        typed(v, "$.place.in.share", "double").alias("share"), typed(v, "$.place.in.deep[1]", "bigint").alias("second"), F.col("front.error").isNotNull().alias("broken"), F.col("front.body").alias("body"),
+    )

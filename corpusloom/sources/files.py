@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from threading import Lock
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +118,46 @@ def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted((int(n.getParent().getName().split("=")[1]), n.getName().split("=", 1)[1]) for n in names)
 
 
+_CLAIMS = Lock()
+
+
+def _created(fs, path) -> bool:
+    """Whether the file was made; not if it was there, or came meanwhile."""
+    try:
+        return fs.createNewFile(path)
+    except Py4JJavaError:
+        if fs.exists(path):
+            return False
+        raise
+
+
+def claimed(spark: SparkSession, path: str, name: str) -> int:
+    """The number that ``name`` has below ``path``; if it has none, the next one, which no other name can have.
+
+    A number is a file that is created only if it is not there, which shared file
+    systems do at one stroke; so of several drivers that want one at the same
+    time one gets it, and the others go on to the next. Within a driver a lock
+    does the same, as local files need it.
+    """
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path_of(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    with _CLAIMS:
+        fs.mkdirs(folder)
+        own, number = f"{name}.", 0
+        for status in fs.listStatus(folder):
+            file = status.getPath().getName()
+            if file.isdigit():
+                number = max(number, int(file) + 1)
+            elif file.startswith(own):
+                return int(file[len(own) :])
+        # The name is found by its own file, written after the number is taken; a number without one is never used.
+        while not _created(fs, path_of(folder, str(number))):
+            number += 1
+        _created(fs, path_of(folder, f"{own}{number}"))
+        return number
+
+
 def committed(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the folders ``version=N`` below ``path`` that were written to their end, in order."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
