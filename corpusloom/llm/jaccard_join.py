@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._components import components
 from corpusloom.llm._parts import PART_BYTES, PART_ROWS, each_part, read_part, write_parts
-from corpusloom.llm._shared import binary, saved
+from corpusloom.llm._shared import binary, saved, steps
 from corpusloom.llm._words import MARKS, NORMAL, exact_codes, exact_runs, mix, spans, window_hashes, word_lanes
 
 SHINGLE, THRESHOLD = 5, "0.8"
@@ -280,9 +280,9 @@ class Join:
         def run(part, path, _):
             table = read_part(path)
             ids, texts = table.column(key).cast(pa.int64()), [t or b"" for t in binary(table.column(text))]
-            for a in range(0, len(texts), 256):
+            for a, b in steps(texts):  # of bounded bytes, however long the texts
                 rows = []
-                for k, (own, second) in enumerate(shingle_sets(texts[a : a + 256]), a):
+                for k, (own, second) in enumerate(shingle_sets(texts[a:b]), a):
                     sums = [int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (own, second)]
                     rows.append((part * PART_ROWS + k, ids[k].as_py(), *sums, len(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["uid", "id", "h1", "h2", "n"])
@@ -294,10 +294,10 @@ class Join:
 
         def sign(part, path, got):
             texts, rows = binary(read_part(path).column(text)), sorted(got["rows"])
-            for a in range(0, len(rows), 256):
-                least = [minima(own) for own, _ in shingle_sets([texts[r] for r in rows[a : a + 256]])]
+            for a, b in steps([texts[r] or b"" for r in rows]):
+                least = [minima(own) for own, _ in shingle_sets([texts[r] for r in rows[a:b]])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part * PART_ROWS + r for r in rows[a : a + 256]], pa.int64()), pa.array(map(signature, least), pa.binary()), pa.array([band_keys(x) for x in least], pa.list_(pa.int64()))], names=["rep", "sign", "bands"]
+                    [pa.array([part * PART_ROWS + r for r in rows[a:b]], pa.int64()), pa.array(map(signature, least), pa.binary()), pa.array([band_keys(x) for x in least], pa.list_(pa.int64()))], names=["rep", "sign", "bands"]
                 )
 
         self.signs = saved(each_part(self.parts, sign, "rep long, sign binary, bands array<long>", saved(asked, "asked"), only=True), "signs")
@@ -352,8 +352,8 @@ class Join:
         def run(part, path, got):
             texts = binary(read_part(path).column(text))
             rows = got["rows"]
-            for a in range(0, len(rows), 256):
-                own = rows[a : a + 256]
+            for a, b in steps([texts[r["place"]] for r in rows]):
+                own = rows[a:b]
                 words = [b" ".join(texts[r["place"]].translate(NORMAL).split()) for r in own]
                 signs = [signature(minima(one)) for one, _ in shingle_sets(words)]
                 yield pa.RecordBatch.from_arrays(

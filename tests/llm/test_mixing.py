@@ -51,7 +51,7 @@ def test_regression_is_the_minimum():
 
 def test_posteriors_by_hand(spark):
     rng = np.random.default_rng(3)
-    model = mx.Classifier({}, rng.normal(size=3).tolist(), {n: rng.normal(size=(len(e) + 1, 3)).tolist() for n, e in mx.EDGES.items()})
+    model = mx.Classifier(mx.Ngrams(), rng.normal(size=3).tolist(), {n: rng.normal(size=(len(e) + 1, 3)).tolist() for n, e in mx.EDGES.items()})
     bins = [tuple(int(rng.integers(0, len(e) + 1)) for e in mx.EDGES.values()) for _ in range(50)]
     df = spark.createDataFrame(bins, ", ".join(f"b_{n} int" for n in mx.EDGES))
     got = [tuple(r) for r in df.select(*[f"b_{n}" for n in mx.EDGES], *[c.alias(f"p{k}") for k, c in enumerate(model.posteriors())]).collect()]
@@ -96,6 +96,52 @@ def test_fit_meets_what_can_be_met(spark):
     assert (of(kept)[p[:, 0] >= p[:, 1:].max(axis=1)] == 1).all() and of(kept).max() <= 1
 
 
+def test_a_mixture_keeps_clean_documents_and_thins_toxic_ones(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    kept = mx.mix(docs, labels, on_miss="column")
+    assert kept.columns == [*docs.columns, "largest_miss"]
+    miss = {r.largest_miss for r in kept.select("largest_miss").distinct().collect()}
+    known = docs.join(labels, "doc_id").withColumn("n", F.size(F.split("text", " "))).join(kept.select("doc_id", F.lit(1).alias("kept")), "doc_id", "left")
+    got = known.groupBy("quality", "toxic").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kept") == 1, F.col("n")).otherwise(0)).alias("kept"), F.count("*").alias("docs"), F.count("kept").alias("left")).collect()
+    clean = next(r for r in got if (r.quality, r.toxic) == (1, 0))
+    assert len(miss) == 1 and clean.left > 0.99 * clean.docs
+    # Some toxic documents have no mark and are kept as clean ones; these are what the target is missed by.
+    assert sum(r.kept for r in got if r.toxic) < 0.04 * sum(r.kept for r in got) < 0.5 * sum(r.n for r in got if r.toxic)
+
+
+def test_a_missed_target_can_be_an_error(spark):
+    texts = [(k, f"plain words number {k} in a row") for k in range(30)] + [(100 + k, f"bad rotten words {k}") for k in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(100 + k, 1, 1) for k in range(30)], "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError, match="miss their target"):
+        mx.mix(df, labels, {"clean": 0.9999999, "toxic": 0.0000001}, on_miss="error")
+    with pytest.warns(UserWarning, match="miss their target"):
+        mx.mix(df, labels, {"clean": 0.9999999, "toxic": 0.0000001})
+    with pytest.raises(ValueError, match="on_miss"):
+        mx.mix(df, labels, on_miss="never")
+
+
+def test_scores_by_hand(spark):
+    """The native score is the sum over the n-grams that a text has, whatever else falls into their slots."""
+    text = "Alpha alphabet beta alpha, beta gamma"
+    words = text.lower().replace(",", "").split()
+    frame = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    grams = frame.withColumn("_words", mx._words("text")).withColumn("_distinct", F.array_distinct("_words"))
+    have = [set(r[0]) for r in grams.select(mx.ngrams()).collect()]
+    names = [("word", w) for w in set(words)] + [("head", w[:5]) for w in set(words) if len(w) > 5] + [("pair", *p) for p in zip(words, words[1:], strict=False)]
+    want = {spark.range(1).select(F.xxhash64(*map(F.lit, n))).first()[0] for n in names}
+    assert have == [want, set(), set()]
+    keys = sorted(want)[:5] + [12345]
+    other = [k + mx.SLOTS for k in keys]  # in the same slots, but not the same n-grams
+    model = mx.Ngrams([0.5, -1.0], keys, [[1.0, 2.0, 4.0, 8.0, 16.0, 32.0], [0.0] * 6])
+    rows = grams.withColumn("_found", model.found()).select(model.score(0).alias("a"), model.score(1).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(31.5, -1.0), (0.5, -1.0), (0.5, -1.0)]
+    rows = grams.withColumn("_found", mx.Ngrams([0.0, 0.0], other, [[1.0] * 6] * 2).found()).collect()
+    assert all(r["_found"] == [] for r in rows)
+
+
 def test_odd_rows(spark):
     texts = [(k, f"plain words number {k} in a row") for k in range(30)] + [(100 + k, f"*** ### word{k}$$$ %%% &&&") for k in range(30)] + [(200, None), (201, ""), (None, "lost"), (5, "plain words number 5 in a row"), (202, "w " * 50000)]
     df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in texts], "doc_id long, text string, n_tokens string, p_0 double")

@@ -52,11 +52,11 @@ def test_without_the_subpackage(tmp_path):
         subprocess.run(["cp", "-r", os.path.join(ROOT, name), tmp_path], check=True)
     subprocess.run(["rm", "-r", tmp_path / "corpusloom" / "llm"], check=True)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q.startswith('op')], 'pipeline' in e.queries(), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
-    assert said.stdout.split("\n")[-2].startswith("6") and "[] False" in said.stdout
+    assert said.stdout.split("\n")[-2].startswith("7") and "[] False" in said.stdout
 
 
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = list(entry.queries())
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{k}" for k in range(1, 14)] and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
