@@ -275,25 +275,22 @@ def _least_alike(alike: np.ndarray, top: int) -> list[tuple[int, ...]]:
         own = np.concatenate([own[:p] + more[c][:p] for c, p in enumerate(below, size)])
         rest, last = _grown(n, size + 1)
         more = [more[c][rest[: comb(c, size + 1)]] + alike[c, last[: comb(c, size + 1)]] for c in range(n)]
-    ends = range(top - 2, n - 1)  # a set's last row but one
-
-    def sums(d, e, which=slice(None)):
-        """Of the sets with d and e as last rows, without what these two have in common."""
-        p = comb(d, top - 2)
-        return own[:p, which] + more[d][:p, which] + more[e][:p, which]
-
-    def low(d):
+    pairs, lows = [], []  # a set's two last rows, and the least sum of the sets that have them
+    for d in range(top - 2, n - 1):
         p = comb(d, top - 2)
         begun = own[:p] + more[d][:p]
-        return np.min([(begun + more[e][:p]).min(axis=0) + alike[d, e] for e in range(d + 1, n)], axis=0)
-
-    lows = np.stack([low(d) for d in ends], axis=1).round(9)
+        for e in range(d + 1, n):
+            pairs.append((d, e))
+            lows.append((begun + more[e][:p]).min(axis=0) + alike[d, e])
+    lows = np.stack(lows).round(9)
     sets, out = _prefixes(n, top - 2), []
-    for k, low in enumerate(lows):
+    for k, least in enumerate(lows.min(axis=0)):
         found = []
-        for d in np.flatnonzero(low == low.min()) + top - 2:
-            for e in range(d + 1, n):
-                found += [(*sets[p].tolist(), int(d), e) for p in np.flatnonzero((sums(d, e, k) + alike[d, e, k]).round(9) == low.min())]
+        for q in np.flatnonzero(lows[:, k] == least):
+            d, e = pairs[q]
+            p = comb(d, top - 2)
+            sums = own[:p, k] + more[d][:p, k] + more[e][:p, k] + alike[d, e, k]
+            found += [(*sets[x].tolist(), d, e) for x in np.flatnonzero(sums.round(9) == least)]
         out.append(min(found))
     return out
 
