@@ -40,8 +40,6 @@ _SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: (
 _RATIO = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, DEFLATE_OLD: 1032}
 #: What a broken file may raise.
 _BROKEN = (ValueError, struct.error, zlib.error, LookupError, ArithmeticError, MemoryError, TypeError)
-#: Directories of one file; a longer chain is a loop.
-_MAX_PAGES = 1 << 20
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -274,7 +272,7 @@ def decode(data: bytes, errors: bool = False) -> Iterator[Page | tuple[int, str]
     (at,) = struct.unpack_from(f"{order}I", data, 4)
     seen: set[int] = set()
     while at:
-        if at in seen or len(seen) >= _MAX_PAGES:
+        if at in seen:  # a file has as many directories as it has places for them
             raise ValueError("the directories form a loop")
         seen.add(at)
         tags, following = _directory(data, at, order)

@@ -37,7 +37,7 @@ REVISIT_BYTES = 0
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 4096, 16 << 10
 #: Uncompressed payload bytes after which a task starts its next archive.
 ARCHIVE_BYTES = 256 << 20
-#: A record longer than this is refused.
+#: A record longer than this is refused, on writing and on reading.
 MAX_RECORD = 1 << 31
 _VERSION = b"WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,7 +74,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     ]
     if revisit:
         fields += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", f"<{_urn(refers_to)}>")]
-    return _VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
+    whole = _VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
+    if len(whole) > MAX_RECORD:  # it could not be read back
+        raise WarcError(f"the record of page {page_id} is too long: {len(whole)} bytes")
+    return whole
 
 
 def _trained(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:

@@ -100,3 +100,17 @@ def test_the_query_uses_every_form(spark):
 
     found = {(p.compression, file[:2], p.predictor) for k in range(200) for file in [store(payload(f"text {k}".encode()))] for p in decode(file)}
     assert found == {(LZW, b"II", 1), (PACKBITS, b"II", 1), (DEFLATE, b"MM", 1), (DEFLATE, b"II", 2)}
+
+
+def test_long_chains_are_no_loops():
+    import struct
+
+    from corpusloom.llm.tiff_media import _directory
+
+    data = encode([np.full((1, 1), k % 256, np.uint8) for k in range(3000)])
+    assert [int(p.pixels.ravel()[0]) for p in decode(data)] == [k % 256 for k in range(3000)]
+    (first,) = struct.unpack_from("<I", data, 4)
+    _, second = _directory(data, first, "<")
+    looped = data.replace(struct.pack("<I", _directory(data, second, "<")[1]), struct.pack("<I", first), 1)
+    with pytest.raises(ValueError, match="loop"):
+        list(decode(looped))

@@ -65,3 +65,12 @@ def test_records_are_checked():
     for bad in (good[:-1], good.replace(b"WARC/1.1", b"WORC/1.1"), good.replace(b"payload", b"payloax"), good.replace(b"WARC-Date", b"WARC-Dat3"), good.replace(b"WARC-Type: response", b"WARC-Type: other")):
         with pytest.raises(WarcError):
             parse(bad)
+
+
+def test_a_record_that_could_not_be_read_is_not_written(monkeypatch):
+    from corpusloom.llm import warc
+
+    monkeypatch.setattr(warc, "MAX_RECORD", 1000)
+    assert parse(record(1, "http://a/", b"x" * 300))
+    with pytest.raises(WarcError, match="too long"):
+        record(1, "http://a/", b"x" * 1000)
