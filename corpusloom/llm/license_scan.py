@@ -140,9 +140,40 @@ OTHERS = [
     "Licensed under the Academic Free License version 3.0.",
     "This library is licensed under the PostgreSQL license.",
 ]
+#: Short names of each family, and of other licences, other versions of a family's among them (fixed texts).
+SHORT = {
+    "Apache-2.0": ["Apache-2.0", "Apache 2.0", "Apache License 2.0"],
+    "MIT": ["MIT", "MIT License"],
+    "GPL": ["GPL", "GPL-2.0-only", "GPL-3.0-or-later", "GPL v2", "GPL v3", "GPLv2", "GPLv3"],
+    "LGPL": ["LGPL", "LGPL-2.1", "LGPL-3.0-only", "LGPL v3"],
+    "AGPL": ["AGPL", "AGPL-3.0", "AGPL v3"],
+    "BSD": ["BSD", "BSD-2-Clause", "BSD-3-Clause"],
+    "MPL-2.0": ["MPL-2.0", "MPL 2.0"],
+    "CC-BY": ["CC-BY-4.0", "CC BY 4.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0", "CC BY-SA 4.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0", "CC BY-NC 4.0"],
+    "CC0": ["CC0-1.0", "CC0 1.0", "CC0"],
+}
+OTHER_SHORT = [
+    "MPL-1.1", "MPL 1.0", "Apache-1.1", "Apache 1.0", "Mozilla Public License Version 1.1", "Apache License, Version 1.1", "CC-BY-ND-4.0", "CC BY-ND 4.0", "CC-BY-NC-ND-4.0", "CC BY-NC-SA 4.0", "GFDL-1.3", "ISC", "EPL-2.0", "EUPL-1.2",
+    "AFL-3.0", "OFL-1.1", "CDDL-1.0", "BSL-1.0", "BUSL-1.1", "Zlib", "MS-PL", "Artistic-2.0", "PostgreSQL", "Unlicense", "WTFPL", "QPL-1.0", "Creative Commons Attribution-NoDerivatives 4.0 International", "GNU Free Documentation License, version 1.3",
+]
+#: What short names stand in (fixed texts).
+FORMS = ["SPDX-License-Identifier: {}", "License: {}", "{} licensed", "Licensed under {}.", "Distributed under the {} license."]
+#: Variants made of a short notice.
+SHORT_VARIANTS = 4
 UNKNOWN = "unknown"
 
 
+def notices() -> dict[str, list[str]]:
+    """Each family's templates, short notices among them."""
+    return {family: [*texts, *[form.format(name) for name in SHORT.get(family, ()) for form in FORMS if form.format(name) not in texts]] for family, texts in TEMPLATES.items()}
+
+
+def others() -> list[str]:
+    return [*OTHERS, *[form.format(name) for name in OTHER_SHORT for form in FORMS if form.format(name) not in OTHERS]]
+
+
 def words(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
 
@@ -165,9 +196,10 @@ def _variants(rng: random.Random, n: int) -> list[tuple[str, list[str]]]:
     """Notices and background sentences with words dropped, and others around them."""
     out = []
     outside = [w for s in BACKGROUND for w in words(s)]
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN, BACKGROUND * 2), (UNKNOWN, OTHERS * 2)]:
+    full = {t for texts in TEMPLATES.values() for t in texts} | {*BACKGROUND, *OTHERS}
+    for family, texts in [*notices().items(), (UNKNOWN, BACKGROUND * 2), (UNKNOWN, [*OTHERS, *others()])]:
         for text in texts:
-            for k in range(n):
+            for k in range(n if text in full else SHORT_VARIANTS):
                 own = words(text)
                 if k:
                     own = [w for w in own if rng.random() > (0.3 if texts[0] == BACKGROUND[0] else 0.08)]
@@ -186,11 +218,12 @@ def train(seed: int = 11) -> Model:
     families = (*TEMPLATES, UNKNOWN)
     common = {w for s in BACKGROUND for w in words(s)}
     always = {"license", "licensed", "gnu", "mit", "apache", "commons", "creative", "library", "permission", "free", "distributed", "published", "binary", "domain"}
-    cues = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words(t) if (w not in common or w in always) and not w.isdigit())
+    cues = frozenset(w for texts in notices().values() for t in texts for w in words(t) if (w not in common or w in always) and not w.isdigit())
     parts = [_variants(rng, VARIANTS) for _ in range(2)]
     # What other licences are called are features as well: they speak against a family.
-    cues |= {w for t in OTHERS for w in words(t) if w not in common and not w.isdigit()}
-    seen = sorted({g for texts in [*TEMPLATES.values(), OTHERS] for t in texts for g in grams(words(t), cues)})
+    cues |= {w for t in others() for w in words(t) if w not in common and not w.isdigit()}
+    cues = frozenset(w for w in cues if len(w) > 2 or w in ("cc", "v2", "v3"))  # "as", "be", "or" and their like are cues of nothing
+    seen = sorted({g for texts in [*notices().values(), others()] for t in texts for g in grams(words(t), cues)})
     place = {g: k for k, g in enumerate(seen)}
 
     def matrix(rows):
@@ -214,7 +247,7 @@ def train(seed: int = 11) -> Model:
     x, y = matrix(parts[1])
     z = x @ w + b
     heat = min(np.linspace(0.5, 4, 36), key=lambda t: -np.log((softmax(z / t) * y).sum(axis=1) + 1e-12).mean())
-    templates = tuple((f, tuple(sorted(place[g] for g in grams(words(t), cues)))) for f, name in enumerate(families[:-1]) for t in TEMPLATES[name])
+    templates = tuple((f, tuple(sorted(place[g] for g in grams(words(t), cues)))) for f, name in enumerate(families[:-1]) for t in notices()[name])
     rounded = tuple(tuple(round(float(v / heat), 4) for v in row) for row in w)
     return Model(families, tuple(sorted(cues)), tuple(seen), rounded, tuple(round(float(v / heat), 4) for v in b), templates)
 
