@@ -1,9 +1,9 @@
 """Soft-membership mixing: document rates whose expected domain token totals match targets.
 
 A domain is a class of the labelled table (clean, low, toxic). A softmax
-regression over hashed n-grams (words, their first letters, pairs of words), of
-which a document has some and lacks the rest, scores each document for each
-domain. A second one, over bins of these scores and of a few statistics, turns
+regression over n-grams (words, and runs of letters at words' heads), of which a
+document has some and lacks the rest, scores each document for each domain; they
+are looked up by their hashes. A second one, over bins of these scores and of a few statistics, turns
 them into posteriors. The first is learned from one half of the labelled sample
 and the second from the other, so the posteriors are not those of n-grams already
 seen; with a weight for each bin and no penalty on the intercepts, the expected
@@ -55,10 +55,10 @@ TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
 CLEAN_TARGETS = {"clean": 0.98, "toxic": 0.02}
 #: The classifier is learned from so many labelled documents at most, those of the least hash.
 SAMPLE_ROWS = 20_000
-#: Slots in which n-grams with weights are looked up, and letters at a word's head that are an n-gram of their own.
-SLOTS, HEAD = 1 << 16, 5
+#: Slots in which n-grams with weights are looked up, and letters at a longer word's head that are an n-gram of their own.
+SLOTS, HEAD = 1 << 14, 5
 #: Penalty on an n-gram's weight, in documents; n-grams of a domain at most, the documents and the standard deviations from chance one has at least.
-NGRAM_PENALTY, NGRAMS, LEAST_DOCUMENTS, DEVIATIONS = 1.0, 400, 4, 3.5
+NGRAM_PENALTY, NGRAMS, LEAST_DOCUMENTS, DEVIATIONS = 1.0, 300, 4, 3.5
 #: Penalty on the classifier's weights, in documents.
 PENALTY = 0.5
 #: Of the domain that limits a mixture without copies, the share that is kept, so that all targets can be met.
@@ -95,11 +95,8 @@ def labelled(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return known.orderBy(order, "_id", "_domain").limit(sample_rows).withColumn("_half", F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)))
 
 
-def ngrams() -> Column:
-    """64-bit hashes of a document's n-grams, each once, from the columns ``_words`` and ``_distinct``."""
-    heads = F.array_distinct(F.transform(F.filter("_distinct", lambda w: F.length(w) > HEAD), lambda w: F.substring(w, 1, HEAD)))
-    pairs = F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), lambda w, k: F.xxhash64(F.lit("pair"), w, F.get("_words", k + 1)))
-    return F.concat(F.transform("_distinct", lambda w: F.xxhash64(F.lit("word"), w)), F.transform(heads, lambda w: F.xxhash64(F.lit("head"), w)), F.array_distinct(pairs))
+def _head(word: Column) -> Column:
+    return F.substring(word, 1, HEAD)
 
 
 def _constant(values, kind: str) -> Column:
@@ -107,68 +104,88 @@ def _constant(values, kind: str) -> Column:
     return F.split(F.lit(",".join(values)), ",").cast(f"array<{kind}>")
 
 
+def _key(kind: str, text: Column) -> Column:
+    return F.xxhash64(F.lit(kind), text)
+
+
 @dataclass
 class Ngrams:
-    """Scores of the domains after the first, relative to it: an intercept each, and weights of the n-grams with the hashes ``keys``."""
+    """Scores of the domains after the first, relative to it: an intercept each, and weights of the n-grams, which are words or heads of longer words."""
 
     prior: list[float] = field(default_factory=lambda: [0.0] * (len(DOMAINS) - 1))
-    keys: list[int] = field(default_factory=list)
+    grams: list[tuple[str, str]] = field(default_factory=list)  #: ("word" or "head", text)
+    keys: list[int] = field(default_factory=list)  #: their hashes
     weights: list[list[float]] = field(default_factory=list)
 
+    def marked(self) -> Column:
+        """Those of the column ``_words`` that are, or begin with, one of the n-grams, each once."""
+        words, heads = ([t for k, t in self.grams if k == kind] for kind in ("word", "head"))
+        if not self.grams:
+            return F.expr("cast(array() as array<string>)")
+        return F.array_distinct(F.filter("_words", lambda w: w.isin(words) | _head(w).isin(heads)))
+
     def found(self) -> Column:
-        """Numbers (from 1) of the n-grams a document has. A slot tells which n-gram may be meant; its hash tells whether it is."""
-        if not self.keys:
+        """Numbers (from 1) of the n-grams a document has, by the column ``_marked``. A slot tells which n-gram may be meant; its hash tells whether it is."""
+        if not self.grams:
             return F.expr("cast(array() as array<int>)")
         slots = [0] * SLOTS
         for k, key in enumerate(self.keys, 1):
             slots[key % SLOTS] = k
         slot, own = _constant(map(str, slots), "int"), _constant(map(str, [0, *self.keys]), "bigint")
-        held = F.transform(ngrams(), lambda h: F.struct(h.alias("h"), F.get(slot, F.pmod(h, F.lit(SLOTS)).cast("int")).alias("k")))
+        heads = F.transform(F.filter("_marked", lambda w: F.length(w) > HEAD), lambda w: _key("head", _head(w)))
+        held = F.transform(F.concat(F.transform("_marked", lambda w: _key("word", w)), F.array_distinct(heads)), lambda h: F.struct(h.alias("h"), F.get(slot, F.pmod(h, F.lit(SLOTS)).cast("int")).alias("k")))
         return F.transform(F.filter(held, lambda x: (x["k"] > 0) & (F.get(own, x["k"]) == x["h"])), lambda x: x["k"])
 
     def score(self, k: int) -> Column:
         """The score of domain k + 1, an expression over the column ``_found``."""
-        if not self.keys:
+        if not self.grams:
             return F.lit(float(self.prior[k]))
         table = _constant((f"{w:.6g}" for w in [0.0, *self.weights[k]]), "double")
         return F.aggregate("_found", F.lit(float(self.prior[k])), lambda a, b: a + F.get(table, b))
 
 
+def chosen_grams(sample: DataFrame, total: dict[str, int], most: int = NGRAMS) -> list[tuple[str, str, int]]:
+    """(kind, text, hash) of the n-grams that mark a domain: of each the ``most`` whose documents are in it more or less often than by chance, by more than ``DEVIATIONS``."""
+    distinct = F.array_distinct("_words")
+    heads = F.array_distinct(F.transform(F.filter("_words", lambda w: F.length(w) > HEAD), _head))
+    named = lambda kind, c: F.transform(c, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("text")))
+    both = F.concat(named("word", distinct), named("head", heads))
+    counts = sample.select("_domain", F.explode(both).alias("g")).groupBy("g.kind", "g.text").agg(*[F.count_if(F.col("_domain") == d).alias(d) for d in DOMAINS])
+    seen = sum((F.col(d) for d in DOMAINS), F.lit(0))
+    counts = saved(counts.where(seen >= LEAST_DOCUMENTS).withColumn("h", F.when(F.col("kind") == "word", _key("word", F.col("text"))).otherwise(_key("head", F.col("text")))), "gram-counts")
+    n, found = sum(total.values()), {}
+    for d in DOMAINS[1:]:
+        rate = total[d] / n
+        off = F.abs(F.col(d) - seen * rate) / F.sqrt(seen * (rate * (1 - rate)) + 1e-9)
+        for r in counts.withColumn("off", off).where(F.col("off") > DEVIATIONS).orderBy(F.desc("off"), "h").limit(most).collect():
+            known = found.get((r.kind, r.text), (0.0, r.h))
+            found[r.kind, r.text] = (max(known[0], r.off), r.h)
+    slots: dict[int, tuple[str, str, int]] = {}  # of a slot's n-grams the one farthest from chance
+    for (kind, text), (_, h) in sorted(found.items(), key=lambda x: (-x[1][0], x[1][1])):
+        slots.setdefault(h % SLOTS, (kind, text, h))
+    return sorted(slots.values())
+
+
 def learn_ngrams(docs: DataFrame, known: DataFrame, penalty: float = NGRAM_PENALTY, most: int = NGRAMS) -> Ngrams:
-    """The softmax regression over the n-grams of the labelled sample's documents: at most ``SAMPLE_ROWS`` rows.
+    """The sparse softmax regression over the n-grams of the labelled sample's documents.
 
-    It is sparse: of each domain the ``most`` n-grams whose documents are in it
-    more or less often than others, by more than ``DEVIATIONS``, have weights.
+    They are counted where they are; the driver gets the chosen ones, and their numbers in each of at most ``SAMPLE_ROWS`` documents.
     """
-    words = docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("_domain", _words("text").alias("_words")).withColumn("_distinct", F.array_distinct("_words"))
-    table = words.select("_domain", ngrams().alias("_grams")).toArrow().combine_chunks()
-    n, k = table.num_rows, len(DOMAINS)
-    y = np.array([[d == x for d in DOMAINS] for x in table.column(0).to_pylist()], dtype=float).reshape(n, k)
-    if n == 0 or y[:, 0].sum() == 0 or y[:, 1:].sum() == 0:
+    sample = saved(docs.join(F.broadcast(known), docs["doc_id"] == known["_id"]).select("_domain", _words("text").alias("_words")), "sample")
+    total = {d: 0 for d in DOMAINS} | {r["_domain"]: r["count"] for r in sample.groupBy("_domain").count().collect()}
+    if not total[DOMAINS[0]] or not sum(total[d] for d in DOMAINS[1:]):
         return Ngrams()
-    grams = table.column(1).combine_chunks()
-    hashes, at = np.unique(grams.flatten().to_numpy(), return_inverse=True)
-    row, seen = np.repeat(np.arange(n), np.diff(grams.offsets.to_numpy())), np.bincount(at, minlength=len(hashes))
-    chosen: dict[int, float] = {}  # of a slot's n-grams the one farthest from chance
-    for c in range(1, k):
-        rate = y[:, c].mean()
-        off = np.abs(np.bincount(at, (y[:, c] - rate)[row], len(hashes))) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate) + 1e-9)
-        off[seen < LEAST_DOCUMENTS] = 0
-        for g in np.argsort(-off, kind="stable")[:most]:
-            if off[g] > DEVIATIONS:
-                chosen[int(g)] = max(float(off[g]), chosen.get(int(g), 0.0))
-    slots: dict[int, int] = {}
-    for g in sorted(chosen, key=lambda g: (-chosen[g], g)):
-        slots.setdefault(int(hashes[g]) % SLOTS, g)
-    own = np.array(sorted(slots.values()), dtype=np.int64)
-    place = np.full(len(hashes), -1)
-    place[own] = np.arange(len(own))
-    x = np.zeros((n, len(own) + 1))
+    grams = chosen_grams(sample, total, most)
+    model = Ngrams(grams=[g[:2] for g in grams], keys=[g[2] for g in grams])
+    table = sample.withColumn("_marked", model.marked()).select("_domain", model.found().alias("f")).toArrow().combine_chunks()
+    n, found = table.num_rows, table.column(1).combine_chunks()
+    y = np.array([[d == x for d in DOMAINS] for x in table.column(0).to_pylist()], dtype=float)
+    x = np.zeros((n, len(grams) + 1))
     x[:, 0] = 1
-    has = place[at] >= 0
-    x[row[has], place[at[has]] + 1] = 1
+    x[np.repeat(np.arange(n), np.diff(found.offsets.to_numpy())), found.flatten().to_numpy()] = 1
     w = regression(x, y, np.ones(n), penalty)
-    return Ngrams((w[0, 1:] - w[0, 0]).tolist(), hashes[own].tolist(), (w[1:, 1:] - w[1:, :1]).T.tolist())
+    model.prior, model.weights = (w[0, 1:] - w[0, 0]).tolist(), (w[1:, 1:] - w[1:, :1]).T.tolist()
+    return model
 
 
 def _bin(value: Column, edges: list[float]) -> Column:
@@ -178,7 +195,7 @@ def _bin(value: Column, edges: list[float]) -> Column:
 
 
 def statistics(scores: Ngrams, text: str = "text") -> dict[str, Column]:
-    """n_tokens and a bin of each statistic, as expressions over the columns ``_words``, ``_distinct`` and ``_found``."""
+    """n_tokens and a bin of each statistic, as expressions over the columns ``_words`` and ``_found``."""
     n = F.size("_words").cast("long")
     per = F.greatest(n, F.lit(1)).cast("double")
     plain = F.coalesce(F.col(text), F.lit(""))
@@ -186,7 +203,7 @@ def statistics(scores: Ngrams, text: str = "text") -> dict[str, Column]:
         "tokens": n.cast("double"),
         "symbols": F.regexp_count(plain, F.lit(r"[#$%&*|!]")) / per,
         "capitals": F.regexp_count(plain, F.lit(r"[A-Z]")) / F.greatest(F.length(plain), F.lit(1)),
-        "distinct": F.size("_distinct") / per,
+        "distinct": F.size(F.array_distinct("_words")) / per,
     } | {d: scores.score(k) for k, d in enumerate(DOMAINS[1:])}
     out = {"n_tokens": n}
     for name, value in values.items():
@@ -275,7 +292,7 @@ def learn(binned: DataFrame, known: DataFrame, scores: Ngrams) -> Classifier:
 
 
 def with_bins(docs: DataFrame, scores: Ngrams, *keep: str) -> DataFrame:
-    words = docs.withColumn("_words", _words("text")).withColumn("_distinct", F.array_distinct("_words")).withColumn("_found", scores.found())
+    words = docs.withColumn("_words", _words("text")).withColumn("_marked", scores.marked()).withColumn("_found", scores.found())
     return words.select(*keep, *[c.alias(n) for n, c in statistics(scores).items()])
 
 

@@ -125,21 +125,15 @@ def test_a_missed_target_can_be_an_error(spark):
 
 def test_scores_by_hand(spark):
     """The native score is the sum over the n-grams that a text has, whatever else falls into their slots."""
-    text = "Alpha alphabet beta alpha, beta gamma"
-    words = text.lower().replace(",", "").split()
-    frame = spark.createDataFrame([(text,), (None,), ("",)], "text string")
-    grams = frame.withColumn("_words", mx._words("text")).withColumn("_distinct", F.array_distinct("_words"))
-    have = [set(r[0]) for r in grams.select(mx.ngrams()).collect()]
-    names = [("word", w) for w in set(words)] + [("head", w[:5]) for w in set(words) if len(w) > 5] + [("pair", *p) for p in zip(words, words[1:], strict=False)]
-    want = {spark.range(1).select(F.xxhash64(*map(F.lit, n))).first()[0] for n in names}
-    assert have == [want, set(), set()]
-    keys = sorted(want)[:5] + [12345]
-    other = [k + mx.SLOTS for k in keys]  # in the same slots, but not the same n-grams
-    model = mx.Ngrams([0.5, -1.0], keys, [[1.0, 2.0, 4.0, 8.0, 16.0, 32.0], [0.0] * 6])
-    rows = grams.withColumn("_found", model.found()).select(model.score(0).alias("a"), model.score(1).alias("b")).collect()
-    assert [(r.a, r.b) for r in rows] == [(31.5, -1.0), (0.5, -1.0), (0.5, -1.0)]
-    rows = grams.withColumn("_found", mx.Ngrams([0.0, 0.0], other, [[1.0] * 6] * 2).found()).collect()
-    assert all(r["_found"] == [] for r in rows)
+    rows = spark.createDataFrame([("Alpha alphabet beta alpha, beta gamma",), (None,), ("",)], "text string").withColumn("_words", mx._words("text"))
+    grams = [("word", "alpha"), ("head", "alpha"), ("word", "gamma"), ("word", "alphabet"), ("head", "gamma"), ("word", "delta")]
+    keys = [spark.range(1).select(F.xxhash64(F.lit(k), F.lit(t))).first()[0] for k, t in grams]
+    model = mx.Ngrams([0.5, -1.0], grams, keys, [[1.0, 2.0, 4.0, 8.0, 16.0, 32.0], [0.0] * 6])
+    got = rows.withColumn("_marked", model.marked()).withColumn("_found", model.found()).select(model.score(0).alias("a"), model.score(1).alias("b")).collect()
+    # The head of "alphabet" counts once, that of "gamma" is the word itself.
+    assert [(r.a, r.b) for r in got] == [(15.5, -1.0), (0.5, -1.0), (0.5, -1.0)]
+    other = mx.Ngrams([0.0, 0.0], grams, [k + mx.SLOTS for k in keys], [[1.0] * 6] * 2)  # in the same slots, but not the same n-grams
+    assert all(r["_found"] == [] for r in rows.withColumn("_marked", other.marked()).withColumn("_found", other.found()).collect())
 
 
 def test_odd_rows(spark):
