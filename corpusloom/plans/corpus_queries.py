@@ -57,7 +57,21 @@ def chunk_recursive(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(ch.chunk_size()("text")).alias("chunk_index", "content"))
 
 
-@query("chunk_sentences")
+#: Sentences in place of lines, packed by the same rule; then short chunks that start as list items take in the next one that does.
+_SENTENCES_SQL = _GREEDY_SQL.replace(
+    "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')",
+    r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')",
+)
+_ITEM_SQL = f"regexp_matches(c[%s], {literal(ch.LIST_ITEM)})"
+
+
+@query(
+    "chunk_sentences",
+    f"""WITH RECURSIVE {_SENTENCES_SQL}, w AS (SELECT doc_id, list(content ORDER BY chunk_index) AS c FROM g GROUP BY doc_id),
+m AS (SELECT doc_id, c, 1 AS i, 0 AS k, {_ITEM_SQL % 1} AND length(c[1]) < 500 AS open FROM w
+      UNION ALL SELECT doc_id, c, i + 1, CASE WHEN open AND {_ITEM_SQL % 'i + 1'} THEN k ELSE k + 1 END, NOT (open AND {_ITEM_SQL % 'i + 1'}) AND {_ITEM_SQL % 'i + 1'} AND length(c[i + 1]) < 500 FROM m WHERE i < len(c))
+SELECT doc_id, k AS chunk_index, string_agg(c[i], chr(10) ORDER BY i) AS content FROM m GROUP BY doc_id, k""",
+)
 def chunk_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(ch.sentence_chunks(F.col("text"))).alias("chunk_index", "content"))
 
