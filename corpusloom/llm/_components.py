@@ -4,6 +4,9 @@ Every round is two map-side aggregated minima and a join with each, so a vertex
 with very many edges is split by Spark's skew join and never gathered; the number of
 rounds grows with the logarithm of the size (Kiveris et al. 2014). Each round's
 edges are saved to shared storage, which ends the lineage.
+
+Defined results: repeated edges count once, edges of a vertex with itself or with
+a null not at all; no edges have no components.
 """
 
 from __future__ import annotations

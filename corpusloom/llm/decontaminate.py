@@ -10,7 +10,8 @@ their own, so short items do not shorten the shifts of the others.
 
 Defined results: a null or empty text has no words and no hits; an empty
 benchmark hits nothing, and an empty table of documents gives no row; a null
-item, or one with a null id, has no window; item ids that repeat count once;
+item, or one with a null id, has no window; item ids that repeat, and items that
+tie in a window, count once each;
 repeated documents are judged each; a very long text is searched whole. Extra
 columns, of whatever names, are not read by the query and pass through
 :func:`clean`.

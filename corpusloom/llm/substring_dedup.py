@@ -15,7 +15,8 @@ passages is ever expanded into pairs.
 Order is (doc_id, start of the window); null ids come first; rows with equal
 ids count as one document for the order, and windows at equal (id, start) do
 not remove each other. Defined results: a null or empty text has no words;
-texts of fewer than ``WINDOW`` words keep all; extra columns are not read.
+texts of fewer than ``WINDOW`` words keep all; an empty table gives no row; a very
+long text is read whole, by one task at a time; extra columns are not read.
 """
 
 from __future__ import annotations
