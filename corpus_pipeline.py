@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of
 documents. It needs the training-data operators and goes with them.
+
+Defined results are those of the operators: a null or empty text is judged by the
+quality classifier like any other, is its own class, holds no benchmark passage,
+and becomes its end id alone; of equal texts one stays; rows with null ids are
+documents each; of ties the least id, then the least place stays; an empty table
+gives no row and no file; a very long text is one row of each stage. Extra columns
+of the documents, of whatever names, go with their rows up to the last stage.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; clean ones at least once."""
+    """Clean documents stay, once each; of the others each stays, once at most, as its rate says."""
     return mixing.mix(docs, read_table(spark, sf_dir, "labels"))
 
 
