@@ -15,29 +15,38 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.llm._shared import attempt_name, binary, filesystem, saved, shared_dir, small_batches
 
 #: Text bytes of one part.
 PART_BYTES = 8 << 20
-#: A row's number is its part's number times this, plus its place.
-PART_ROWS = 1 << 24
+#: A row's number is its part's number times PART_ROWS, plus its place.
+PART_BITS = 24
+PART_ROWS = 1 << PART_BITS
+#: A part's number is that of the partition it was written from, times this, plus its place among those.
+PARTITION_PARTS = 1 << 19
+#: Partitions of a step over the parts, for each of the session's shuffle partitions, at most.
+TASKS = 4
 
 
 def write_parts(docs: DataFrame, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Write all columns of ``docs``; one row for each part: part, path, n_docs, n_bytes, n_words (a bound)."""
+    """Write all columns of ``docs``; one row for each part: part, path, n_docs, n_bytes, n_words (a bound).
+
+    A part is numbered where it is written. Of a partition's attempts one is
+    committed, so numbers are unique; they have gaps and tell no order.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     folder, schema, place = shared_dir(spark, "parts"), to_arrow_schema(docs.schema), docs.columns.index(text)
 
     def run(batches):
-        index, held, size, words = TaskContext.get().partitionId(), [], 0, 0
+        index, held, size, words, number = TaskContext.get().partitionId(), [], 0, 0, count()
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
 
         def flush():
@@ -47,7 +56,8 @@ def write_parts(docs: DataFrame, text: str, part_bytes: int = PART_BYTES) -> Dat
             table = pa.Table.from_batches(held, schema)
             with fs.open_output_stream(at) as out, pa.ipc.new_file(out, schema, options=options) as file:
                 file.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([path]), *[pa.array([n], pa.int64()) for n in (table.num_rows, size, words)]], names=["path", "n_docs", "n_bytes", "n_words"])
+            part = index * PARTITION_PARTS + next(number)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), *[pa.array([n], pa.int64()) for n in (table.num_rows, size, words)]], names=["part", "path", "n_docs", "n_bytes", "n_words"])
 
         for batch in batches:
             own = batch.cast(schema) if batch.schema != schema else batch
@@ -64,9 +74,7 @@ def write_parts(docs: DataFrame, text: str, part_bytes: int = PART_BYTES) -> Dat
         if held:
             yield flush()
 
-    parts = saved(docs.mapInArrow(run, "path string, n_docs long, n_bytes long, n_words long"), "part-table")
-    # One row for each part file, whatever the rows in them.
-    return saved(parts.withColumn("part", F.row_number().over(Window.orderBy("path")).cast("long") - 1), "part-numbers")
+    return saved(docs.mapInArrow(run, "part long, path string, n_docs long, n_bytes long, n_words long"), "part-table")
 
 
 def read_part(path: str) -> pa.Table:
@@ -76,7 +84,7 @@ def read_part(path: str) -> pa.Table:
 
 
 def each_part(parts: DataFrame, run, schema, results: DataFrame | None = None, only: bool = False) -> DataFrame:
-    """``run(part, path, results)`` for each part, one part a task where the cluster allows; it yields record batches.
+    """``run(part, path, results)`` for each part, in at most ``TASKS`` tasks for each shuffle partition; it yields record batches.
 
     ``results``: a table with a column part and one row for each part at most,
     whose other columns ``run`` gets as a dict (empty if there is no row). With
@@ -86,7 +94,8 @@ def each_part(parts: DataFrame, run, schema, results: DataFrame | None = None, o
     rows = parts.select("part", "path")
     if results is not None:
         rows = rows.join(results, "part", "inner" if only else "left").select("part", "path", *names)
-    rows = rows.repartitionByRange(max(1, parts.count()), "part")
+    most = TASKS * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(max(1, min(parts.count(), most)), "part")
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._components import components
-from corpusloom.llm._parts import PART_BYTES, PART_ROWS, each_part, read_part, write_parts
+from corpusloom.llm._parts import PART_BITS, PART_BYTES, PART_ROWS, each_part, read_part, write_parts
 from corpusloom.llm._shared import binary, saved, steps
 from corpusloom.llm._words import MARKS, NORMAL, exact_codes, exact_runs, mix, spans, window_hashes, word_lanes
 
@@ -290,7 +290,7 @@ class Join:
         self.all = saved(each_part(self.parts, run, "uid long, id long, h1 long, h2 long, n long"), "shingled")
         groups = self.all.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.min("id").alias("least"))
         self.reps = saved(groups, "classes")
-        asked = self.reps.groupBy((F.col("rep") / PART_ROWS).cast("long").alias("part")).agg(F.collect_list((F.col("rep") % PART_ROWS).cast("int")).alias("rows"))
+        asked = self.reps.groupBy(F.shiftright("rep", PART_BITS).alias("part")).agg(F.collect_list((F.col("rep") % PART_ROWS).cast("int")).alias("rows"))
 
         def sign(part, path, got):
             texts, rows = binary(read_part(path).column(text)), sorted(got["rows"])
@@ -346,7 +346,7 @@ class Join:
         mine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(F.lit("blocks"), "rep"), "blocks")).otherwise(F.lit(0).cast("long"))
         member = saved(member.withColumn("mine", mine), "members")
         place = F.struct((F.col("rep") % PART_ROWS).alias("place"), "component", "mine", "others", "copies")
-        asked = self._met(member).groupBy((F.col("rep") / PART_ROWS).cast("long").alias("part")).agg(F.collect_list(place).alias("rows"))  # rows of one part
+        asked = self._met(member).groupBy(F.shiftright("rep", PART_BITS).alias("part")).agg(F.collect_list(place).alias("rows"))  # rows of one part
         text = self.text
 
         def run(part, path, got):
@@ -403,7 +403,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: that of the least key; same columns."""
     found = Join(docs, key, text, **options)
-    kept = found.first_of_each().groupBy((F.col("uid") / PART_ROWS).cast("long").alias("part")).agg(F.sort_array(F.collect_list(F.col("uid") % PART_ROWS)).alias("rows"))
+    kept = found.first_of_each().groupBy(F.shiftright("uid", PART_BITS).alias("part")).agg(F.sort_array(F.collect_list(F.col("uid") % PART_ROWS)).alias("rows"))
 
     def run(part, path, got):
         table = read_part(path)
