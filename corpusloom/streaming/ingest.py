@@ -18,7 +18,7 @@ from corpusloom.operators.chunk import Strategy, chunk_documents
 from corpusloom.operators.clean import process
 from corpusloom.operators.incremental import retryable, to_embed, upsert
 from corpusloom.operators.vectors import careful_embedder
-from corpusloom.sources.files import claimed, exists, read_or_empty, versions, write_vectors
+from corpusloom.sources.files import claimed, read_or_empty, versions, write_vectors
 
 META = "keywords array<string>, metadata array<struct<key:string,value:string>>"
 DEAD = f"chunk_id string, path string, page_content string, section_path string, {META}, attempt int, error string, ts timestamp, batch_id bigint, batch string"
