@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm._shared import saved
+
 #: The index is broadcast; a rule set beyond this many bytes is refused by :func:`apply_rules` in one piece and split by it.
 MAX_INDEX_BYTES = 256 << 20
 _HEAD = struct.Struct("<8sQQQQ")
@@ -170,13 +172,17 @@ def apply_rules(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     dealt: list[list[Rule]] = [[] for _ in range(parts)]
     for r in rules:
         dealt[xxhash.xxh64_intdigest(_key(r.host, r.path)) % parts].append(r)
-    for part in dealt:
-        out = _probe(out, build_index(part), default)
+    dealt = [part for part in dealt if part] or [[]]
+    for k, part in enumerate(dealt, 1):
+        shared = df.sparkSession.sparkContext.broadcast(build_index(part))
+        out = _probe(out, shared, default)
+        if k < len(dealt):  # one part at a time is sent out, and one worker a task is at work
+            out = saved(out, "judged")
+            shared.destroy()
     return out.drop("rule_host_bytes")
 
 
-def _probe(df: DataFrame, index: bytes, default: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
+def _probe(df: DataFrame, shared, default: str) -> DataFrame:
     names = df.columns
 
     def run(batches):
