@@ -9,6 +9,7 @@ from corpusloom.functions import links as ln
 from corpusloom.functions.html_reader import page
 from corpusloom.operators.crawl import crawl
 from corpusloom.plans.registry import literal, query, replaced, table
+from corpusloom.session import small_batches
 from corpusloom.sources.web import robots_gate
 
 _ROOT = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
@@ -139,6 +140,7 @@ FROM f""",
 )
 def page_reader(spark, sf):
     """Every document in a page of its own, read back by the HTML reader."""
+    small_batches(spark)
     rows = table(spark, sf, "documents").select("doc_id", page(_page_html()).alias("p"))
     author = F.filter("p.metas", lambda m: m["key"] == "author")[0]["value"]
     return rows.select("doc_id", "p.title", author.alias("author"), "p.links", "p.markdown")
@@ -147,6 +149,7 @@ def page_reader(spark, sf):
 @query("page_markdown")
 def page_markdown(spark, sf):
     """Title, links and Markdown of the given pages, by the HTML reader."""
+    small_batches(spark)
     rows = table(spark, sf, "pages").select("page_id", page("html").alias("p"))
     return rows.select("page_id", "p.title", F.size("p.links").alias("n_links"), "p.markdown", "p.text")
 

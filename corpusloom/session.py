@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+#: Rows and bytes of one Arrow batch handed to Python: what a worker holds depends on neither a task's rows nor their length.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
 
 def session(master: str | None = None, **more: str) -> SparkSession:
     """A session with the settings above; ``more`` has dots written as two underscores."""
@@ -39,3 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by rows and bytes; smaller bounds that are set already stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, str(most))
+        if not (now.isdigit() and 0 < int(now) < most):
+            spark.conf.set(name, str(most))
