@@ -13,7 +13,7 @@ from corpusloom.operators import vectors as vc
 from corpusloom.operators.conversation import answer, contexts, history, trimmed
 from corpusloom.plans.registry import literal, query, table
 from corpusloom.plans.text_queries import markdown
-from corpusloom.session import scratch
+from corpusloom.session import scratch, small_batches
 from corpusloom.streaming.ingest import conversation_memory, replayed
 
 # ---------------------------------------------------------------- chunks
@@ -54,6 +54,7 @@ def flagship(spark, sf):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
+    small_batches(spark)
     return table(spark, sf, "documents").select("doc_id", F.posexplode(ch.chunk_size()("text")).alias("chunk_index", "content"))
 
 
@@ -92,6 +93,7 @@ FROM documents, (SELECT unnest([0, 1, 2, 3]) AS s)
 
 @query("chunk_headers", _SECTIONS_SQL)
 def chunk_headers(spark, sf):
+    small_batches(spark)
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(ch.chunk_headers(_headed())).alias("section", "x"))
     return rows.select("doc_id", "section", *[F.col(f"x.h{k}").alias(f"h{k}") for k in (1, 2, 3)], F.col("x.content").alias("content"))
 
