@@ -20,6 +20,7 @@ from corpusloom.functions.cite import section_path
 from corpusloom.functions.frontmatter import extract, fields, get, last_wins
 from corpusloom.functions.text import strip
 from corpusloom.operators.keywords import extract_keywords
+from corpusloom.session import small_batches
 
 SIZE, OVERLAP = 1000, 200
 SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -221,9 +222,11 @@ def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", str
 
     A text that can't be cut ends the job, or, with ``errors``, is one row whose
     column ``error`` tells why and whose index and content are null. ``cutter``
-    takes the place of the cuts by headers and size.
+    takes the place of the cuts by headers and size. The session's Arrow batches
+    are bounded (:func:`corpusloom.session.small_batches`).
     """
     strategy = Strategy(strategy)
+    small_batches(docs.sparkSession)
     parts = docs.select(F.col(path).alias("path"), extract(F.coalesce(F.col(text), F.lit(""))).alias("x")).select("path", "x.block", "x.body")
     parts = parts.withColumn("entries", fields(F.col("block"))).withColumn("front", last_wins(F.col("entries"))).drop("entries")  # once for each document
     if strategy is Strategy.SENTENCES and cutter is None:
