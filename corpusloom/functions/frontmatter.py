@@ -7,6 +7,7 @@ delimiter depends on what came before, line by line; it is an Arrow-batched UDF.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ KEYS = ["source", "title", "author", "url", "access_date", "date", "license", "d
 HEAD_LINES, EARLY = 25, 5
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once a row however often it is named; an expression is worked out anew wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _value(key: Column, value: Column) -> Column:
     value = F.regexp_replace(F.regexp_replace(value, "^[\"']", ""), "[\"']$", "")
     plain = F.when(key.isin("title", "description"), F.replace(value, F.lit(":"), F.lit(" -"))).otherwise(value)
@@ -45,8 +51,8 @@ def fields(block: Column) -> Column:
 
 def last_wins(pairs: Column) -> Column:
     """Entries with a key's last value, at its first place."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")))
+    keys = lambda ps: F.array_distinct(F.transform(ps, lambda p: p["key"]))
+    return _once(pairs, lambda ps: F.transform(keys(ps), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(ps, lambda p: p["key"] == k), -1)["value"].alias("value"))))
 
 
 def _parts(c: Column) -> Column:
@@ -60,7 +66,8 @@ def has_frontmatter(c: Column) -> Column:
 def parse(c: Column) -> Column:
     """struct<entries, body>: no entries and the whole text if there is no frontmatter."""
     none = F.expr("cast(array() as array<struct<key:string,value:string>>)")
-    return F.when(has_frontmatter(c), F.struct(last_wins(entries(_parts(c)[1])).alias("entries"), _parts(c)[2].alias("body"))).otherwise(F.struct(none.alias("entries"), c.alias("body")))
+    whole = F.struct(none.alias("entries"), c.alias("body"))
+    return _once(F.when(F.startswith(c, F.lit("---")), _parts(c)), lambda parts: F.when(F.size(parts) == 3, F.struct(last_wins(entries(parts[1])).alias("entries"), parts[2].alias("body"))).otherwise(whole))
 
 
 def get(pairs: Column, key: str) -> Column:
@@ -69,9 +76,8 @@ def get(pairs: Column, key: str) -> Column:
 
 def build(pairs: Column) -> Column:
     """Lines of the known keys in their order, then of the others in theirs."""
-    known = [_only(pairs, k) for k in KEYS]
-    rest = F.filter(pairs, lambda p: ~p["key"].isin(KEYS))
-    return F.array_join(F.transform(F.concat(*known, rest), lambda p: F.concat(p["key"], F.lit(": "), p["value"])), "\n")
+    ordered = lambda ps: F.concat(*[_only(ps, k) for k in KEYS], F.filter(ps, lambda p: ~p["key"].isin(KEYS)))
+    return F.array_join(F.transform(_once(pairs, ordered), lambda p: F.concat(p["key"], F.lit(": "), p["value"])), "\n")
 
 
 def _only(pairs: Column, key: str) -> Column:
@@ -80,7 +86,7 @@ def _only(pairs: Column, key: str) -> Column:
 
 def document(pairs: Column, body: Column) -> Column:
     """Frontmatter and body; no block without entries."""
-    return F.when(F.size(pairs) == 0, body).otherwise(F.concat(F.lit("---\n"), build(pairs), F.lit("\n---"), body))
+    return _once(pairs, lambda ps: F.when(F.size(ps) == 0, body).otherwise(F.concat(F.lit("---\n"), build(ps), F.lit("\n---"), body)))
 
 
 def canonical(pairs: Column, source: Column, extra: dict[str, Column] | None = None) -> Column:
@@ -96,8 +102,8 @@ def canonical(pairs: Column, source: Column, extra: dict[str, Column] | None = N
 
 def changed_keys(before: Column, after: Column) -> Column:
     """Keys whose value is another one after, in the order after."""
-    same = lambda p: F.exists(before, lambda q: (q["key"] == p["key"]) & (q["value"] == p["value"]))
-    return F.transform(F.filter(after, lambda p: ~same(p)), lambda p: p["key"])
+    same = lambda p, olds: F.exists(olds, lambda q: (q["key"] == p["key"]) & (q["value"] == p["value"]))
+    return F.transform(_once(before, lambda olds: F.filter(after, lambda p: ~same(p, olds))), lambda p: p["key"])
 
 
 def extract(c: Column) -> Column:

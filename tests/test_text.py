@@ -81,6 +81,12 @@ def test_frontmatter(spark):
     assert value(spark, fm.extract(F.col("t")), t="---\na: é\n---\nrest").block == "a: é"
 
 
+def test_a_text_is_split_once(spark):
+    rows = spark.createDataFrame([("---\na: 1\n---\nb",)], "t string").select(fm.build(fm.parse(F.col("t"))["entries"]).alias("front"))
+    assert rows.first().front == "a: 1"
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(", ---, 3") == 1
+
+
 def test_parse_undoes_build(spark):
     text = "---\nsource: a\ntitle: b\ncustom: c\n---\nbody"
     again = fm.document(fm.parse(F.col("t"))["entries"], fm.parse(F.col("t"))["body"])
