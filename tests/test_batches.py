@@ -35,7 +35,7 @@ def largest(spark, length):
     return tuple(found.agg(F.max("s.rows"), F.max("s.chars")).first())
 
 
-@pytest.mark.parametrize("name", ["page_reader", "page_markdown", "chunk_recursive", "chunk_headers", "section_path", "chunk_incremental", "keywords_top", "keywords_maxsum", "keywords_mmr"])
+@pytest.mark.parametrize("name", ["page_reader", "page_markdown", "chunk_recursive", "chunk_headers", "section_path", "chunk_incremental", "chunk_pipeline", "chunk_pipeline_size", "keywords_top", "keywords_maxsum", "keywords_mmr"])
 def test_batches_of_queries(plain, sf, name):
     QUERIES[name](plain, sf)
     assert largest(plain, 10)[0] <= BATCH_ROWS
