@@ -221,9 +221,11 @@ def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", str
     shuffle; rows with equal paths are numbered apart.
 
     A text that can't be cut ends the job, or, with ``errors``, is one row whose
-    column ``error`` tells why and whose index and content are null. ``cutter``
-    takes the place of the cuts by headers and size. The session's Arrow batches
-    are bounded (:func:`corpusloom.session.small_batches`).
+    column ``error`` tells why and whose index and content are null. So does a
+    chunk whose keywords can't be worked out; with ``errors`` it keeps its index,
+    content and id, and its keywords are null. ``cutter`` takes the place of the
+    cuts by headers and size. The session's Arrow batches are bounded
+    (:func:`corpusloom.session.small_batches`).
     """
     strategy = Strategy(strategy)
     small_batches(docs.sparkSession)
@@ -242,7 +244,10 @@ def chunk_documents(docs: DataFrame, path: str = "path", text: str = "text", str
     front = F.filter("front", lambda p: p["key"] != "keywords") if keywords else F.col("front")
     path_of = section_path(*[F.coalesce(get(F.col("front"), f"header_{k}"), F.col(h)) for k, h in enumerate(_HEADS, 1)])
     out = numbered.select("path", "chunk_index", "page_content", *_HEADS, path_of.alias("section_path"), F.col("block").alias("frontmatter"), F.concat(own, front).alias("metadata"), *(["error"] if errors else []))
-    if keywords:
+    if keywords and errors:
+        out = out.withColumn("_k", extract_keywords(F.col("page_content"), errors=True))
+        out = out.withColumn("error", F.coalesce("error", F.concat(F.lit("keywords: "), F.col("_k.error")))).withColumn("keywords", F.col("_k.keywords")).drop("_k")
+    elif keywords:
         out = out.withColumn("keywords", extract_keywords(F.col("page_content")))
     name = chunk_id(F.col("path"), F.col("chunk_index"), F.col("page_content"))
-    return out.withColumn("chunk_id", F.when(F.col("error").isNull(), name)) if errors else out.withColumn("chunk_id", name)
+    return out.withColumn("chunk_id", F.when(F.col("page_content").isNotNull(), name)) if errors else out.withColumn("chunk_id", name)

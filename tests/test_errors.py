@@ -4,6 +4,8 @@ from corpusloom import cli
 from corpusloom.functions.yaml_front import NODES, parsed, typed, with_typed_frontmatter
 from corpusloom.operators import chunk as ch
 from corpusloom.operators import keywords as kw
+from corpusloom.plans import corpus_queries  # noqa: F401  registers the queries
+from corpusloom.plans.registry import QUERIES
 
 
 def poisoned(text):
@@ -33,6 +35,36 @@ def test_keywords_of_a_batch_with_a_bad_text(spark, monkeypatch):
     assert kw._each(pd.Series(["good text 1", "bad text 22", None, "short", "good text 2"]), pick).tolist() == [["good"], [], [], [], ["good"]]
 
 
+def failing(whole, bad):
+    """``whole``, a ranking of one or many texts, but those with ``bad`` in them fail."""
+
+    def run(texts, *more):
+        if any(bad in t for t in ([texts] if isinstance(texts, str) else texts)):
+            raise ValueError("not ranked")
+        return whole(texts, *more)
+
+    return run
+
+
+def test_chunk_pipeline_ends_where_keywords_fail(spark, sf, monkeypatch):
+    bad = QUERIES["chunk_pipeline"](spark, sf).where("length(page_content) > 50").first().page_content
+    monkeypatch.setattr(kw, "max_sums", failing(kw.max_sums, bad))
+    with pytest.raises(Exception, match="keywords of .* failed.*ValueError: not ranked"):
+        QUERIES["chunk_pipeline"](spark, sf).collect()
+
+
+def test_chunks_whose_keywords_fail_have_their_error(spark, monkeypatch):
+    monkeypatch.setattr(kw, "max_sums", failing(kw.max_sums, "unlucky"))
+    files = spark.createDataFrame([("a", "# A\nfine text here\n# B\nunlucky text here\n# C\nthe"), ("b", "poison")], "path string, text string")
+    rows = ch.chunk_documents(files, cutter=poisoned, errors=True).orderBy("path", "chunk_index").collect()
+    assert [(r.path, r.chunk_index, r.keywords is None, r.error) for r in rows] == [("a", 0, False, None), ("a", 1, True, "keywords: ValueError: not ranked"), ("a", 2, False, None), ("b", None, False, "RuntimeError: cannot cut")]
+    assert rows[0].keywords and rows[2].keywords == [] and all(r.chunk_id for r in rows[:3]) and rows[3].chunk_id is None and "unlucky" in rows[1].page_content
+    plan = ch.chunk_documents(files, errors=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the cuts and the keywords, each once
+    with pytest.raises(Exception, match="not ranked"):
+        ch.chunk_documents(files.where("path = 'a'")).collect()
+
+
 def test_yaml_values_and_errors(spark):
     block = "date: 2024-02-03\nat: 2024-02-03 04:05:06\nn: 7\nx: 1.5\nyes: true\nlist: [1, [a, b]]\nmap: {a: {b: é}}\nnone:\n3: three\nbig: 123456789012345678901234567890\ninf: .inf\ntitle: first\ntitle: last"
     cases = [(1, f"---\n{block}\n---\nbody"), (2, "---\na: [1\n---\nbody"), (3, "no block"), (4, None), (5, "---\n- a\n- b\n---\nbody"), (6, "---\nd: 2024-13-45\n---\nbody"), (7, "---\n# only a comment\n---\nbody")]
