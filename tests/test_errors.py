@@ -46,11 +46,12 @@ def failing(whole, bad):
     return run
 
 
-def test_chunk_pipeline_ends_where_keywords_fail(spark, sf, monkeypatch):
-    bad = QUERIES["chunk_pipeline"](spark, sf).where("length(page_content) > 50").first().page_content
+@pytest.mark.parametrize("name", ["chunk_pipeline", "chunk_pipeline_size"])
+def test_chunk_pipeline_ends_where_keywords_fail(spark, sf, monkeypatch, name):
+    bad = QUERIES[name](spark, sf).where("length(page_content) > 50").first().page_content
     monkeypatch.setattr(kw, "max_sums", failing(kw.max_sums, bad))
     with pytest.raises(Exception, match="keywords of .* failed.*ValueError: not ranked"):
-        QUERIES["chunk_pipeline"](spark, sf).collect()
+        QUERIES[name](spark, sf).collect()
 
 
 def test_chunks_whose_keywords_fail_have_their_error(spark, monkeypatch):
