@@ -54,6 +54,14 @@ def test_chunk_pipeline_ends_where_keywords_fail(spark, sf, monkeypatch, name):
         QUERIES[name](spark, sf).collect()
 
 
+@pytest.mark.parametrize(("name", "ranking"), [("keywords_mmr", "marginal"), ("keywords_maxsum", "max_sums"), ("keywords_top", "frequent")])
+def test_keyword_queries_end_where_a_text_fails(spark, sf, monkeypatch, name, ranking):
+    bad = spark.read.parquet(f"{sf}/documents.parquet").where("length(trim(text)) > 50").orderBy("doc_id").first().text
+    monkeypatch.setattr(kw, ranking, failing(getattr(kw, ranking), bad))
+    with pytest.raises(Exception, match="keywords of .* failed.*ValueError: not ranked"):
+        QUERIES[name](spark, sf).collect()
+
+
 def test_chunks_whose_keywords_fail_have_their_error(spark, monkeypatch):
     monkeypatch.setattr(kw, "max_sums", failing(kw.max_sums, "unlucky"))
     files = spark.createDataFrame([("a", "# A\nfine text here\n# B\nunlucky text here\n# C\nthe"), ("b", "poison")], "path string, text string")
